@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from latentia.llm import leaks, spans, terms
+from latentia.llm import encoding, leaks, mixing, packing, spans, terms
 from latentia.session import table
 
 
@@ -28,6 +28,35 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_leaks(spark, sf_dir).select("line_id", "ptb_id")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.garbled_rows(table(spark, sf_dir, "ner2002"), "token_id", "word").select(F.col("row_id").alias("token_id"), "restored")
+
+
+def p6_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Garbled words with the channel and, where letters were lost, the likeliest reading."""
+    return encoding.garbled_words(table(spark, sf_dir, "ner2002"), "word")
+
+
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.containers(table(spark, sf_dir, "documents"))
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill_report(p7_containers(spark, sf_dir))
+
+
+def p8_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.uses(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(p8_uses(spark, sf_dir))
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(p8_uses(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_spans(table(spark, sf_dir, "documents"))
 
@@ -37,7 +66,7 @@ def p9_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_amounts(docs, spans.shared_spans(docs))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p3_found, p3_leaks, p9_found, p9_amounts)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p3_found, p3_leaks, p6_found, p6_repairs, p7_containers, p7_fill, p8_uses, p8_mixture, p8_shares, p9_found, p9_amounts)}
 
 _P1 = """
 with t as (
