@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from latentia.llm import encoding, leaks, mixing, packing, spans, terms
-from latentia.session import table
+from latentia.llm import clusters, encoding, leaks, mixing, packing, spans, terms
+from latentia.session import cut, table
 
 
 def p1_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,25 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_leaks(spark, sf_dir).select("line_id", "ptb_id")
 
 
+def _word_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.assign(table(spark, sf_dir, "ep"), "word_id", "ep")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = cut(_word_clusters(spark, sf_dir), "clusters")
+    several = clusters.sizes(rows).where("n_rows > 1").select("cluster_key")
+    return rows.join(several, "cluster_key", "left_semi").select(F.col("id").alias("word_id"), "cluster_key")
+
+
+def p4_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each cluster by size, dispersion and its most typical words."""
+    ep, vocab = table(spark, sf_dir, "ep"), table(spark, sf_dir, "vocab").select(F.col("id").alias("word_id"), "word")
+    found = clusters.report(ep, "word_id", "ep", _word_clusters(spark, sf_dir))
+    words = found.select("cluster_key", F.posexplode("typical_ids").alias("rank", "word_id")).join(vocab, "word_id", "left")
+    words = words.groupBy("cluster_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda w: F.coalesce(w["word"], F.lit("?"))), " ").alias("typical_words"))
+    return found.drop("typical_ids").join(words, "cluster_key")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.garbled_rows(table(spark, sf_dir, "ner2002"), "token_id", "word").select(F.col("row_id").alias("token_id"), "restored")
 
@@ -66,7 +85,7 @@ def p9_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_amounts(docs, spans.shared_spans(docs))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p3_found, p3_leaks, p6_found, p6_repairs, p7_containers, p7_fill, p8_uses, p8_mixture, p8_shares, p9_found, p9_amounts)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p3_found, p3_leaks, p4_found, p4_clusters, p6_found, p6_repairs, p7_containers, p7_fill, p8_uses, p8_mixture, p8_shares, p9_found, p9_amounts)}
 
 _P1 = """
 with t as (
