@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from latentia.llm import clusters, encoding, leaks, mixing, packing, spans, terms
+from latentia.llm import clusters, encoding, leaks, mixing, neighbours, packing, spans, terms
 from latentia.session import cut, table
 
 
@@ -47,6 +47,16 @@ def p4_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("typical_ids").join(words, "cluster_key")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = neighbours.nearest(table(spark, sf_dir, "posttypes"), "rep_id", "rep", least=0.9)
+    return near.select(F.least("id", "nb").alias("rep_a"), F.greatest("id", "nb").alias("rep_b")).distinct()
+
+
+def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = neighbours.nearest(table(spark, sf_dir, "posttypes"), "rep_id", "rep", probes=24, cover=1.0)
+    return near.select(F.col("id").alias("rep_id"), F.col("nb").alias("neighbour_id"), F.round("cosine", 6).alias("cosine"), "rank")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.garbled_rows(table(spark, sf_dir, "ner2002"), "token_id", "word").select(F.col("row_id").alias("token_id"), "restored")
 
@@ -85,7 +95,7 @@ def p9_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_amounts(docs, spans.shared_spans(docs))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p3_found, p3_leaks, p4_found, p4_clusters, p6_found, p6_repairs, p7_containers, p7_fill, p8_uses, p8_mixture, p8_shares, p9_found, p9_amounts)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p3_found, p3_leaks, p4_found, p4_clusters, p5_found, p5_neighbours, p6_found, p6_repairs, p7_containers, p7_fill, p8_uses, p8_mixture, p8_shares, p9_found, p9_amounts)}
 
 _P1 = """
 with t as (
