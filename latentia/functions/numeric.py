@@ -66,6 +66,17 @@ def kbest(v: Column, k: int) -> Column:
     """Projection on the k greatest log scores: the others become -infinity, the mass stays. k = 0 keeps all."""
     if k == 0:
         return v
-    floor = F.element_at(F.sort_array(v, asc=False), k)
-    kept = F.transform(v, lambda x: F.when(x >= floor, x).otherwise(F.lit(ZERO)))
-    return F.transform(kept, lambda x: x + (log_sum_exp(v) - log_sum_exp(kept)))
+    let = lambda value, body: F.transform(F.array(value), body)[0]  # noqa: E731  one evaluation, not one per element
+    mass = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + F.exp(x))
+
+    def shifted(s: Column) -> Column:
+        kept = F.transform(s["w"], lambda x: F.when(x >= s["floor"], x).otherwise(F.lit(ZERO)))
+        by = F.ln(mass(s["w"])) - F.ln(mass(kept))
+        return let(F.struct(kept.alias("k"), by.alias("by")), lambda t: F.transform(t["k"], lambda x: x + t["by"]))
+
+    # scores relative to the greatest, so that their exponentials do not vanish
+    relative = let(F.array_max(v), lambda m: F.struct(F.transform(v, lambda x: x - m).alias("w"), m.alias("m")))
+    return let(
+        let(relative, lambda r: F.struct(r["w"].alias("w"), r["m"].alias("m"), F.element_at(F.sort_array(r["w"], asc=False), k).alias("floor"))),
+        lambda s: F.transform(shifted(s), lambda x: x + s["m"]),
+    )
