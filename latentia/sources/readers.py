@@ -19,7 +19,9 @@ def numbered_lines(spark: SparkSession, path: str, encoding: str = "UTF-8", skip
     Lines keep their order inside a split, and a split's number orders the splits of a file, so only one count per
     split is exchanged to number them.
     """
-    raw = spark.read.option("encoding", encoding).text(path) if encoding.upper() in ("UTF-8", "US-ASCII", "ASCII") else spark.read.option("header", False).option("encoding", encoding).option("sep", "\x01").option("quote", "").option("escape", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).schema("value string").csv(path)
+    raw = spark.read.text(path).select("value", "_metadata")
+    if encoding.upper() not in ("UTF-8", "US-ASCII", "ASCII"):  # lines are kept as bytes until they are decoded
+        raw = raw.withColumn("value", F.decode(F.col("value").cast("binary"), encoding))
     rows = raw.select(F.coalesce("value", F.lit("")).alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("m"))
     local = rows.withColumn("r", F.row_number().over(Window.partitionBy("file", "at").orderBy("m")))
     sizes = local.groupBy("file", "at").agg(F.count("*").alias("n"))

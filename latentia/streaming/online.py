@@ -50,7 +50,7 @@ def train_stream(spark: SparkSession, folder: str, pattern: str, p: Params, a: f
 def hourly_counts(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     """``event_type, window_start, n, total`` with a watermark; complete windows of the drained stream."""
     counts = (
-        events(spark, folder, pattern).withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 hour").alias("w"), "event_type")
+        events(spark, folder, pattern).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 hour").alias("w"), "event_type")
         .agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     )
     base = f"{shared_dir(spark)}/latentia/stream-{uuid.uuid4().hex}"
@@ -63,4 +63,4 @@ def hourly_counts(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     run.awaitTermination()
     rows = spark.read.parquet(f"{base}/out")
     last = rows.groupBy("event_type", "window_start").agg(F.max_by(F.struct("n", "total"), "b").alias("r"))
-    return last.select("event_type", "window_start", "r.n", F.round("r.total", 4).alias("total"))
+    return last.select("event_type", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "r.n", F.round("r.total", 4).alias("total"))
