@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from latentia.session import cut
+from latentia.session import cut, default_parallelism
 
 LOST = "�"
 SINGLE_BYTE = ("cp437", "cp850", "mac_roman", "cp1252")
@@ -237,7 +237,7 @@ def garbled_words(df: DataFrame, word: str) -> DataFrame:
     freq = cut(df.select(F.col(word).alias("word")).where(F.col("word").isNotNull() & (F.col("word") != "")).groupBy("word").agg(F.count("*").alias("n")), "words")
     triples = freq.select("word").mapInArrow(_trusted, "t string, c long").groupBy("t").agg(F.sum("c").alias("c")).orderBy(F.col("c").desc(), "t").limit(MODEL_LIMIT)
     model = spark.sparkContext.broadcast({r.t: r.c for r in triples.collect()})
-    odd = freq.where(F.length("word") != F.octet_length("word")).repartition("word")
+    odd = freq.where(F.length("word") != F.octet_length("word")).repartition(default_parallelism(spark), "word")  # few bytes, much work
     cands = odd.mapInArrow(_candidates(model), CANDIDATES)
     known = freq.select(F.col("word").alias("cand"), F.col("n").alias("n_cand"))
     weighed = cands.join(known, "cand", "left").withColumn("n_cand", F.coalesce("n_cand", F.lit(0)))
