@@ -35,6 +35,8 @@ SINGLE_BYTE = ("cp437", "cp850", "mac_roman", "cp1252")
 READ_AS = ("latin-1", "cp1252", "cp1250", "iso8859-2", "iso8859-15", "cp437", "cp850", "mac_roman", "cp1251")
 MODEL_LIMIT = 200_000
 WRITTEN = "’‘“”«»–—…•¿¡€£·ªº°§"  # beside letters
+ROUNDS = 2
+SLACK = 2.0  # what the letter model may hold against a repair that the corpus knows well
 PRIOR = 6.0  # log odds against a word having passed a given single-byte channel
 UNKNOWN = 3  # a word whose repair the corpus does not know is garbled only if it occurs at most so often
 FREQUENT = 5.0  # a repaired word is "far more frequent" from this ratio on
@@ -132,7 +134,7 @@ def lattice(word: str, right: str, wrong: str, letters: list[str]) -> list[list[
         elif c.isalpha():  # a span may be undamaged
             edges[i].append((1, [c]))
         if right != "utf-8":
-            if data[i] is not None and (x := _char(data[i], right)) and x.isalpha() and x != c:
+            if data[i] is not None and (x := _char(data[i], right)) and (x.isalpha() or x in WRITTEN) and x != c:
                 edges[i].append((1, [x]))
             continue
         for size in (2, 3, 4):
@@ -201,9 +203,11 @@ def candidates(word: str, model: LetterModel) -> Iterator[tuple[str, str, float,
             edges = lattice(word, right, wrong, model.letters)
             if not all(edges):
                 continue  # not wholly explained by this channel
-            path = viterbi(edges, model)
-            if path is not None and path[1] != word and not has_controls(path[1]):
-                yield path[1], f"{right}>{wrong}", path[0] - keep, False, False
+            # with undamaged spans left as they are, and with every sign decoded
+            paths = {p for e in (edges, [x[-1:] for x in edges]) if (p := viterbi(e, model)) is not None}
+            for score, text in sorted(paths):
+                if text != word and not has_controls(text):
+                    yield text, f"{right}>{wrong}", score - keep, False, False
 
 
 def _candidates(model):
@@ -235,21 +239,25 @@ def garbled_words(df: DataFrame, word: str) -> DataFrame:
     """``word, n, restored, guess, channel`` of every distinct garbled word."""
     spark = df.sparkSession
     freq = cut(df.select(F.col(word).alias("word")).where(F.col("word").isNotNull() & (F.col("word") != "")).groupBy("word").agg(F.count("*").alias("n")), "words")
-    triples = freq.select("word").mapInArrow(_trusted, "t string, c long").groupBy("t").agg(F.sum("c").alias("c")).orderBy(F.col("c").desc(), "t").limit(MODEL_LIMIT)
-    model = spark.sparkContext.broadcast({r.t: r.c for r in triples.collect()})
     odd = freq.where(F.length("word") != F.octet_length("word")).repartition(default_parallelism(spark), "word")  # few bytes, much work
-    cands = odd.mapInArrow(_candidates(model), CANDIDATES)
     known = freq.select(F.col("word").alias("cand"), F.col("n").alias("n_cand"))
-    weighed = cands.join(known, "cand", "left").withColumn("n_cand", F.coalesce("n_cand", F.lit(0)))
     rare = F.col("n_cand") < FREQUENT * F.col("n")
-    taken = cut(weighed.where(
-        F.col("lost") | F.col("utf8") | (~rare & (F.col("gain") > 0))
-        | (rare & (F.col("n_cand") > 0) & (F.col("n_cand") * FREQUENT >= F.col("n")) & (F.col("gain") > PRIOR))
-        | ((F.col("n_cand") == 0) & (F.col("n") <= UNKNOWN) & (F.col("gain") > PRIOR))
-    ), "repairs")
-    # how many words each channel explains is its weight among rivals; there are as many rows as channels
-    share = taken.groupBy("channel").agg(F.log(F.countDistinct("word") + 0.1).alias("weight"))
-    ranked = taken.join(F.broadcast(share), "channel").withColumn("total", F.col("gain") + F.col("weight"))
+    clean, taken = freq.select("word"), None
+    for _ in range(ROUNDS):  # what one round repairs, the next one's letter model does not learn from
+        triples = clean.mapInArrow(_trusted, "t string, c long").groupBy("t").agg(F.sum("c").alias("c")).orderBy(F.col("c").desc(), "t").limit(MODEL_LIMIT)
+        model = spark.sparkContext.broadcast({r.t: r.c for r in triples.collect()})
+        cands = odd.mapInArrow(_candidates(model), CANDIDATES)
+        weighed = cands.join(known, "cand", "left").withColumn("n_cand", F.coalesce("n_cand", F.lit(0)))
+        taken = cut(weighed.where(
+            F.col("lost") | F.col("utf8") | (~rare & (F.col("gain") > -SLACK))
+            | (rare & (F.col("n_cand") > 0) & (F.col("n_cand") * FREQUENT >= F.col("n")) & (F.col("gain") > PRIOR))
+            | ((F.col("n_cand") == 0) & (F.col("n") <= UNKNOWN) & (F.col("gain") > PRIOR))
+        ), "repairs")
+        clean = freq.select("word").join(taken.select("word").distinct(), "word", "left_anti")
+    # how many words a channel explains best is its weight among rivals; there are as many rows as channels
+    first = taken.groupBy("word").agg(F.max_by("channel", F.struct("utf8", ~rare, "gain", "cand")).alias("channel"))
+    share = first.groupBy("channel").agg(F.log(F.count("*") + 0.1).alias("weight"))
+    ranked = taken.join(F.broadcast(share), "channel", "left").withColumn("total", F.col("gain") + 2 * F.coalesce("weight", F.lit(-2.0)))
     best = ranked.groupBy("word", "n").agg(F.max_by(F.struct("cand", "channel", "lost"), F.struct("utf8", ~rare, "total", "n_cand", "cand")).alias("b"))
     return best.select("word", "n", F.when(F.col("b.lost"), "").otherwise(F.col("b.cand")).alias("restored"), F.col("b.cand").alias("guess"), F.col("b.channel").alias("channel"))
 

@@ -18,7 +18,6 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from latentia.llm.tokens import PATTERN, VOCABULARY, with_tokens
@@ -110,7 +109,7 @@ def containers(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capa
     blocks = max(1, round(total / (capacity * block_windows)))
     rest = rest.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(blocks)))
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key, pdf):
         pdf = pdf.sort_values(["n_tokens", "doc_id", "piece"], ascending=[False, True, True])
         window = pack(pdf["n_tokens"].to_numpy(np.int64), capacity)
         return pdf.drop(columns="block").assign(container=[f"block-{key[0]}-{w}" for w in window.tolist()])
