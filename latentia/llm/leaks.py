@@ -114,7 +114,7 @@ def leaked(lines: DataFrame, line_id: str, line: str, items: DataFrame, item_id:
         part = held_out.mapInArrow(_windows(width, whole=whole), WINDOWS)
         sketch = part if sketch is None else sketch.unionByName(part)
     sketch = cut(sketch.distinct(), "items")
-    total = sketch.select("width", "minhash").distinct().groupBy("width").count().collect()
+    total = sketch.groupBy("width").count().collect()
     small = sum(r["count"] for r in total) <= SKETCH_LIMIT
     found = None
     for width in sorted(r["width"] for r in total):
@@ -130,7 +130,7 @@ def leaked(lines: DataFrame, line_id: str, line: str, items: DataFrame, item_id:
     sizes = sketch.groupBy("id", "width").agg(F.count("*").alias("item_windows")).withColumnsRenamed({"id": "item"})
     right = sketch.select(F.col("id").alias("item"), "width", "minhash", "win")
     return (
-        found.distinct().join(F.broadcast(right) if small else right, ["width", "minhash", "win"])
+        found.distinct().join(right, ["width", "minhash", "win"])
         .groupBy("id", "item", "width").agg(F.count("*").alias("shared"))
         .join(sizes, ["item", "width"])
         .select(F.col("id").alias("line_id"), F.col("item").alias("item_id"), "shared", "item_windows")

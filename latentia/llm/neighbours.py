@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
+from latentia.llm.clusters import shared_out
 from latentia.llm.vectors import matrix, units
 from latentia.session import cut
 
@@ -31,6 +32,7 @@ PART_ROWS = 16_384
 TARGET_ROWS = 2_048
 COVER, LEAST, PROBES = 0.999, 2, 8
 HIDDEN, EPOCHS, DEPTH = 128, 30, 4
+VISITORS = 8
 
 
 def graph(x: np.ndarray, k: int) -> np.ndarray:
@@ -276,7 +278,8 @@ def nearest(df: DataFrame, row_id: str, vector: str, k: int = 5, dim: int = 72,
     router = fit(classes, dim, target_rows, part_rows)
     sent = spark.sparkContext.broadcast(router)
     visits = classes.select("id", "v").mapInArrow(_visits(sent, dim, probes, cover), "part long, resident boolean, id long, v array<float>")
-    found = visits.groupBy("part").applyInArrow(_search(dim, k, least), "q long, r long, cosine double")
+    visits = shared_out(cut(visits, "visits"), "part", "id", VISITORS * part_rows)
+    found = visits.groupBy("part", "share").applyInArrow(_search(dim, k, least), "q long, r long, cosine double")
     found = cut(found, "pairs").select("q", F.col("r").alias("nb"), "cosine").distinct()
     copies = classes.where("n > 1").select(F.col("id").alias("c"), "key", "ids")
     found = _first(found, "q", k).drop("rank").join(copies.select("c", "ids"), F.col("nb") == F.col("c"), "left")

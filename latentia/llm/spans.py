@@ -36,6 +36,7 @@ GRAM = 64
 BLOCK_LIMIT = 4096
 CHUNK = 1_500_000
 MAX_RUN = 4096
+SLICE = 262_144
 _B1, _B2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 PHRASES = "h long, doc_id long, s int, n int, ctx long"
 PARTS = "h long, ctx long, a int, b int"
@@ -259,10 +260,12 @@ def shared_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     open_blocks = classes.groupBy("h").agg(F.count("*").alias("classes"), F.max((F.col("lo") == F.col("hi")).cast("int")).alias("open")).where("open = 1")
     classes = cut(classes.join(open_blocks.select("h", "classes"), "h", "left"), "classes")
     whole = classes.where("lo <> hi").select("h", "ctx", F.lit(0).alias("a"), (F.col("rep.n") - 1).alias("b"))
-    reps = classes.where("classes is not null").select("rep.doc_id", F.struct("h", "ctx", "lo", "hi", "rep.s", "rep.n").alias("p"), F.pmod("h", F.lit(16)).alias("part"))
-    # a long document holds many phrases: they meet its text in 16 parts at most, so no list grows with it alone
+    # phrases meet the slice of the text that they start in, so no list and no text grows with a long document
+    part = F.floor(F.col("rep.s") / SLICE).cast("int")
+    reps = classes.where("classes is not null").select("rep.doc_id", F.struct("h", "ctx", "lo", "hi", (F.col("rep.s") - part * SLICE).alias("s"), "rep.n").alias("p"), part.alias("part"))
     reps = reps.groupBy("doc_id", "part").agg(F.collect_list("p").alias("wanted"))
-    texts = reps.join(src, "doc_id").select("text", "wanted").mapInArrow(_cut_texts(length), "h long, ctx long, lo long, hi long, text string")
+    slices = reps.join(src, "doc_id").select(F.substring("text", F.col("part") * SLICE + 1, F.lit(SLICE + MAX_RUN + length)).alias("text"), "wanted")
+    texts = slices.mapInArrow(_cut_texts(length), "h long, ctx long, lo long, hi long, text string")
     texts = cut(texts.join(classes.where(F.col("classes") > block_limit).select("h").distinct().withColumn("big", F.lit(True)), "h", "left"), "texts")
     near = texts.where("big is null").drop("big").repartition("h").sortWithinPartitions("h").mapInArrow(_parse(length), PARTS)
     found = near.unionByName(whole)

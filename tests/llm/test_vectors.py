@@ -109,3 +109,11 @@ def test_balanced_parts():
     x = g.standard_normal((1000, 6)).astype(np.float32)
     label = neighbours.balanced_parts(neighbours.graph(x, 10), 8)
     assert set(np.bincount(label)) == {125}
+
+
+def test_visitors_are_dealt_out(spark):
+    rows = [(1, i, True) for i in range(3)] + [(1, 10 + i, False) for i in range(40)] + [(2, 50, True), (3, 60, False)]
+    df = spark.createDataFrame(rows, "at int, row long, resident boolean")
+    got = [(r.at, r.row, r.resident, r.share) for r in clusters.shared_out(df, "at", "row", 10).collect()]
+    assert sorted((a, i, s) for a, i, r, s in got if r) == [(1, i, s) for i in range(3) for s in range(4)] + [(2, 50, 0)]
+    assert sorted(i for _, i, r, _ in got if not r) == [*range(10, 50), 60] and {s for a, _, r, s in got if not r and a == 1} <= {0, 1, 2, 3}
