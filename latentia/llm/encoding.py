@@ -20,6 +20,7 @@ garbled with no certain original (``restored`` is empty, ``guess`` holds the Vit
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import defaultdict
@@ -42,6 +43,7 @@ UNKNOWN = 3  # a word whose repair the corpus does not know is garbled only if i
 FREQUENT = 5.0  # a repaired word is "far more frequent" from this ratio on
 CANDIDATES = "word string, n long, cand string, channel string, gain double, utf8 boolean, lost boolean"
 _EDGE = "\x02"
+_PAIR = re.compile(r"[^\x00-\x7F]{2}")  # a multi-byte sequence was read as two signs or more
 _SIGN_INSIDE = re.compile(r"[A-Za-z][^\x00-\x7F\w’]|[^\x00-\x7F\w’][A-Za-z]")  # a sign beside a letter is likelier debris
 
 
@@ -67,6 +69,8 @@ def utf8_debris(word: str) -> bool:
 
 def unread(word: str, wrong: str) -> str | None:
     """The word with every span decoded that is a valid UTF-8 sequence in the bytes of ``wrong``; None if there is none."""
+    if not _PAIR.search(word):
+        return None
     out, i, n = [], 0, len(word)
     data = [None if c.isascii() else _byte(c, wrong) for c in word]
     hit = False
@@ -86,6 +90,14 @@ def unread(word: str, wrong: str) -> str | None:
     return "".join(out) if hit else None
 
 
+@functools.lru_cache(65536)
+def swapped(c: str, right: str, wrong: str) -> str | None:
+    """What a sign read in ``wrong`` is in ``right``; None if it is the same or no letter or sign of a text."""
+    byte = _byte(c, wrong)
+    x = _char(byte, right) if byte is not None else None
+    return x if x and x != c and (x.isalpha() or x in WRITTEN) else None
+
+
 def has_controls(word: str) -> bool:
     return any(0x7F <= ord(c) < 0xA0 for c in word)
 
@@ -107,6 +119,7 @@ class LetterModel:
             self.ctx1[t[1]] += c
             self.uni[t[2]] += c
         self.total = sum(self.uni.values()) or 1
+        self.uni = dict(self.uni)
         self.letters = [c for c, n in sorted(self.uni.items(), key=lambda x: -x[1]) if not c.isascii() and c.isalpha()][:200]
 
     def logp(self, a: str, b: str, c: str, less: int = 0) -> float:
@@ -134,7 +147,7 @@ def lattice(word: str, right: str, wrong: str, letters: list[str]) -> list[list[
         elif c.isalpha():  # a span may be undamaged
             edges[i].append((1, [c]))
         if right != "utf-8":
-            if data[i] is not None and (x := _char(data[i], right)) and (x.isalpha() or x in WRITTEN) and x != c:
+            if x := swapped(c, right, wrong):
                 edges[i].append((1, [x]))
             continue
         for size in (2, 3, 4):
@@ -186,7 +199,7 @@ def candidates(word: str, model: LetterModel) -> Iterator[tuple[str, str, float,
         else:
             yield "", "lost", 0.0, False, True
         return
-    keep = model.score(word, own=True)
+    keep, odd, scored = model.score(word, own=True), {c for c in word if not c.isascii()}, {}
     for wrong in READ_AS:
         seen, found, steps = unread(word, wrong), None, 1
         while seen is not None and steps < 4:
@@ -200,12 +213,19 @@ def candidates(word: str, model: LetterModel) -> Iterator[tuple[str, str, float,
         for right in SINGLE_BYTE:
             if {right, wrong} <= {"cp1252", "latin-1", "iso8859-15"} or right == wrong:
                 continue
-            edges = lattice(word, right, wrong, model.letters)
-            if not all(edges):
-                continue  # not wholly explained by this channel
-            # with undamaged spans left as they are, and with every sign decoded
-            paths = {p for e in (edges, [x[-1:] for x in edges]) if (p := viterbi(e, model)) is not None}
-            for score, text in sorted(paths):
+            table = {c: swapped(c, right, wrong) for c in odd}
+            good = {c for c, x in table.items() if x and (x in WRITTEN or x in model.uni)}  # letters the corpus writes
+            if not good or not all(c in good or c.isalpha() for c in odd):
+                continue  # nothing to repair, or not wholly explained by this channel
+            paths = set()
+            if len(good) == len(odd):  # every sign decoded
+                text = "".join(table.get(c, c) for c in word)
+                if text not in scored:
+                    scored[text] = model.score(text)
+                paths.add((scored[text], text))
+            if len(odd) > 1:  # with undamaged spans left as they are
+                paths.add(viterbi(lattice(word, right, wrong, model.letters), model))
+            for score, text in sorted(paths - {None}):
                 if text != word and not has_controls(text):
                     yield text, f"{right}>{wrong}", score - keep, False, False
 
