@@ -299,7 +299,7 @@ def stream_online_em(spark, d):
     return _param_rows(spark, online.train_stream(spark, d, "events.parquet", fixed())[0])
 
 
-@query("select event_type, date_trunc('hour', ts) window_start, count(*) n, round(sum(value), 4) total from events group by 1, 2")
+@query("select event_type, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') window_start, count(*) n, round(sum(value), 4) total from events group by 1, 2")
 def stream_hourly_counts(spark, d):
     """Hourly tumbling counts of an event stream, drained once."""
     return online.hourly_counts(spark, d, "events.parquet")

@@ -63,4 +63,4 @@ def hourly_counts(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     run.awaitTermination()
     rows = spark.read.parquet(f"{base}/out")
     last = rows.groupBy("event_type", "window_start").agg(F.max_by(F.struct("n", "total"), "b").alias("r"))
-    return last.select("event_type", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "r.n", F.round("r.total", 4).alias("total"))
+    return last.select("event_type", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "r.n", F.round("r.total", 4).alias("total"))
