@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from latentia.session import cut
+
 
 def two_cycles(nodes: DataFrame) -> DataFrame:
     """``sent_id`` of sentences with a self-loop or a cycle of two."""
@@ -44,13 +46,14 @@ def depths(nodes: DataFrame) -> DataFrame:
 
     A node is reached once, so the levels end with the deepest tree.
     """
-    base = nodes.select("sent_id", "idx", "head")
+    base = cut(nodes.select("sent_id", "idx", "head"), "nodes")
     level = base.where("head = 0").select("sent_id", "idx", F.lit(1).alias("depth"))
     out, depth = level, 1
     while not level.isEmpty():
         depth += 1
         up = level.select(F.col("sent_id").alias("_s"), F.col("idx").alias("_h"))
         level = base.join(up, (F.col("sent_id") == F.col("_s")) & (F.col("head") == F.col("_h"))).select("sent_id", "idx", F.lit(depth).alias("depth"))
+        level = cut(level, "level")  # else each level would walk from the roots again
         out = out.unionByName(level)
     return out
 

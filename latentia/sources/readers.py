@@ -44,7 +44,7 @@ def segments(rows: DataFrame, boundary: Column, by: str, order: str) -> DataFram
     sums = placed.groupBy(by, "_p").agg(F.sum("_b").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shift = sums.select(F.col(by).alias("_f"), F.col("_p").alias("_q"), before.alias("_s"))
-    joined = local.join(F.broadcast(shift), F.col(by).eqNullSafe(F.col("_f")) & (F.col("_p") == F.col("_q")))
+    joined = local.join(shift, F.col(by).eqNullSafe(F.col("_f")) & (F.col("_p") == F.col("_q")))
     return joined.where("_b = 0").withColumn("segment", (F.col("_c") + F.col("_s")).cast("long")).drop("_b", "_p", "_c", "_f", "_q", "_s")
 
 
