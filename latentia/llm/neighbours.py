@@ -211,7 +211,10 @@ def fit(classes: DataFrame, dim: int, target_rows: int = TARGET_ROWS, part_rows:
 
         at = classes.select("id", "v").mapInArrow(located, "id long, v array<float>, part long") if router.nets else classes.select("id", "v", F.lit(0).cast("long").alias("part"))
         for p in large:  # as many passes as parts that are too large, most often one in all
-            got = at.where(F.col("part") == p).orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toArrow()
+            # rows of least hash; the bound on the hash keeps what tasks send near the sample's size
+            most = min(1.0, 1.5 * sample / sizes[p]) * 2**62
+            h = F.pmod(F.xxhash64("id"), F.lit(2**62))
+            got = at.where((F.col("part") == p) & (h <= F.lit(int(most)))).orderBy(h, "id").limit(sample).select("v").toArrow()
             x = matrix(got.column("v"), dim)
             parts = min(max(2, sizes[p] // target_rows), max(2, len(x) // 64))
             router.split(p, np.ascontiguousarray(x), parts)
