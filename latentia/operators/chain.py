@@ -113,3 +113,13 @@ def merge_losses(x: np.ndarray, p: Params, occupancy: np.ndarray) -> np.ndarray:
     w = occupancy[0::2] / np.maximum(occupancy[0::2] + occupancy[1::2], 1e-300)
     merged = (alpha[..., 0::2] + alpha[..., 1::2]) * (w * beta[..., 0::2] + (1 - w) * beta[..., 1::2])
     return np.log(np.maximum((total - a - b + merged) / total, 1e-300)).sum((0, 1))
+
+
+def additive_posteriors(pi: np.ndarray, T: np.ndarray, f: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log partition sums[B] and state posteriors[B,L,N] of a linear model's additive scores e[B,L,N]."""
+    top = e.max(2, keepdims=True)  # scores are exponentiated relative to their greatest
+    a, t, z = pi.max(), T.max(), f.max()
+    E, P, M, Z = np.exp(e - top), np.exp(pi - a), np.exp(T - t), np.exp(f - z)
+    alpha, scale, ll, _ = forward(E, P, M, Z)
+    gamma = alpha * backward(E, M, Z, scale)
+    return ll + top.sum((1, 2)) + a + z + t * (e.shape[1] - 1), gamma / gamma.sum(2, keepdims=True)

@@ -142,3 +142,26 @@ def test_param_tables(spark):
     a = P.split_arrays(p, 0.0)
     b = P.merge_arrays(a, [(2 * i, 2 * i + 1) for i in range(4)])
     assert np.allclose(b.T, 2 * p.T / joint) and np.allclose(b.pi, p.pi) and np.allclose(b.E, p.E) and np.allclose(b.f, p.f / joint)
+
+
+def test_additive_scores_against_enumeration():
+    g = np.random.default_rng(2)
+    pi, T, f, e = g.normal(0, 3, 3), g.normal(0, 3, (3, 3)), g.normal(0, 3, 3), g.normal(0, 3, (1, 4, 3))
+    scores, post = {}, np.zeros((4, 3))
+    for s in itertools.product(range(3), repeat=4):
+        scores[s] = chain.path_score(np.array([s]), pi, T, f, e)[0]
+    z = np.log(sum(np.exp(v) for v in scores.values()))
+    for s, v in scores.items():
+        for t, k in enumerate(s):
+            post[t, k] += np.exp(v - z)
+    ll, gamma = chain.additive_posteriors(pi, T, f, e)
+    assert np.isclose(ll[0], z) and np.allclose(gamma[0], post)
+    path, best = chain.best_path(pi, T, f, e)
+    assert tuple(path[0]) == max(scores, key=scores.get) and np.isclose(best[0], max(scores.values()))
+
+
+def test_approximation_is_exact_for_few_states():
+    p, x = model(7), np.array([[0, 1, 2, 3]])
+    assert np.allclose(chain.posteriors(x, p, approx=True)[1], chain.posteriors(x, p)[1])
+    q = model(16)
+    assert chain.posteriors(x, q, approx=True)[1].shape == (1, 4, 16)

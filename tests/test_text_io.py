@@ -162,3 +162,23 @@ def test_perceptron(spark):
     for shards in (1, 3):
         got = PC.predict(sent, PC.train(sent, tags, 3, shards), tags)
         assert got.where("gold <> pred").count() == 0 and got.count() == len(rows)
+
+
+def test_plugins(spark, tmp_path):
+    from latentia.sources import plugins
+
+    plugins.register(spark)
+    (tmp_path / "a").write_text("\n" + SENT + "\n" + SENT.replace("cat", "dog"))
+    (tmp_path / "b").write_text("1\tA\ta\tD\tDT\t_\t0\tROOT\n")
+    got = spark.read.format("conll").load(str(tmp_path))
+    assert sorted((r.sent_id, r.idx, r.form, r.head) for r in got.collect()) == [(1, 1, "A", 0), (1, 1, "The", 2), (1, 2, "cat", 0), (2, 1, "The", 2), (2, 2, "dog", 0)]
+    rows = spark.sql("select t.pos, t.word from values (' a  b ') s(line), lateral tokenize(line) t").collect()
+    assert sorted((r.pos, r.word) for r in rows) == [(0, "a"), (1, ""), (2, "b")]
+
+
+def test_indexes_and_listing(spark, tmp_path):
+    for n in ("p10.conll", "p2.conll", "note.txt"):
+        (tmp_path / n).write_text("x")
+    got = R.parsed_index(spark, str(tmp_path)).orderBy("position").collect()
+    assert [(r.file_no, r.position) for r in got] == [(2, 1), (10, 2)]
+    assert R.listing(spark, str(tmp_path), "note").count() == 1
