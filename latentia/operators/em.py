@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from latentia.operators import chain, treebp
 from latentia.operators.params import SMOOTHING, Params, merge_arrays, split_arrays, step_size
-from latentia.session import cut
+from latentia.session import cut, ship
 
 DENSE_LIMIT = 16_000_000
 FLUSH_WORDS = 50_000
@@ -169,6 +169,7 @@ def summed(counts: DataFrame) -> DataFrame:
 
 def expected_counts(data: DataFrame, p: Params, approx: bool = False) -> DataFrame:
     """``kind, key, vals``: init, final [N x R]; trans by state [N x R]; emit by word (x R + relation) [N]; ll."""
+    ship(data.sparkSession)
     sent = data.sparkSession.sparkContext.broadcast(p)
     if "head" in data.columns:
         return summed(data.select("head", "x", "rel").mapInArrow(_tree_counts(sent, approx), COUNTS))

@@ -24,6 +24,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from latentia.session import ship
+
 PARSED = "line_id long, fields array<string>, reason string, cost int, edits array<string>"
 START, PLAIN, QUOTED, CLOSED = range(4)
 _INF = 1 << 60
@@ -257,6 +259,7 @@ def plainly_valid_tagged(line: Column, tags: list[str]) -> Column:
 
 def parse_ner_lines(df: DataFrame, line_id: str, line: str, failing_only: bool = False) -> DataFrame:
     """``line_id, fields, reason, cost, edits`` of every non-boundary line; ``fields`` null where it fails."""
+    ship(df.sparkSession)
     rows = df.select(F.col(line_id).cast("long").alias("line_id"), F.col(line).alias("line")).where(F.col("line").isNotNull() & ~boundary(F.col("line")))
     good = F.coalesce(plainly_valid_delimited(F.col("line")), F.lit(False))
     parsed = rows.where(~good).mapInArrow(_run(parse_delimited), PARSED)
@@ -267,6 +270,7 @@ def parse_ner_lines(df: DataFrame, line_id: str, line: str, failing_only: bool =
 
 def parse_tagged_lines(df: DataFrame, line_id: str, line: str, tags: list[str], failing_only: bool = False) -> DataFrame:
     """The same for ``word/tag`` lines; ``tags``: the tag set, a closed list."""
+    ship(df.sparkSession)
     allowed = sorted({t for t in tags if t is not None})
     rows = df.select(F.col(line_id).cast("long").alias("line_id"), F.col(line).alias("line")).where(F.col("line").isNotNull() & ~boundary(F.col("line")))
     good = F.coalesce(plainly_valid_tagged(F.col("line"), allowed), F.lit(False))

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from latentia.functions.numeric import argmax, usable
+from latentia.session import cut, ship
 
 QUERY_BLOCK = 4096
 
@@ -38,8 +39,6 @@ def state_words(v: DataFrame, threshold: float) -> DataFrame:
 
     Few states hold all words: places are given within ranges of the order, not by one task per state.
     """
-    from latentia.session import cut
-
     kept = exploded(v).where(F.col("p") > threshold)
     by = [F.col("state"), F.col("p").desc(), F.col("word_id")]
     parts = cut(kept.repartitionByRange(*by).withColumn("part", F.spark_partition_id()), "places")
@@ -100,6 +99,7 @@ def most_similar(v: DataFrame, queries: DataFrame, k: int = 10, measure: str = "
     and task are shuffled, never pairs.
     """
     spark = v.sparkSession
+    ship(spark)
     q = queries.select("word_id", "v").orderBy("word_id")
     out, held = None, []
 
@@ -122,6 +122,7 @@ def most_similar(v: DataFrame, queries: DataFrame, k: int = 10, measure: str = "
 def distances(v: DataFrame, queries: DataFrame) -> DataFrame:
     """``a, b, distance`` (Euclidean) of each query row to every row."""
     spark = v.sparkSession
+    ship(spark)
     rows = queries.select("word_id", "v").orderBy("word_id").limit(QUERY_BLOCK + 1).collect()
     if len(rows) > QUERY_BLOCK:
         raise ValueError(f"a distance matrix takes at most {QUERY_BLOCK} target rows")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,7 +28,22 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per context: their workers may not have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_latentia_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="latentia-")) / "latentia.zip"  # the driver serves it from here
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, str(p.relative_to(root.parent)))
+    context.addPyFile(str(path))
+    context._latentia_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -54,6 +71,7 @@ def cut(df: DataFrame, what: str = "step") -> DataFrame:
     The table is columnar and compressed, so later steps read only the columns they need.
     """
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/latentia/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
