@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from latentia.session import cut
+from latentia.session import cut, ship
 
 HEAVY_SLOTS = 2048
 HEAVY_BYTES = 256
@@ -104,6 +104,7 @@ def term_counts(df: DataFrame, text: str, record: str | None = None) -> DataFram
     rows with equal ``record`` form one record.
     """
     spark, split = df.sparkSession, record is None
+    ship(spark)
     if split:
         rows = df.select(F.col(text).alias("text"))
     else:
