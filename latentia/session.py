@@ -65,6 +65,18 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+def work_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_dir(spark)}/latentia-{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all tables this application cut; results not yet computed lose what they read."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(work_dir(spark))
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame, what: str = "step") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage ends here, executors may be lost.
 
@@ -72,7 +84,7 @@ def cut(df: DataFrame, what: str = "step") -> DataFrame:
     """
     spark = df.sparkSession
     ship(spark)
-    path = f"{shared_dir(spark)}/latentia/{what}-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from latentia.operators import em as E
 from latentia.operators.params import Params, step_size
-from latentia.session import shared_dir, table
+from latentia.session import table, work_dir
 
 SYMBOLS = ("click", "error", "purchase", "signup", "view")
 
@@ -41,7 +41,7 @@ def train_stream(spark: SparkSession, folder: str, pattern: str, p: Params, a: f
         state["p"], state["t"] = E.blended(state["p"], new, step_size(batch_id, a, alpha)), batch_id
         lls.append(ll)
 
-    where = f"{shared_dir(spark)}/latentia/stream-{uuid.uuid4().hex}"
+    where = f"{work_dir(spark)}/stream-{uuid.uuid4().hex}"
     run = events(spark, folder, pattern).writeStream.foreachBatch(apply).option("checkpointLocation", where).trigger(availableNow=True).start()
     run.awaitTermination()
     return state["p"], lls
@@ -53,7 +53,7 @@ def hourly_counts(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
         events(spark, folder, pattern).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 hour").alias("w"), "event_type")
         .agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     )
-    base = f"{shared_dir(spark)}/latentia/stream-{uuid.uuid4().hex}"
+    base = f"{work_dir(spark)}/stream-{uuid.uuid4().hex}"
 
     def keep(batch: DataFrame, batch_id: int) -> None:
         # update mode: later batches replace a window's row
