@@ -117,3 +117,18 @@ def test_visitors_are_dealt_out(spark):
     got = [(r.at, r.row, r.resident, r.share) for r in clusters.shared_out(df, "at", "row", 10).collect()]
     assert sorted((a, i, s) for a, i, r, s in got if r) == [(1, i, s) for i in range(3) for s in range(4)] + [(2, 50, 0)]
     assert sorted(i for _, i, r, _ in got if not r) == [*range(10, 50), 60] and {s for a, _, r, s in got if not r and a == 1} <= {0, 1, 2, 3}
+
+
+def test_seeds_that_are_all_copies(spark):
+    """Most rows of a leaf are copies, so that all seeds are: the other rows are no part of their cluster."""
+    g = np.random.default_rng(3)
+    rows = [(i, [1.0] + [0.0] * (D - 1)) for i in range(3000)]
+    rows += [(4000 + i, v) for i, v in enumerate(g.standard_normal((12, D)))]
+    ids, x = usable(rows)
+    df = frame(spark, rows)
+    got = {r.id: r.cluster_key for r in clusters.assign(df, "id", "v", dim=D, local_rows=100).collect()}
+    assert got == components(ids, x)
+    tree, known = clusters.upper_tree(units(df, "id", "v", D), D, 0.9, 100)
+    at = tree.descend(x.astype(np.float32))
+    for leaf in known:
+        assert known[leaf]["low"] == pytest.approx(float((x[at == leaf] @ tree.centres[leaf]).min()), abs=1e-5)
