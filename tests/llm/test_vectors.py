@@ -132,3 +132,12 @@ def test_seeds_that_are_all_copies(spark):
     at = tree.descend(x.astype(np.float32))
     for leaf in known:
         assert known[leaf]["low"] == pytest.approx(float((x[at == leaf] @ tree.centres[leaf]).min()), abs=1e-5)
+
+
+def test_links_between_leaves_are_exact(spark):
+    """Branching clusters, cut at many places and linked by any of their rows; near-copies that no task gathers are among them."""
+    x = np.random.default_rng(6).standard_normal((1500, 7))
+    x = np.vstack([x, x[0] + 0.01 * np.random.default_rng(7).standard_normal((400, 7))])
+    rows = [(i, [*v, 0.0]) for i, v in enumerate(x)]
+    got = {r.id: r.cluster_key for r in clusters.assign(frame(spark, rows), "id", "v", dim=D, local_rows=100).collect()}
+    assert got == components(*usable(rows))
