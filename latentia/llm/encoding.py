@@ -6,7 +6,8 @@ wildcard) and a Viterbi search finds the likeliest text in the first charset und
 are the last letter, edges decode one to four bytes, a wildcard may stand for any letter the corpus knows. Repaired and
 unrepaired readings are then weighed by corpus word frequencies: a word is garbled where a channel explains it
 
-* in UTF-8 (a multi-byte sequence that is valid by chance is next to impossible in a clean word), or
+* in UTF-8 (a multi-byte sequence is seldom valid by chance), if the letter model gains more than a small prior or the
+  repaired word is far more frequent, or
 * in a single-byte charset, if the repaired word is far more frequent in the corpus, or, where the corpus does not
   know it, if the letter model gains more than the channel's prior and the word itself is rare.
 
@@ -39,6 +40,7 @@ WRITTEN = "’‘“”«»–—…•¿¡€£·ªº°§"  # beside letters
 ROUNDS = 2
 SLACK = 2.0  # what the letter model may hold against a repair that the corpus knows well
 PRIOR = 6.0  # log odds against a word having passed a given single-byte channel
+UTF8_PRIOR = 2.0  # the same where a multi-byte sequence came out valid, which is rare by chance
 UNKNOWN = 3  # a word whose repair the corpus does not know is garbled only if it occurs at most so often
 FREQUENT = 5.0  # a repaired word is "far more frequent" from this ratio on
 CANDIDATES = "word string, n long, cand string, channel string, gain double, utf8 boolean, lost boolean"
@@ -90,6 +92,27 @@ def unread(word: str, wrong: str) -> str | None:
     return "".join(out) if hit else None
 
 
+def utf8_lattices(word: str, wrong: str) -> Iterator[tuple[int, list[list[tuple[int, list[str]]]]]]:
+    """Steps and lattice: every sign as it is, and every span that is a UTF-8 sequence in ``wrong``, at last after up to three steps."""
+    units, edges = [(1, c) for c in word], [[(1, [c])] for c in word]
+    charset = wrong
+    for step in (1, 2, 3):
+        seen = "".join(c for _, c in units)
+        charset = next((w for w in ((wrong,) if step == 1 else (wrong, *READ_AS)) if unread(seen, w) is not None), None)
+        if charset is None:
+            return
+        merged, i, at = [], 0, 0
+        while i < len(units):
+            size = next((k for k in (2, 3, 4) if i + k <= len(units) and not any(c.isascii() for _, c in units[i : i + k]) and len(x := unread(seen[i : i + k], charset) or "") == 1), 1)
+            width, text = sum(n for n, _ in units[i : i + size]), x if size > 1 else units[i][1]
+            if size > 1 and not has_controls(text):
+                edges[at].append((width, [text]))
+            merged.append((width, text))
+            i, at = i + size, at + width
+        units = merged
+        yield step, edges
+
+
 @functools.lru_cache(65536)
 def swapped(c: str, right: str, wrong: str) -> str | None:
     """What a sign read in ``wrong`` is in ``right``; None if it is the same or no letter or sign of a text."""
@@ -199,15 +222,17 @@ def candidates(word: str, model: LetterModel) -> Iterator[tuple[str, str, float,
         else:
             yield "", "lost", 0.0, False, True
         return
-    keep, odd, scored = model.score(word, own=True), {c for c in word if not c.isascii()}, {}
-    for wrong in READ_AS:
-        seen, found, steps = unread(word, wrong), None, 1
-        while seen is not None and steps < 4:
-            if not has_controls(seen):
-                found = (seen, steps)
-            seen, steps = next((x for w in (wrong, *READ_AS) if (x := unread(seen, w)) is not None), None), steps + 1
+    debris, odd, scored = utf8_debris(word), {c for c in word if not c.isascii()}, {}
+    keep = model.score(word, own=not debris)  # the model has not learnt from debris
+    for wrong in READ_AS if debris else ():
+        found = None
+        for steps, edges in utf8_lattices(word, wrong):
+            path = viterbi(edges, model)
+            if path and path[1] != word and (found is None or path[1] != found[0]) and not has_controls(path[1]):
+                found = path[1], steps, path[0]
         if found:
-            yield found[0], f"utf-8>{wrong} x{found[1]}", model.score(found[0]) - keep, True, False
+            yield found[0], f"utf-8>{wrong} x{found[1]}", found[2] - keep, True, False
+    for wrong in READ_AS:
         if not any(c.isascii() and c.isalpha() for c in word):
             continue  # a lone sign
         for right in SINGLE_BYTE:
@@ -269,7 +294,7 @@ def garbled_words(df: DataFrame, word: str) -> DataFrame:
         cands = odd.mapInArrow(_candidates(model), CANDIDATES)
         weighed = cands.join(known, "cand", "left").withColumn("n_cand", F.coalesce("n_cand", F.lit(0)))
         taken = cut(weighed.where(
-            F.col("lost") | F.col("utf8") | (~rare & (F.col("gain") > -SLACK))
+            F.col("lost") | (F.col("utf8") & (F.col("gain") > UTF8_PRIOR)) | (~rare & (F.col("gain") > -SLACK))
             | (rare & (F.col("n_cand") > 0) & (F.col("n_cand") * FREQUENT >= F.col("n")) & (F.col("gain") > PRIOR))
             | ((F.col("n_cand") == 0) & (F.col("n") <= UNKNOWN) & (F.col("gain") > PRIOR))
         ), "repairs")

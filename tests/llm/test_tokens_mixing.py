@@ -104,3 +104,12 @@ def test_encoding(spark):
     guess = {r.word: r.guess for r in encoding.garbled_words(df, "word").collect()}
     assert guess["seg�n"] == "según"
     assert encoding.garbled_rows(df.limit(0), "id", "word").count() == 0
+
+
+def test_clean_words_that_are_valid_utf8_by_chance(spark):
+    """Two signs that are a UTF-8 sequence in some charset are repaired only if the letter model gains."""
+    words = [(w, 40) for w in CLEAN] + [("Índice", 40), ("Ítaca", 40), ("Íñigo", 5), ("‘één", 5), ("één", 40), ("niÃ±o", 2), ("niÃƒÂ±o", 1)]
+    rows = [w for w, n in words for _ in range(n)]
+    df = spark.createDataFrame(list(enumerate(rows)), "id long, word string")
+    got = {(r.word, r.restored) for r in encoding.garbled_words(df, "word").collect()}
+    assert got == {("niÃ±o", "niño"), ("niÃƒÂ±o", "niño")}
