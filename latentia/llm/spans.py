@@ -7,14 +7,16 @@ own minimizers, wherever in the corpus those lie, and never against all blocks.
 1. Each document is cut at minimizer changes into runs of consecutive stretches (a run's text is one phrase).
 2. Blocks in which only one document occurs are dropped by a map-side combined aggregate.
 3. Phrases that are equal in two documents are whole factors; no text is compared for them.
-4. In each other block one copy of each distinct phrase is fetched and parsed greedily: a factor goes on while the
-   stretch at hand occurs in the block under another document. A stretch across a factor's end is looked up like any
-   other, which is the check at factor boundaries.
+4. In each other block one copy of each distinct phrase is fetched: together they are the block's reference text, which
+   is indexed by a suffix array. Every phrase is parsed greedily against it: the longest match with a phrase of another
+   document, found at the nearest suffixes of other documents and compared character by character, is the next factor
+   if it has ``length`` characters or more. The next factor is sought from the first stretch that a factor does not
+   hold as a whole, so that stretches across a factor's end are looked up too (the check at factor boundaries).
 5. Factors are laid over the documents and united where they overlap or touch.
 
-Blocks of more than ``BLOCK_LIMIT`` distinct phrases (copies of one passage in a large part of the corpus) are not
-gathered in a task: their stretches go through a map-side combined aggregate instead, with the same result.
-Hashes of stretches are 128 bits wide and compared within a block only.
+Blocks of more than ``BLOCK_LIMIT`` distinct phrases or ``CHUNK`` characters (copies of one passage in a large part of the corpus) are not
+gathered in a task: their stretches go through a map-side combined aggregate instead, with the same result; there and
+for whole phrases equality is that of 128 bits of hash.
 
 Defined cases: null texts and texts shorter than ``length`` share nothing; a span repeated within one document only
 is not shared; repeated rows with different ids are; positions count characters, which TESTDATA.md says are single
@@ -28,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from latentia.session import cut
@@ -76,9 +79,6 @@ class Rolling:
         n = max(0, len(self.sums) - width)
         return mix((self.sums[width:] - self.sums[:n]) * self.down[:n])
 
-    def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
-
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     """Least of each ``width`` neighbours, by doubling."""
@@ -95,7 +95,8 @@ def code_points(text: str) -> np.ndarray:
 
 def phrases_of(texts: list[str], length: int) -> tuple[np.ndarray, ...]:
     """Runs of stretches with one minimizer: text number, first stretch, number of stretches, minimizer, phrase hash."""
-    codes = code_points("".join(texts))
+    whole = "".join(texts)
+    codes = code_points(whole)
     lens = np.fromiter(map(len, texts), np.int64, len(texts))
     gram = min(GRAM, length)
     ends = np.cumsum(lens)
@@ -116,7 +117,9 @@ def phrases_of(texts: list[str], length: int) -> tuple[np.ndarray, ...]:
         starts, stop = np.repeat(starts, times) + k * MAX_RUN, np.repeat(stop, times)
         n = np.minimum(stop - starts, MAX_RUN)
     owner = np.searchsorted(ends, starts, side="right")
-    return owner, starts - (ends - lens)[owner], n, least[starts], rolling.spans(starts, starts + n - 1 + length)
+    digest = xxhash.xxh3_64_intdigest
+    ctx = np.fromiter((digest(whole[a:b].encode("utf-8", "surrogatepass")) for a, b in zip(starts.tolist(), (starts + n - 1 + length).tolist())), np.uint64, len(starts))
+    return owner, starts - (ends - lens)[owner], n, least[starts], ctx
 
 
 def _chunks(texts: list[str | None], length: int) -> Iterator[list[int]]:
@@ -156,30 +159,94 @@ def stretch_keys(texts: list[str], length: int) -> tuple[np.ndarray, np.ndarray,
     return Rolling(codes, _B1, 1).windows(length)[at], Rolling(codes, _B2, 2).windows(length)[at], which, pos
 
 
-def factors(shared: np.ndarray, which: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Greedy factors: maximal runs of shared stretches of one text, as its number, first and last position."""
-    on = np.flatnonzero(shared)
-    if not len(on):
-        return (np.zeros(0, np.int64),) * 3
-    first = np.append(True, (np.diff(on) > 1) | (which[on[1:]] != which[on[:-1]]))
-    last = np.append(first[1:], True)
-    return which[on[first]], pos[on[first]], pos[on[last]]
+def named(names: np.ndarray, width: int, times: int, length: int | None = None) -> np.ndarray:
+    """Ranks of substrings ``times`` as wide from those of ``width`` (``length``: of that width), by their order.
+
+    Equal ranks are equal characters, not equal hashes. Beyond the end there is a rank below all others.
+    """
+    n, top = len(names), int(names.max(initial=0)) + 2
+    key = np.zeros(n, np.int64)
+    for k in range(times):
+        at = k * width if length is None or k + 1 < times else length - width
+        key *= top
+        key[: max(0, n - at)] += names[at:] + 1
+    return np.unique(key, return_inverse=True)[1].reshape(-1)
+
+
+class Index:
+    """Suffix array of a reference text made of phrases: stretches, and for each of them its nearest foreign suffixes."""
+
+    def __init__(self, texts: list[str], owner: np.ndarray, length: int):
+        """``owner``: a number per phrase, equal for phrases of one document."""
+        self.length = length
+        lens = np.fromiter(map(len, texts), np.int64, len(texts))
+        # a separator below all characters ends every phrase, else the order of suffixes would not be that of their matches
+        self.codes = np.insert(code_points("".join(texts)).astype(np.int64) + 1, np.cumsum(lens), 0)
+        self.start = np.cumsum(lens + 1) - lens - 1
+        self.end = np.repeat(self.start + lens, lens + 1)  # of each character's phrase
+        which = np.repeat(np.arange(len(texts)), lens + 1)
+        valid = self.end - np.arange(len(self.codes)) >= length
+        rank, width = np.unique(self.codes, return_inverse=True)[1].reshape(-1).astype(np.int64), 1
+        fit = lambda: max(2, min(62 // (int(rank.max(initial=0)) + 2).bit_length(), 16))  # noqa: E731  ranks to a key
+        while width < length:
+            times = min(fit(), -(-length // width))
+            rank, width = (named(rank, width, times, length), length) if times * width >= length else (named(rank, width, times), times * width)
+        self.at = np.flatnonzero(valid)
+        own = owner[which[self.at]]
+        order = np.lexsort((own, rank[self.at]))
+        r, o = rank[self.at][order], own[order]
+        new = np.append(True, r[1:] != r[:-1]) if len(r) else np.zeros(0, bool)
+        first = np.flatnonzero(new)
+        several = o[first] != o[np.append(first[1:], len(o)) - 1] if len(first) else np.zeros(0, bool)
+        shared = np.zeros(len(self.codes), bool)
+        shared[self.at[order]] = np.repeat(several, np.diff(np.append(first, len(o))))
+        on = np.flatnonzero(shared)
+        #: The first shared stretch from each position on.
+        self.next_shared = np.append(on, len(self.codes))[np.searchsorted(on, np.arange(len(self.codes)))] if len(self.codes) else on
+        while len(on) and width < (lens.max() if len(lens) else 0):  # order of whole suffixes
+            rank, width = named(rank, width, 2), 2 * width
+        order = on[np.argsort(rank[on], kind="stable")]
+        own = owner[which[order]]
+        change = np.append(True, own[1:] != own[:-1]) if len(own) else np.zeros(0, bool)
+        run = np.cumsum(change) - 1
+        start = np.flatnonzero(change)
+        stop = np.append(start[1:], len(own))
+        self.before, self.after = np.full(len(self.codes), -1), np.full(len(self.codes), -1)
+        if len(order):
+            self.before[order] = np.where(start[run] > 0, order[start[run] - 1], -1)
+            self.after[order] = np.where(stop[run] < len(order), order[np.minimum(stop[run], len(order) - 1)], -1)
+
+    def match(self, i: int, j: int) -> int:
+        """Characters that the text at ``i`` and at ``j`` have in common, within their phrases."""
+        n = int(min(self.end[i] - i, self.end[j] - j))
+        differ = self.codes[i : i + n] != self.codes[j : j + n]
+        k = int(differ.argmax()) if n else 0
+        return k if n and differ[k] else n
+
+    def longest(self, i: int) -> int:
+        """The longest match of the text at ``i`` in a phrase of another document."""
+        return max((self.match(i, int(j)) for j in (self.before[i], self.after[i]) if j >= 0), default=0)
+
+    def factors(self, phrase: int) -> Iterator[tuple[int, int]]:
+        """Greedy parse of a phrase: begin and end of each factor of ``length`` characters or more."""
+        at = i = int(self.start[phrase])
+        end = int(self.end[at])
+        while i < end and (i := int(self.next_shared[i])) < end:
+            n = self.longest(i)
+            if n >= self.length:
+                yield i - at, i - at + n
+            i += max(1, n - self.length + 1)
 
 
 def parse_blocks(h: np.ndarray, lo: np.ndarray, hi: np.ndarray, texts: list[str], length: int):
-    """Factors of every phrase against the other phrases of its block; lo, hi: least and greatest document of a phrase."""
-    k1, k2, which, pos = stretch_keys(texts, length)
-    block = h[which]
-    order = np.lexsort((k2, k1, block))
-    b, x, y = block[order], k1[order], k2[order]
-    new = np.append(True, (b[1:] != b[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) if len(order) else np.zeros(0, bool)
-    at = np.flatnonzero(new)
-    if not len(at):
-        return factors(np.zeros(0, bool), which, pos)
-    least, most = np.minimum.reduceat(lo[which[order]], at), np.maximum.reduceat(hi[which[order]], at)
-    shared = np.zeros(len(order), bool)
-    shared[order] = np.repeat(least != most, np.diff(np.append(at, len(order))))
-    return factors(shared, which, pos)
+    """Factors of every phrase against the other phrases of the blocks; lo, hi: least and greatest document of a phrase.
+
+    As phrase number, first and last stretch. Equal stretches have one minimizer, so blocks can share an index.
+    """
+    owner = np.unique(np.where(lo == hi, lo, np.iinfo(np.int64).min + np.arange(len(lo))), return_inverse=True)[1].reshape(-1)
+    index = Index(texts, owner, length)
+    out = [(k, a, b - length) for k in range(len(texts)) for a, b in index.factors(k)]
+    return np.array(out, np.int64).reshape(-1, 3).T
 
 
 def _parse(length: int):
@@ -257,16 +324,17 @@ def shared_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     phrases = cut(phrases.join(blocks, "h", "left_semi"), "shared")
     classes = phrases.groupBy("h", "ctx").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min(F.struct("doc_id", "s", "n")).alias("rep"))
     # blocks with a phrase that only one document has need their texts; size decides how they are compared
-    open_blocks = classes.groupBy("h").agg(F.count("*").alias("classes"), F.max((F.col("lo") == F.col("hi")).cast("int")).alias("open")).where("open = 1")
-    classes = cut(classes.join(open_blocks.select("h", "classes"), "h", "left"), "classes")
+    size = (F.count("*") > block_limit) | (F.sum(F.col("rep.n") + length) > CHUNK)
+    open_blocks = classes.groupBy("h").agg(size.alias("big"), F.max((F.col("lo") == F.col("hi")).cast("int")).alias("open")).where("open = 1")
+    classes = cut(classes.join(open_blocks.select("h", "big"), "h", "left"), "classes")
     whole = classes.where("lo <> hi").select("h", "ctx", F.lit(0).alias("a"), (F.col("rep.n") - 1).alias("b"))
     # phrases meet the slice of the text that they start in, so no list and no text grows with a long document
     part = F.floor(F.col("rep.s") / SLICE).cast("int")
-    reps = classes.where("classes is not null").select("rep.doc_id", F.struct("h", "ctx", "lo", "hi", (F.col("rep.s") - part * SLICE).alias("s"), "rep.n").alias("p"), part.alias("part"))
+    reps = classes.where("big is not null").select("rep.doc_id", F.struct("h", "ctx", "lo", "hi", (F.col("rep.s") - part * SLICE).alias("s"), "rep.n").alias("p"), part.alias("part"))
     reps = reps.groupBy("doc_id", "part").agg(F.collect_list("p").alias("wanted"))
     slices = reps.join(src, "doc_id").select(F.substring("text", F.col("part") * SLICE + 1, F.lit(SLICE + MAX_RUN + length)).alias("text"), "wanted")
     texts = slices.mapInArrow(_cut_texts(length), "h long, ctx long, lo long, hi long, text string")
-    texts = cut(texts.join(classes.where(F.col("classes") > block_limit).select("h").distinct().withColumn("big", F.lit(True)), "h", "left"), "texts")
+    texts = cut(texts.join(classes.where("big").select("h", "big").distinct(), "h", "left"), "texts")
     near = texts.where("big is null").drop("big").repartition("h").sortWithinPartitions("h").mapInArrow(_parse(length), PARTS)
     found = near.unionByName(whole)
     if not texts.where("big").isEmpty():

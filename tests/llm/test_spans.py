@@ -3,6 +3,7 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from latentia.llm import spans
@@ -53,8 +54,8 @@ def test_against_all_stretches(spark, limit):
     assert len(got) > 30
 
 
-def test_whole_table(spark):
-    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+def test_whole_table(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     rows = [(r.doc_id, r.text) for r in df.collect()]
     assert sorted(map(tuple, spans.shared_spans(df).collect())) == brute(rows, 200)
 
@@ -66,3 +67,21 @@ def test_empty_and_amounts(spark):
     df = spark.createDataFrame([(1, p + "q", "a"), (2, "z" + p, None), (3, None, None)], SCHEMA)
     got = {r.doc_id: (r.n_chars, r.shared_chars) for r in spans.shared_amounts(df, spans.shared_spans(df)).collect()}
     assert got == {1: (301, 300), 2: (301, 300), 3: (0, 0)}
+
+
+def test_factors_are_longest_foreign_matches():
+    """Greedy parse against every other document, with and without phrases of several documents."""
+    r = random.Random(3)
+    for length in (4, 9):
+        texts = ["".join(r.choice("ab") for _ in range(r.randint(length, 8 * length))) for _ in range(9)]
+        owner = np.array([0, 1, 2, 0, 1, 2, 3, 3, 4])
+        index = spans.Index(texts, owner, length)
+        for k, t in enumerate(texts):
+            others = [u for j, u in enumerate(texts) if owner[j] != owner[k]]
+            longest = [max((n for n in range(len(t) - i + 1) if any(t[i : i + n] in u for u in others)), default=0) for i in range(len(t))]
+            i, want = 0, []
+            while i <= len(t) - length:
+                if longest[i] >= length:
+                    want.append((i, i + longest[i]))
+                i += max(1, longest[i] - length + 1)
+            assert list(index.factors(k)) == want
