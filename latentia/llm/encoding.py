@@ -1,19 +1,26 @@
 """Text decoded with the wrong character encoding: noisy-channel decoding.
 
-A channel is a pair of charsets: bytes written in the first were read in the second, once or twice. For each channel a
-word becomes a byte lattice (its characters in the second charset; a U+FFFD, or a character that charset lacks, is a
-wildcard) and a Viterbi search finds the likeliest text in the first charset under a letter model of the corpus: states
-are the last letter, edges decode one to four bytes, a wildcard may stand for any letter the corpus knows. Repaired and
-unrepaired readings are then weighed by corpus word frequencies: a word is garbled where a channel explains it
+A channel is a pair of charsets: bytes written in the first were read in the second, up to three times. For each channel
+a word becomes a byte lattice: every sign as it is, every span that is a UTF-8 sequence in the second charset or a
+letter of a single-byte one, and wildcards for lost bytes (U+FFFD), which stand for any letter the corpus knows that
+fits the bytes left. A Viterbi search finds the likeliest text. A path is scored by a letter model of the corpus, and
+where it spells a word of the corpus by that word's frequency too: the search state is the last two letters and the
+place in the trie of corpus words that the lattice can spell (beside a lost letter the last letter only).
 
-* in UTF-8 (a multi-byte sequence is seldom valid by chance), if the letter model gains more than a small prior or the
-  repaired word is far more frequent, or
-* in a single-byte charset, if the repaired word is far more frequent in the corpus, or, where the corpus does not
-  know it, if the letter model gains more than the channel's prior and the word itself is rare.
+A word seen n times is garbled where its best path gains more over the word as it is than the channel's prior:
+
+    letters(path) - letters(word) + frequencies  >  prior(channel)
+
+Where the path spells a word that the corpus has m times, ``frequencies`` is KNOWN if that is far more often
+(m >= FREQUENT x n) and 0 if it is about as often (m >= n / FREQUENT). Else it is -REPEATED x log n (less for
+words with a sign between letters): a word whose restored form the corpus does not have is the likelier genuine the more
+often it occurs, whatever its letters. The prior of UTF-8 is small: a
+multi-byte sequence is seldom valid by chance.
 
 The letter model is trained on word types (not tokens) without C1 controls, U+FFFD and UTF-8 debris; a word's own
-contribution is taken out when it is scored. Counts come from all rows. What is broadcast is the letter model, at
-most ``MODEL_LIMIT`` letter triples; words and candidates are joined by shuffles.
+contribution is taken out when it and its readings are scored. Counts come from all rows. What is broadcast is the letter model: triples
+of an alphabet in which scripts beyond Latin, Greek and Cyrillic are folded to one sign per 256 code points, checked
+against ``MODEL_LIMIT``. Words, readings and frequencies are joined by shuffles.
 
 Defined cases: null words are skipped; ASCII words are never garbled; empty words are clean; a word with U+FFFD is
 garbled with no certain original (``restored`` is empty, ``guess`` holds the Viterbi path); repeated rows each count.
@@ -27,26 +34,32 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from latentia.session import cut, default_parallelism
 
-LOST = "�"
+LOST = "\ufffd"
 SINGLE_BYTE = ("cp437", "cp850", "mac_roman", "cp1252")
 READ_AS = ("latin-1", "cp1252", "cp1250", "iso8859-2", "iso8859-15", "cp437", "cp850", "mac_roman", "cp1251")
-MODEL_LIMIT = 200_000
+ALIKE = {"cp1252", "latin-1", "iso8859-15"}
+CHANNELS = tuple((r, w) for w in READ_AS for r in SINGLE_BYTE if r != w and not {r, w} <= ALIKE)
+MODEL_LIMIT = 5_000_000
 WRITTEN = "’‘“”«»–—…•¿¡€£·ªº°§"  # beside letters
 ROUNDS = 2
-SLACK = 2.0  # what the letter model may hold against a repair that the corpus knows well
 PRIOR = 6.0  # log odds against a word having passed a given single-byte channel
 UTF8_PRIOR = 2.0  # the same where a multi-byte sequence came out valid, which is rare by chance
-UNKNOWN = 3  # a word whose repair the corpus does not know is garbled only if it occurs at most so often
-FREQUENT = 5.0  # a repaired word is "far more frequent" from this ratio on
-CANDIDATES = "word string, n long, cand string, channel string, gain double, utf8 boolean, lost boolean"
+KNOWN = 8.0  # log odds against a wrong reading being a frequent word of the corpus
+REPEATED = 12.0  # genuine words repeat, garbled ones have a clean form beside them
+REPEATED_SIGN = 1.0  # the same for words with a sign between letters, which are seldom genuine
+FREQUENT = 5.0
+NEW_LETTER, NEW_SIGN = 0.5, 1e-3  # pseudo-counts of what the model has not seen: a letter, a sign inside a word
+REPAIRS = "word string, n long, cand string, channel string, total double, utf8 boolean, lost boolean"
 _EDGE = "\x02"
-_PAIR = re.compile(r"[^\x00-\x7F]{2}")  # a multi-byte sequence was read as two signs or more
+_ODD = re.compile(r"[^\x00-\x7F]+")
 _SIGN_INSIDE = re.compile(r"[A-Za-z][^\x00-\x7F\w’]|[^\x00-\x7F\w’][A-Za-z]")  # a sign beside a letter is likelier debris
+Edges = list[list[tuple[int, list[str]]]]
 
 
 def _byte(ch: str, charset: str) -> int | None:
@@ -64,17 +77,11 @@ def _char(byte: int, charset: str) -> str | None:
         return None
 
 
-def utf8_debris(word: str) -> bool:
-    """Whether in some charset's bytes the word holds a valid UTF-8 multi-byte sequence."""
-    return any(unread(word, w) is not None for w in READ_AS)
-
-
-def unread(word: str, wrong: str) -> str | None:
-    """The word with every span decoded that is a valid UTF-8 sequence in the bytes of ``wrong``; None if there is none."""
-    if not _PAIR.search(word):
-        return None
-    out, i, n = [], 0, len(word)
-    data = [None if c.isascii() else _byte(c, wrong) for c in word]
+@functools.lru_cache(65536)
+def unread_run(run: str, wrong: str) -> str | None:
+    """A run of non-ASCII signs with every span decoded that is a valid UTF-8 sequence in the bytes of ``wrong``; None if there is none."""
+    out, i, n = [], 0, len(run)
+    data = [_byte(c, wrong) for c in run]
     hit = False
     while i < n:
         lead = data[i] or 0
@@ -87,15 +94,38 @@ def unread(word: str, wrong: str) -> str | None:
                 continue
             except UnicodeDecodeError:
                 pass
-        out.append(word[i])
+        out.append(run[i])
         i += 1
     return "".join(out) if hit else None
 
 
-def utf8_lattices(word: str, wrong: str) -> Iterator[tuple[int, list[list[tuple[int, list[str]]]]]]:
-    """Steps and lattice: every sign as it is, and every span that is a UTF-8 sequence in ``wrong``, at last after up to three steps."""
+@functools.lru_cache(65536)
+def debris_run(run: str) -> bool:
+    return len(run) > 1 and any(unread_run(run, w) is not None for w in READ_AS)
+
+
+def utf8_debris(word: str) -> bool:
+    """Whether in some charset's bytes the word holds a valid UTF-8 multi-byte sequence."""
+    return any(map(debris_run, _ODD.findall(word)))
+
+
+def unread(word: str, wrong: str) -> str | None:
+    """The word with every such span decoded; None if there is none."""
+    hit = False
+
+    def put(m: re.Match) -> str:
+        nonlocal hit
+        x = unread_run(m[0], wrong)
+        hit |= x is not None
+        return m[0] if x is None else x
+
+    text = _ODD.sub(put, word)
+    return text if hit else None
+
+
+def utf8_lattices(word: str, wrong: str) -> Iterator[tuple[int, str, Edges]]:
+    """Steps, whole reading and lattice: every sign as it is, and every span that is a UTF-8 sequence in ``wrong``, at last after up to three steps."""
     units, edges = [(1, c) for c in word], [[(1, [c])] for c in word]
-    charset = wrong
     for step in (1, 2, 3):
         seen = "".join(c for _, c in units)
         charset = next((w for w in ((wrong,) if step == 1 else (wrong, *READ_AS)) if unread(seen, w) is not None), None)
@@ -110,7 +140,7 @@ def utf8_lattices(word: str, wrong: str) -> Iterator[tuple[int, list[list[tuple[
             merged.append((width, text))
             i, at = i + size, at + width
         units = merged
-        yield step, edges
+        yield step, "".join(c for _, c in units), edges
 
 
 @functools.lru_cache(65536)
@@ -121,6 +151,18 @@ def swapped(c: str, right: str, wrong: str) -> str | None:
     return x if x and x != c and (x.isalpha() or x in WRITTEN) else None
 
 
+@functools.lru_cache(65536)
+def tables(odd: str) -> tuple[tuple[str, tuple[tuple[str, str], ...]], ...]:
+    """The distinct ways in which single-byte channels wholly explain these signs: channel, and each swapped sign with its letter."""
+    out: dict[tuple[tuple[str, str], ...], str] = {}
+    for right, wrong in CHANNELS:
+        swaps = tuple((c, x) for c in odd if (x := swapped(c, right, wrong)))
+        left = {c for c in odd} - {c for c, _ in swaps}
+        if swaps and all(c.isalpha() for c in left):
+            out.setdefault(swaps, f"{right}>{wrong}")
+    return tuple((channel, swaps) for swaps, channel in out.items())
+
+
 def has_controls(word: str) -> bool:
     return any(0x7F <= ord(c) < 0xA0 for c in word)
 
@@ -130,49 +172,81 @@ def plain(word: str) -> bool:
     return all(c.isascii() or c.isalpha() or c in WRITTEN for c in word)
 
 
+def learnt(word: str) -> bool:
+    """Whether the letter model learns from a word type."""
+    return word.isascii() or not (LOST in word or has_controls(word) or utf8_debris(word) or not plain(word) or _SIGN_INSIDE.search(word))
+
+
+def folded(word: str) -> str:
+    """Scripts beyond Latin, Greek and Cyrillic as one sign per 256 code points."""
+    return word if word.isascii() else "".join(c if ord(c) < 0x530 or c in WRITTEN else chr(0x10F000 + (ord(c) >> 8) % 0x1000) for c in word)
+
+
 class LetterModel:
     """Interpolated letter trigrams over word types."""
 
     def __init__(self, triples: dict[str, int]):
         self.tri = triples
-        self.bi, self.uni, self.ctx2, self.ctx1 = (defaultdict(int) for _ in range(4))
+        self.bi, self.uni, self.ctx2, self.ctx1, self.new2, self.new1 = (defaultdict(int) for _ in range(6))
         for t, c in triples.items():
             self.ctx2[t[:2]] += c
+            self.new2[t[:2]] += 1
+            self.new1[t[1]] += t[1:] not in self.bi
             self.bi[t[1:]] += c
             self.ctx1[t[1]] += c
             self.uni[t[2]] += c
         self.total = sum(self.uni.values()) or 1
         self.uni = dict(self.uni)
-        self.letters = [c for c, n in sorted(self.uni.items(), key=lambda x: -x[1]) if not c.isascii() and c.isalpha()][:200]
-
-    def logp(self, a: str, b: str, c: str, less: int = 0) -> float:
-        """log P(c | a b) with ``less`` counts of the scored word taken out."""
-        t, u = max(0, self.tri.get(a + b + c, 0) - less), max(0, self.bi.get(b + c, 0) - less)
-        p1 = (max(0, self.uni.get(c, 0) - less) + 1e-3) / (self.total + 100)
-        p2 = (u + 4 * p1) / (self.ctx1.get(b, 0) + 4)
-        return math.log((t + 4 * p2) / (self.ctx2.get(a + b, 0) + 4))
-
-    def score(self, word: str, own: bool = False) -> float:
-        s = _EDGE * 2 + word + _EDGE
-        return sum(self.logp(*s[i : i + 3], less=int(own)) for i in range(len(s) - 2))
-
-
-def lattice(word: str, right: str, wrong: str, letters: list[str]) -> list[list[tuple[int, list[str]]]]:
-    """For each position the edges (length, texts): ASCII as it is, decoded bytes, or letters for a wildcard."""
+        self.letters = [c for c, n in sorted(self.uni.items(), key=lambda x: (-x[1], x[0])) if not c.isascii() and c.isalpha()]
+        self.held: dict[tuple[str, str], float] = {}
+        self.rows: dict[str, np.ndarray] = {}
+        self.own: set[str] | frozenset[str] = frozenset()
+
+    def logp(self, state: str, c: str) -> float:
+        """log P(c | the last two letters); with one letter a bigram."""
+        if c in self.own and state[-1] + c in self.own:  # of what the scored word has too, one occurrence is its own
+            return self.counted(state, c, 1, int(state + c in self.own))
+        v = self.held.get((state, c))
+        if v is None:
+            v = self.held[state, c] = self.counted(state, c, 0, 0)
+        return v
+
+    def counted(self, state: str, c: str, less: int, less3: int) -> float:
+        b = state[-1]
+        p1 = (max(0, self.uni.get(c, 0) - less) + (NEW_LETTER if c.isalpha() else NEW_SIGN)) / (self.total + 100)
+        new = self.new1.get(b, 0) + 1  # as many different letters as follow, so often a new one does
+        p2 = (max(0, self.bi.get(b + c, 0) - less) + new * p1) / (self.ctx1.get(b, 0) + new)
+        if len(state) == 1:
+            return math.log(p2)
+        new = self.new2.get(state, 0) + 1
+        return math.log((max(0, self.tri.get(state + c, 0) - less3) + new * p2) / (self.ctx2.get(state, 0) + new))
+
+    def without(self, word: str) -> None:
+        """Takes the word's own contribution out, for its own score and for those of its readings; an empty word puts it back."""
+        s = _EDGE * 2 + folded(word) + _EDGE
+        self.own = {s[i : i + k] for k in (1, 2, 3) for i in range(2 if k == 1 else 1 if k == 2 else 0, len(s) - k + 1)} if word else frozenset()
+
+    def row(self, state: str) -> np.ndarray:
+        """log P of every letter a wildcard stands for."""
+        v = self.rows.get(state)
+        if v is None:
+            v = self.rows[state] = np.array([self.logp(state, c) for c in self.letters])
+        return v
+
+    def score(self, word: str) -> float:
+        s = _EDGE * 2 + folded(word) + _EDGE
+        return sum(self.logp(s[i : i + 2], s[i + 2]) for i in range(len(s) - 2))
+
+
+def lost_lattice(word: str, wrong: str, letters: list[str]) -> Edges:
+    """A word with lost bytes, written in UTF-8: signs as they are, decoded spans, and letters that fit where bytes were lost."""
     n, data = len(word), [_byte(c, wrong) if c != LOST else None for c in word]
-    edges: list[list[tuple[int, list[str]]]] = [[] for _ in range(n)]
+    edges: Edges = [[] for _ in range(n)]
     for i, c in enumerate(word):
         if c.isascii():
             edges[i].append((1, [c]))
             continue
-        if c == LOST:
-            edges[i].append((1, letters))
-        elif c.isalpha():  # a span may be undamaged
-            edges[i].append((1, [c]))
-        if right != "utf-8":
-            if x := swapped(c, right, wrong):
-                edges[i].append((1, [x]))
-            continue
+        edges[i].append((1, letters if c == LOST else [c]))
         for size in (2, 3, 4):
             part = data[i : i + size]
             if len(part) < size or any(p is not None and p < 0x80 for p in part) or all(p is None for p in part):
@@ -189,92 +263,141 @@ def lattice(word: str, right: str, wrong: str, letters: list[str]) -> list[list[
     return edges
 
 
-def viterbi(edges: list[list[tuple[int, list[str]]]], model: LetterModel) -> tuple[float, str] | None:
-    """The likeliest text through a lattice; the state is the last two letters; ties fall to the lesser text."""
+def viterbi(edges: Edges, model: LetterModel, known: dict[str, float]) -> tuple[float, str]:
+    """The likeliest text through a lattice; ``known``: what spelling a word of the corpus adds to a path.
+
+    States are the last letters and the text so far as long as it is the beginning of a known word (None elsewhere). A
+    wildcard leaves one letter as the state, so its exact search takes as many steps as pairs of letters.
+    """
     n = len(edges)
-    best: list[dict[str, tuple[float, str]]] = [{} for _ in range(n + 1)]
-    best[0][_EDGE * 2] = (0.0, "")
+    starts = {w[:k] for w in known for k in range(len(w) + 1)}
+    first = (_EDGE * 2, "" if known else None)
+    best: list[dict] = [{} for _ in range(n + 1)]
+    best[0][first] = (0.0, None)
+
+    def put(i: int, state: tuple, score: float, back: tuple) -> None:
+        held = best[i].get(state)
+        if held is None or score > held[0]:
+            best[i][state] = (score, back)
+
     for i in range(n):
-        for state, (score, text) in best[i].items():
-            for size, texts in edges[i]:
+        here = best[i]
+        for size, texts in edges[i]:
+            if texts is model.letters and texts:
+                states = list(here)
+                s = np.array([here[x][0] for x in states])[:, None] + np.array([model.row(x[0]) for x in states])
+                for k, (j, v) in enumerate(zip(s.argmax(0).tolist(), s.max(0).tolist())):
+                    put(i + size, (texts[k], None), v, (i, states[j], texts[k]))
+                for (at, place), (score, _) in here.items():  # what goes on along a known word
+                    for c in {w[len(place)] for w in known if len(w) > len(place) and w.startswith(place)} if place is not None else ():
+                        put(i + size, (c, place + c), score + model.logp(at, folded(c)), (i, (at, place), c))
+                continue
+            for (at, place), (score, _) in here.items():
                 for t in texts:
-                    s, at = score, state
-                    for ch in t:
-                        s += model.logp(at[0], at[1], ch)
-                        at = at[1] + ch
-                    held = best[i + size].get(at)
-                    if held is None or (-s, text + t) < (-held[0], held[1]):
-                        best[i + size][at] = (s, text + t)
-        best[i] = {} if i else best[i]
-        if i + 1 < n and len(best[i + 1]) > 400:  # runs of wildcards: the likeliest states go on
-            best[i + 1] = dict(sorted(best[i + 1].items(), key=lambda x: -x[1][0])[:400])
-    ends = [(s + model.logp(at[0], at[1], _EDGE), t) for at, (s, t) in best[n].items()]
-    return min(ends, key=lambda x: (-x[0], x[1])) if ends else None
-
-
-def candidates(word: str, model: LetterModel) -> Iterator[tuple[str, str, float, bool, bool]]:
-    """Repaired readings: text, channel, gain of the letter model, whether read from UTF-8, whether letters were lost."""
+                    s, state = score, at
+                    for ch in folded(t):
+                        s += model.logp(state, ch)
+                        state = state[-1] + ch
+                    to = place + t if place is not None and place + t in starts else None
+                    put(i + size, (state, to), s, (i, (at, place), t))
+    ends = [(score + model.logp(state[0], _EDGE) + known.get(state[1], 0.0), state) for state, (score, _) in best[n].items()]
+    if not ends:
+        return -math.inf, ""
+    top = max(score for score, _ in ends)
+    found = []
+    for score, state in ends:
+        if score == top:
+            out, i = [], n
+            while i:
+                i, state, t = best[i][state][1]
+                out.append(t)
+            found.append("".join(reversed(out)))
+    return top, min(found)
+
+
+def readings(word: str) -> set[str]:
+    """Every reading in which a channel decodes all it can: at most three a charset for UTF-8 and one a single-byte channel."""
+    out = set()
+    if utf8_debris(word):
+        for wrong in READ_AS:
+            out.update(text for _, text, _ in utf8_lattices(word, wrong))
+    if any(c.isascii() and c.isalpha() for c in word):
+        for _, swaps in tables("".join(sorted(set(word) - set(_ASCII)))):
+            table = dict(swaps)
+            out.add("".join(table.get(c, c) for c in word))
+    return {t for t in out if t != word and not has_controls(t)}
+
+
+_ASCII = "".join(map(chr, range(128)))
+
+
+def repairs(word: str, n: int, known: dict[str, int], model: LetterModel) -> Iterator[tuple[str, str, float, bool, bool]]:
+    """Accepted readings: text, channel, gain beyond the prior, whether read from UTF-8, whether letters were lost."""
+    against = (REPEATED if plain(word) and not _SIGN_INSIDE.search(word) else REPEATED_SIGN) * math.log(n)
+    gains = {t: (KNOWN if c >= FREQUENT * n else 0.0) + against for t, c in known.items() if FREQUENT * c >= n}
     if LOST in word:
-        found = [(*p, f"{r}>{w}") for r, w in (("utf-8", "latin-1"), ("utf-8", "cp1252"), ("cp1252", "cp1252")) if (p := viterbi(lattice(word, r, w, model.letters), model))]
-        if found:
-            _, text, channel = max(found, key=lambda x: (x[0], x[1]))
-            yield text, channel, 0.0, False, True
-        else:
-            yield "", "lost", 0.0, False, True
+        model.without("")
+        found = [(*viterbi(lost_lattice(word, w, model.letters), model, gains), f"utf-8>{w}") for w in ("latin-1", "cp1252")]
+        score, text, channel = max(found, key=lambda x: (x[0], x[1]))
+        yield text, channel, max(score, -1e9), False, True
         return
-    debris, odd, scored = utf8_debris(word), {c for c in word if not c.isascii()}, {}
-    keep = model.score(word, own=not debris)  # the model has not learnt from debris
+    debris = utf8_debris(word)
+    model.without("" if debris or not learnt(word) else word)
+    keep = model.score(word) + against
     for wrong in READ_AS if debris else ():
         found = None
-        for steps, edges in utf8_lattices(word, wrong):
-            path = viterbi(edges, model)
-            if path and path[1] != word and (found is None or path[1] != found[0]) and not has_controls(path[1]):
-                found = path[1], steps, path[0]
-        if found:
-            yield found[0], f"utf-8>{wrong} x{found[1]}", found[2] - keep, True, False
-    for wrong in READ_AS:
-        if not any(c.isascii() and c.isalpha() for c in word):
-            continue  # a lone sign
-        for right in SINGLE_BYTE:
-            if {right, wrong} <= {"cp1252", "latin-1", "iso8859-15"} or right == wrong:
-                continue
-            table = {c: swapped(c, right, wrong) for c in odd}
-            good = {c for c, x in table.items() if x and (x in WRITTEN or x in model.uni)}  # letters the corpus writes
-            if not good or not all(c in good or c.isalpha() for c in odd):
-                continue  # nothing to repair, or not wholly explained by this channel
-            paths = set()
-            if len(good) == len(odd):  # every sign decoded
-                text = "".join(table.get(c, c) for c in word)
-                if text not in scored:
-                    scored[text] = model.score(text)
-                paths.add((scored[text], text))
-            if len(odd) > 1:  # with undamaged spans left as they are
-                paths.add(viterbi(lattice(word, right, wrong, model.letters), model))
-            for score, text in sorted(paths - {None}):
-                if text != word and not has_controls(text):
-                    yield text, f"{right}>{wrong}", score - keep, False, False
-
-
-def _candidates(model):
+        for steps, _, edges in utf8_lattices(word, wrong):
+            score, text = viterbi(edges, model, gains)
+            if text and text != word and (found is None or text != found[0]) and not has_controls(text):
+                found = text, steps, score
+        if found and found[2] - keep > UTF8_PRIOR:
+            yield found[0], f"utf-8>{wrong} x{found[1]}", found[2] - keep - UTF8_PRIOR, True, False
+    if not any(c.isascii() and c.isalpha() for c in word):
+        return  # a lone sign
+    for channel, swaps in tables("".join(sorted(set(word) - set(_ASCII)))):
+        table = dict(swaps)
+        odd = [c for c in set(word) if not c.isascii()]
+        if not all((c in table and (table[c] in WRITTEN or table[c] in model.uni)) or c.isalpha() for c in odd):
+            continue  # letters the corpus does not write
+        # a span may be undamaged
+        edges: Edges = [[(1, [t]) for t in ([c] if c.isalpha() or c not in table else []) + ([table[c]] if c in table else [])] for c in word]
+        score, text = viterbi(edges, model, gains)
+        if text and text != word and score - keep > PRIOR and not has_controls(text):
+            yield text, channel, score - keep - PRIOR, False, False
+        elif text == word:  # the likeliest reading that changes something
+            text = "".join(table.get(c, c) for c in word)
+            score = model.score(text) + gains.get(text, 0.0)
+            if score - keep > PRIOR and not has_controls(text):
+                yield text, channel, score - keep - PRIOR, False, False
+
+
+def _repairs(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = LetterModel(model.value)
         for batch in batches:
-            rows = [(w, n, *c) for w, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist()) for c in candidates(w, letters)]
+            known = [dict(x or ()) for x in batch.column("known").to_pylist()]
+            rows = [(w, n, *c) for w, n, k in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist(), known) for c in repairs(w, n, k, letters)]
             cols = list(zip(*rows)) or [()] * 7
             types = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.bool_(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["word", "n", "cand", "channel", "gain", "utf8", "lost"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["word", "n", "cand", "channel", "total", "utf8", "lost"])
 
     return run
 
 
+def _readings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(w, n, t) for w, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist()) for t in (readings(w) if LOST not in w else ())]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string()))], ["word", "n", "text"])
+
+
 def _trusted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Letter triples of the word types a model may learn from."""
     for batch in batches:
         held: dict[str, int] = defaultdict(int)
         for w in batch.column("word").to_pylist():
-            if not w.isascii() and (LOST in w or has_controls(w) or utf8_debris(w) or not plain(w) or _SIGN_INSIDE.search(w)):
+            if not learnt(w):
                 continue
-            s = _EDGE * 2 + w + _EDGE
+            s = _EDGE * 2 + folded(w) + _EDGE
             for i in range(len(s) - 2):
                 held[s[i : i + 3]] += 1
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["t", "c"])
@@ -285,25 +408,29 @@ def garbled_words(df: DataFrame, word: str) -> DataFrame:
     spark = df.sparkSession
     freq = cut(df.select(F.col(word).alias("word")).where(F.col("word").isNotNull() & (F.col("word") != "")).groupBy("word").agg(F.count("*").alias("n")), "words")
     odd = freq.where(F.length("word") != F.octet_length("word")).repartition(default_parallelism(spark), "word")  # few bytes, much work
-    known = freq.select(F.col("word").alias("cand"), F.col("n").alias("n_cand"))
-    rare = F.col("n_cand") < FREQUENT * F.col("n")
+    known = freq.select(F.col("word").alias("text"), F.col("n").alias("c"))
+    read = odd.mapInArrow(_readings, "word string, n long, text string").join(known, "text", "left")
+    read = read.groupBy("word", "n").agg(F.map_from_entries(F.collect_list(F.when(F.col("c").isNotNull(), F.struct("text", "c")))).alias("known"))
+    # a word with lost bytes may be any word that has other non-ASCII signs in the same places
+    shape = lambda c: F.regexp_replace(c, r"[^\x00-\x7F]+", "\x01")
+    lost = odd.where(F.col("word").contains(LOST)).withColumn("shape", shape("word"))
+    whole = freq.where((F.length("word") != F.octet_length("word")) & ~F.col("word").contains(LOST)).select(shape("word").alias("shape"), F.col("word").alias("text"), F.col("n").alias("c"))
+    lost = lost.join(whole.where(F.length("shape") > 3), "shape", "left")
+    lost = lost.select("word", "n", F.when(F.col("c").isNotNull(), F.create_map("text", "c")).alias("known"))
+    searched = cut(read.unionByName(lost), "lattices").repartition(default_parallelism(spark))
     clean, taken = freq.select("word"), None
     for _ in range(ROUNDS):  # what one round repairs, the next one's letter model does not learn from
-        triples = clean.mapInArrow(_trusted, "t string, c long").groupBy("t").agg(F.sum("c").alias("c")).orderBy(F.col("c").desc(), "t").limit(MODEL_LIMIT)
-        model = spark.sparkContext.broadcast({r.t: r.c for r in triples.collect()})
-        cands = odd.mapInArrow(_candidates(model), CANDIDATES)
-        weighed = cands.join(known, "cand", "left").withColumn("n_cand", F.coalesce("n_cand", F.lit(0)))
-        taken = cut(weighed.where(
-            F.col("lost") | (F.col("utf8") & (F.col("gain") > UTF8_PRIOR)) | (~rare & (F.col("gain") > -SLACK))
-            | (rare & (F.col("n_cand") > 0) & (F.col("n_cand") * FREQUENT >= F.col("n")) & (F.col("gain") > PRIOR))
-            | ((F.col("n_cand") == 0) & (F.col("n") <= UNKNOWN) & (F.col("gain") > PRIOR))
-        ), "repairs")
+        triples = cut(clean.mapInArrow(_trusted, "t string, c long").groupBy("t").agg(F.sum("c").alias("c")), "letters")
+        if triples.count() > MODEL_LIMIT:
+            raise ValueError("an alphabet of so many letter triples cannot be sent to every task")
+        model = spark.sparkContext.broadcast({r.t: r.c for r in triples.toLocalIterator()})
+        taken = cut(searched.mapInArrow(_repairs(model), REPAIRS), "repairs")
         clean = freq.select("word").join(taken.select("word").distinct(), "word", "left_anti")
     # how many words a channel explains best is its weight among rivals; there are as many rows as channels
-    first = taken.groupBy("word").agg(F.max_by("channel", F.struct("utf8", ~rare, "gain", "cand")).alias("channel"))
+    first = taken.where("not lost").groupBy("word").agg(F.max_by("channel", F.struct("utf8", "total", "cand")).alias("channel"))
     share = first.groupBy("channel").agg(F.log(F.count("*") + 0.1).alias("weight"))
-    ranked = taken.join(F.broadcast(share), "channel", "left").withColumn("total", F.col("gain") + 2 * F.coalesce("weight", F.lit(-2.0)))
-    best = ranked.groupBy("word", "n").agg(F.max_by(F.struct("cand", "channel", "lost"), F.struct("utf8", ~rare, "total", "n_cand", "cand")).alias("b"))
+    ranked = taken.join(F.broadcast(share), "channel", "left").withColumn("total", F.col("total") + 2 * F.coalesce("weight", F.lit(-2.0)))
+    best = ranked.groupBy("word", "n").agg(F.max_by(F.struct("cand", "channel", "lost"), F.struct("utf8", "total", "cand")).alias("b"))
     return best.select("word", "n", F.when(F.col("b.lost"), "").otherwise(F.col("b.cand")).alias("restored"), F.col("b.cand").alias("guess"), F.col("b.channel").alias("channel"))
 
 

@@ -113,3 +113,20 @@ def test_clean_words_that_are_valid_utf8_by_chance(spark):
     df = spark.createDataFrame(list(enumerate(rows)), "id long, word string")
     got = {(r.word, r.restored) for r in encoding.garbled_words(df, "word").collect()}
     assert got == {("niÃ±o", "niño"), ("niÃƒÂ±o", "niño")}
+
+
+@pytest.mark.parametrize("copies", [2, 10, 100])
+def test_unknown_word_is_repaired_however_often_it_occurs(spark, copies):
+    """The restored word is not in the corpus; the decision does not hang on the number of rows."""
+    stems = ["cami", "ra", "na", "habita", "esta", "rela", "aten", "situa"]
+    clean = [a + b for a in stems for b in ("ción", "ones", "mente", "dor", "lón", "río", "ría")] + [w for w in CLEAN if "¢" not in w]
+    bad = "acción".encode("cp437").decode("latin-1")
+    df = spark.createDataFrame(list(enumerate(clean * 10 + [bad] * copies)), "id long, word string")
+    assert {(r.word, r.restored) for r in encoding.garbled_words(df, "word").collect()} == {(bad, "acción")}
+
+
+def test_lost_letters_are_guessed_by_word_frequencies(spark):
+    words = ["camión"] * 5 + ["camiñn"] + ["cami\ufffdn", "\ufffd" * 300, "xx\ufffd\ufffdyy"]
+    df = spark.createDataFrame(list(enumerate(words)), "id long, word string")
+    got = {r.word: (r.restored, r.guess) for r in encoding.garbled_words(df, "word").collect()}
+    assert got["cami\ufffdn"] == ("", "camión") and len(got["\ufffd" * 300][1]) == 300 and len(got) == 3
