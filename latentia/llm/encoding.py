@@ -233,6 +233,14 @@ class LetterModel:
             v = self.rows[state] = np.array([self.logp(state, c) for c in self.letters])
         return v
 
+    def change(self, word: str, i: int, x: str) -> float:
+        """What the score gains if the letter at ``i`` is ``x``: three triples differ."""
+        s, y = _EDGE * 2 + folded(word) + _EDGE, folded(x)
+        a, b, c, d = s[i], s[i + 1], s[i + 2], s[i + 3]
+        e = s[i + 4] if i + 4 < len(s) else None
+        new, old = self.logp(a + b, y) + self.logp(b + y, d), self.logp(a + b, c) + self.logp(b + c, d)
+        return new - old + (self.logp(y + d, e) - self.logp(c + d, e) if e else 0.0)
+
     def score(self, word: str) -> float:
         s = _EDGE * 2 + folded(word) + _EDGE
         return sum(self.logp(s[i : i + 2], s[i + 2]) for i in range(len(s) - 2))
@@ -292,10 +300,11 @@ def viterbi(edges: Edges, model: LetterModel, known: dict[str, float]) -> tuple[
                     for c in {w[len(place)] for w in known if len(w) > len(place) and w.startswith(place)} if place is not None else ():
                         put(i + size, (c, place + c), score + model.logp(at, folded(c)), (i, (at, place), c))
                 continue
-            for (at, place), (score, _) in here.items():
-                for t in texts:
+            for t in texts:
+                letters = folded(t)
+                for (at, place), (score, _) in here.items():
                     s, state = score, at
-                    for ch in folded(t):
+                    for ch in letters:
                         s += model.logp(state, ch)
                         state = state[-1] + ch
                     to = place + t if place is not None and place + t in starts else None
@@ -359,6 +368,13 @@ def repairs(word: str, n: int, known: dict[str, int], model: LetterModel) -> Ite
         odd = [c for c in set(word) if not c.isascii()]
         if not all((c in table and (table[c] in WRITTEN or table[c] in model.uni)) or c.isalpha() for c in odd):
             continue  # letters the corpus does not write
+        at = [i for i, c in enumerate(word) if c in table]
+        if len(at) == 1:  # the only path that changes something
+            text = word[: at[0]] + table[word[at[0]]] + word[at[0] + 1 :]
+            gain = model.change(word, at[0], table[word[at[0]]]) + gains.get(text, 0.0) - against - PRIOR
+            if gain > 0 and not has_controls(text):
+                yield text, channel, gain, False, False
+            continue
         # a span may be undamaged
         edges: Edges = [[(1, [t]) for t in ([c] if c.isalpha() or c not in table else []) + ([table[c]] if c in table else [])] for c in word]
         score, text = viterbi(edges, model, gains)
