@@ -8,6 +8,9 @@ from latentia.functions.text import ROOT, UNK, side_of_head, tagged_parts, words
 from latentia.session import cut
 
 
+KEPT_LIMIT = 32_000_000
+
+
 def sentences(df: DataFrame, sent_id: str, line: str) -> DataFrame:
     """``sent_id, words`` of every non-null line."""
     return df.where(F.col(line).isNotNull()).select(F.col(sent_id).alias("sent_id"), words(F.col(line)).alias("words"))
@@ -55,9 +58,15 @@ def min_frequency(vocab: DataFrame, least: int) -> DataFrame:
 
 
 def replace_rare(toks: DataFrame, counts: DataFrame, threshold: int, strict: bool = False, word: str = "word") -> DataFrame:
-    """Words of frequency <= threshold (``strict``: <) become ``*unk*``; the join side holds rare words only if fewer."""
+    """Words of frequency <= threshold (``strict``: <) become ``*unk*``.
+
+    Kept words are broadcast where they hold at most ``KEPT_LIMIT`` characters, so that no token is shuffled and no
+    frequent word is one task; beyond that they are joined by a shuffle.
+    """
     rare = F.col("freq") < threshold if strict else F.col("freq") <= threshold
-    kept = counts.where(~rare).select(F.col("word").alias("_kept"))
+    kept = cut(counts.where(~rare).select(F.col("word").alias("_kept")), "kept")
+    size = kept.agg(F.sum(F.length("_kept") + 16)).first()[0] or 0
+    kept = F.broadcast(kept) if size <= KEPT_LIMIT else kept
     return toks.join(kept, F.col(word) == F.col("_kept"), "left").withColumn(word, F.coalesce("_kept", F.lit(UNK))).drop("_kept")
 
 
@@ -167,6 +176,32 @@ def equal_prefix(a: Column, b: Column) -> Column:
     return F.slice(a, 1, n) == F.slice(b, 1, n)
 
 
+def equal_in(nodes: DataFrame, other: DataFrame, columns: list[str]) -> DataFrame:
+    """``sent_id, same``: whether sentences of two corpora agree in these columns, up to the shorter one's end."""
+    held = lambda df, p: df.groupBy("sent_id").agg(*[F.transform(F.array_sort(F.collect_list(F.struct("idx", F.col(c).alias("v")))), lambda x: x["v"]).alias(f"{p}{i}") for i, c in enumerate(columns)])
+    both = held(nodes, "_a").join(held(other, "_b"), "sent_id")
+    same = F.lit(True)
+    for i in range(len(columns)):
+        same = same & equal_prefix(F.col(f"_a{i}"), F.col(f"_b{i}"))
+    return both.select("sent_id", same.alias("same"))
+
+
+def sentences_with(nodes: DataFrame, column: str, value: str) -> DataFrame:
+    """``sent_id`` of sentences one of whose nodes has the value."""
+    return nodes.where(F.col(column) == value).select("sent_id").distinct()
+
+
+def strings(nodes: DataFrame, column: str = "form") -> DataFrame:
+    """``sent_id, line``: forms or lemmas of each sentence in order."""
+    return reassembled(nodes.select("sent_id", F.col("idx").alias("pos"), F.col(column).alias("word")))
+
+
+def chunks(df: DataFrame, n: int, order: str) -> DataFrame:
+    """Adds ``chunk``: n runs of rows of equal size (the last ones may be shorter or missing), by an ordinal from 1."""
+    size = df.count() // n + 1
+    return df.withColumn("chunk", F.floor((F.col(order) - 1) / size).cast("long"))
+
+
 def minibatches(df: DataFrame, size: int, order: Column) -> DataFrame:
     """Count-based tumbling chunks of sequences in the given order (an unique ordinal from 1): adds ``batch``."""
     return df.withColumn("batch", F.floor((order - 1) / size).cast("long"))

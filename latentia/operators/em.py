@@ -221,18 +221,22 @@ def blended(old: Params, new: Params, eta: float) -> Params:
 
 
 def online_em(data: DataFrame, p: Params, epochs: int = 1, batch_size: int = 1000, a: float = 4, alpha: float = 0.5, approx: bool = False, seed: int | None = None) -> tuple[Params, list[float]]:
-    """Mini-batches in hash order (``seed``) or by ``sent_id``; t restarts with each epoch.
+    """Mini-batches in hash order (``seed``) or of ``batch_size`` successive ``sent_id``; t restarts with each epoch.
 
-    A mini-batch is a step of its own by definition; within one, sequences are spread over the cluster.
+    A mini-batch is a step of its own by definition; within one, sequences are spread over the cluster. The corpus is
+    written once, partitioned by mini-batch, so that a step reads its own rows only.
     """
-    total = data.count()
-    n_batches = max(1, -(-total // batch_size))
-    key = F.xxhash64("sent_id", F.lit(seed)) if seed is not None else F.xxhash64("sent_id")
-    numbered = cut(data.withColumn("b", F.pmod(key, F.lit(n_batches))), "minibatches")
+    if seed is None:
+        batch = F.floor((F.col("sent_id") - 1) / batch_size).cast("long")
+    else:
+        batch = F.pmod(F.xxhash64("sent_id", F.lit(seed)), F.lit(max(1, -(-data.count() // batch_size))))
+    share = F.pmod(F.xxhash64("sent_id"), F.lit(max(1, batch_size // 10_000)))  # files of a mini-batch
+    numbered = cut(data.withColumn("b", batch).repartition("b", share), "minibatches", by=["b"])
+    steps = sorted(r.b for r in numbered.select("b").distinct().collect())
     lls = []
     for _ in range(epochs):
-        for t in range(n_batches):
-            new, ll = step(numbered.where(F.col("b") == t).drop("b"), p, approx)
+        for t, b in enumerate(steps):
+            new, ll = step(numbered.where(F.col("b") == b).drop("b"), p, approx)
             p = blended(p, new, step_size(t, a, alpha))
             lls.append(ll)
     return p, lls
@@ -242,8 +246,8 @@ def merge_losses(data: DataFrame, p: Params) -> np.ndarray:
     """Change of log-likelihood for each pair (2i, 2i + 1), over the whole corpus; chains only."""
     if "head" in data.columns:
         raise ValueError("states of tree models cannot be merged")
-    rows = expected_counts(data, p).where("kind = 'emit'").collect()
-    occupancy = np.sum([r.vals for r in rows], axis=0) if rows else np.ones(p.n)
+    sums = expected_counts(data, p).where("kind = 'emit'").agg(*[F.sum(F.col("vals")[i]).alias(f"s{i}") for i in range(p.n)]).first()
+    occupancy = np.array([1.0 if s is None else s for s in sums])
     sent = data.sparkSession.sparkContext.broadcast((p, occupancy))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,8 +262,11 @@ def merge_losses(data: DataFrame, p: Params) -> np.ndarray:
     return np.array(got[0].vals) if got else np.zeros(p.n // 2)
 
 
-def split_merge_em(data: DataFrame, p: Params, desired: int, max_iter: int = 2, noise: float = 0.01, sensitivity: float = 0.5, merge: bool = True, seed: int = 0) -> tuple[Params, list[tuple[int, float]]]:
-    """Train; while there are too few states: split all, train, and merge back the share of pairs that lose least."""
+def split_merge_em(data: DataFrame, p: Params, desired: int, max_iter: int = 2, noise: float = 0.01, sensitivity: float = 0.5, merge: bool = True, seed: int = 0, keep=None) -> tuple[Params, list[tuple[int, float]]]:
+    """Train; while there are too few states: split all, train, and merge back the share of pairs that lose least.
+
+    ``keep(params, stage)`` is called with the parameters of each stage.
+    """
     data, log = cut(data, "corpus"), []
 
     def train(q: Params) -> Params:
@@ -267,8 +274,10 @@ def split_merge_em(data: DataFrame, p: Params, desired: int, max_iter: int = 2,
         log.extend((q.n, ll) for ll in lls)
         return q
 
-    p = train(p)
+    p, stage = train(p), 0
     while p.n < desired:
+        if keep is not None:
+            keep(p, f"split{(stage := stage + 1)}")
         p = train(split_arrays(p, noise, seed + p.n))
         if merge and "head" not in data.columns and p.n > 2:
             losses = merge_losses(data, p)

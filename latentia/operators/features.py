@@ -58,7 +58,8 @@ def emission(windows: DataFrame, chosen: tuple[str, ...] = BASELINE, keep: tuple
 
 def brown_emission(toks: DataFrame, lengths: tuple[int, ...] = PREFIX_LENGTHS, name: str = "brown", keep: tuple[str, ...] = ("sent_id", "pos", "tag")) -> DataFrame:
     """Whole cluster and its prefixes; tokens without a cluster have none."""
-    ids = F.concat(F.array(_named(f"{name}_id", F.col("cluster"))), F.transform(F.array(*[F.lit(k) for k in lengths]), lambda k: F.concat(F.lit(f"{name}_prefix"), k.cast("string"), F.lit(":"), F.substring(F.col("cluster"), F.lit(1), k))))
+    whole = F.array(_named(f"{name}_id", F.col("cluster")))
+    ids = whole if not lengths else F.concat(whole, F.transform(F.array(*[F.lit(k) for k in lengths]), lambda k: F.concat(F.lit(f"{name}_prefix"), k.cast("string"), F.lit(":"), F.substring(F.col("cluster"), F.lit(1), k))))
     return toks.where("cluster is not null").select(*keep, F.explode(ids).alias("name")).withColumn("value", F.lit(1.0))
 
 

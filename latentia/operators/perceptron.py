@@ -2,7 +2,8 @@
 
 The update depends on the order of sentences. An epoch runs over shards: each starts from the shared weights, updates
 on its own sentences in ``sent_id`` order, and the shards' weights are averaged; the result is the mean of the
-end-of-epoch weights. One shard is the sequential algorithm, for corpora that fit a task.
+end-of-epoch weights. One shard is the sequential algorithm, for corpora that fit a task. Unless given, the number of
+shards follows from the number of sentences, so that the model does not depend on the cluster.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from latentia.session import cut
 
 WEIGHTS = "name string, w array<double>"
 WEIGHT_LIMIT = 20_000_000
+SHARD_SENTENCES = 20_000
 
 
 def as_sentences(features: DataFrame) -> DataFrame:
@@ -89,7 +91,7 @@ def _epoch(sent, tags: list[str]):
 def train(sentences: DataFrame, tags: list[str], epochs: int = 2, shards: int | None = None) -> DataFrame:
     """``name, w``: a weight per tag for each feature name."""
     spark = sentences.sparkSession
-    shards = shards or max(1, sentences.rdd.getNumPartitions())
+    shards = shards or max(1, -(-sentences.select("sent_id").distinct().count() // SHARD_SENTENCES))
     data = cut(sentences.withColumn("shard", F.pmod(F.xxhash64("sent_id"), F.lit(shards)).cast("int")), "sentences")
     held: dict[str, np.ndarray] = {}
     total = None

@@ -77,15 +77,17 @@ def release(spark: SparkSession) -> None:
     path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def cut(df: DataFrame, what: str = "step") -> DataFrame:
+def cut(df: DataFrame, what: str = "step", by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage ends here, executors may be lost.
 
-    The table is columnar and compressed, so later steps read only the columns they need.
+    The table is columnar and compressed, so later steps read only the columns they need; partitioned ``by`` columns,
+    only the rows.
     """
     spark = df.sparkSession
     ship(spark)
     path = f"{work_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(*by) if by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

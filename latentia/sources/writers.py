@@ -114,11 +114,27 @@ def planar_map(rows: DataFrame, path: str) -> None:
     rows.select(F.concat_ws("\t", F.col("word_id").cast("string"), F.col("x").cast("string"), F.col("y").cast("string")).alias("value")).write.mode("overwrite").text(path)
 
 
+def weights(w: DataFrame, path: str) -> None:
+    """Weights of a tagger: ``name, w``."""
+    w.select("name", "w").write.mode("overwrite").parquet(path)
+
+
 def sequences(rows: DataFrame, path: str) -> None:
     """Indexed sequences, to be read again as they are."""
     rows.write.mode("overwrite").parquet(path)
 
 
+def lemmatized(toks: DataFrame, path: str, docstarts: DataFrame | None = None, header: str = "-DOCSTART- -DOCSTART- O") -> None:
+    """``word pos_tag tag`` lines with a blank line after each sentence; a header line before the sentences of ``docstarts(sent_id)``."""
+    line = F.concat_ws(" ", "word", "pos_tag", "tag")
+    blocks = toks.select("sent_id", "pos", line.alias("l")).groupBy("sent_id").agg(F.array_sort(F.collect_list(F.struct("pos", "l"))).alias("a"))
+    head = F.lit("")
+    if docstarts is not None:
+        blocks = blocks.join(docstarts.select("sent_id").distinct().withColumn("_d", F.lit(True)), "sent_id", "left")
+        head = F.when(F.col("_d"), header + "\n").otherwise("")
+    _ordered(blocks, "sent_id").select(F.concat(head, F.array_join(F.transform("a", lambda x: x["l"]), "\n"), F.lit("\n")).alias("value")).write.mode("overwrite").text(path)
+
+
 def with_lemmas(toks: DataFrame, parses: DataFrame) -> DataFrame:
     """Words replaced by the lemmas of their parse where there is one (by sentence and position)."""
     lemmas = parses.select("sent_id", (F.col("idx") - 1).alias("pos"), "lemma")

@@ -182,3 +182,48 @@ def test_indexes_and_listing(spark, tmp_path):
     got = R.parsed_index(spark, str(tmp_path)).orderBy("position").collect()
     assert [(r.file_no, r.position) for r in got] == [(2, 1), (10, 2)]
     assert R.listing(spark, str(tmp_path), "note").count() == 1
+
+
+def test_several_files_are_one_corpus(spark, tmp_path):
+    src = tmp_path / "c"
+    src.mkdir()
+    (src / "a.txt").write_text("a b c\nd e\n")
+    (src / "b.txt").write_text("x y z\nw v\n")
+    t = C.reassembled(C.tokens(R.text_corpus(spark, str(src))))
+    assert sorted((r.sent_id, r.line) for r in t.collect()) == [(1, "a b c"), (2, "d e"), (3, "x y z"), (4, "w v")]
+    trees = tmp_path / "t"
+    trees.mkdir()
+    (trees / "1.conll").write_text(SENT + "\n\n\n" + SENT.replace("cat", "dog"))
+    (trees / "2.conll").write_text("\n" + SENT.replace("cat", "cow") + "\n")
+    got = [(r.sent_id, r.idx, r.form) for r in R.conll_corpus(spark, str(trees)).orderBy("sent_id", "idx").collect()]
+    assert got == [(1, 1, "The"), (1, 2, "cat"), (2, 1, "The"), (2, 2, "dog"), (3, 1, "The"), (3, 2, "cow")]
+
+
+@pytest.mark.parametrize("parts", ["1", "2", "7"])
+def test_sentences_across_ranges(spark, parts):
+    r = random.Random(5)
+    lines = [(f"f{r.randint(0, 2)}", i, r.choice(["", "a", "b"])) for i in range(60)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        rows = spark.createDataFrame(lines, "file string, line_no long, line string")
+        got = {(x.file, x.line_no): x.sent_id for x in R.sentences(rows, F.col("line") == "").collect()}
+        marks = {(x.file, x.line_no): x.sent_id for x in R.sentences(rows, F.col("line") == "", marks=F.col("line_no") % 2 == 0).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    want, heads, n, last, inside = {}, {}, 0, None, False
+    for f, i, t in sorted(lines):
+        inside = inside and f == last
+        if t:
+            n += not inside
+            want[f, i] = n
+        elif i % 2 == 0:
+            heads[f, i] = n + 1
+        inside, last = bool(t), f
+    assert got == want and marks == heads
+
+
+def test_embedding_cells_must_be_numbers(spark, tmp_path):
+    (tmp_path / "e").write_text("a 1 2\nb 1 x\n")
+    with pytest.raises(Exception, match="no number"):
+        R.embeddings(spark, str(tmp_path / "e")).collect()
