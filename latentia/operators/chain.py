@@ -52,6 +52,20 @@ def backward(e: np.ndarray, T: np.ndarray, f: np.ndarray, scale: np.ndarray, k:
     return beta
 
 
+def backward_likelihood(x: np.ndarray, p: Params) -> np.ndarray:
+    """Log-likelihoods[B] of x[B,L] from the last position to the first, with scales of their own."""
+    pi, T, f, E = plain(p)
+    b, total = np.broadcast_to(f, (len(x), p.n)), np.zeros(len(x))
+    for t in range(x.shape[1] - 1, -1, -1):
+        b = b * E[x[:, t]]
+        b = b @ (T if t else pi[:, None])
+        scale = b.sum(1)
+        with np.errstate(divide="ignore"):
+            total += np.log(scale)
+        b = b / np.where(scale > 0, scale, 1)[:, None]
+    return total
+
+
 def posteriors(x: np.ndarray, p: Params, approx: bool = False, e: np.ndarray | None = None):
     """x[B,L]: log-likelihoods[B], state posteriors[B,L,N], summed transition posteriors[N,N]."""
     pi, T, f, E = plain(p)

@@ -70,6 +70,13 @@ def replace_rare(toks: DataFrame, counts: DataFrame, threshold: int, strict: boo
     return toks.join(kept, F.col(word) == F.col("_kept"), "left").withColumn(word, F.coalesce("_kept", F.lit(UNK))).drop("_kept")
 
 
+def with_ids(toks: DataFrame, vocab: DataFrame) -> DataFrame:
+    """``sent_id, pos, word_id``; a vocabulary of at most ``KEPT_LIMIT`` characters is broadcast, so that frequent words are no hot keys."""
+    ids = cut(vocab.select("word", F.col("id").alias("word_id")), "ids")
+    size = ids.agg(F.sum(F.length("word") + 24)).first()[0] or 0
+    return toks.join(F.broadcast(ids) if size <= KEPT_LIMIT else ids, "word").select("sent_id", "pos", "word_id")
+
+
 def reassembled(toks: DataFrame) -> DataFrame:
     """Tokens back to lines."""
     return toks.groupBy("sent_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda t: t["word"]), " ").alias("line"))

@@ -80,6 +80,21 @@ def decode(data: DataFrame, p: Params, method: str = "viterbi", approx: bool = F
     return rows.mapInArrow(on_trees if trees else on_chain, schema)
 
 
+def backward_scores(data: DataFrame, p: Params) -> DataFrame:
+    """``sent_id, score``: log-likelihoods of sequences by a backward pass."""
+    ship(data.sparkSession)
+    sent = data.sparkSession.sparkContext.broadcast(p)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            score = np.zeros(batch.num_rows)
+            for rows, x in by_length(*ragged(batch.column("x"))):
+                score[rows] = chain.backward_likelihood(x.astype(np.int64), sent.value)
+            yield pa.RecordBatch.from_arrays([batch.column("sent_id"), pa.array(score)], ["sent_id", "score"])
+
+    return data.select(F.col("sent_id").cast("long").alias("sent_id"), "x").mapInArrow(run, "sent_id long, score double")
+
+
 def type_posteriors(data: DataFrame, p: Params, approx: bool = False, by_rel: bool = False) -> DataFrame:
     """``word_id[, rel], rep, n``: mean posterior per word type (and relation), summed in the tasks first."""
     ship(data.sparkSession)

@@ -75,13 +75,26 @@ def _similar(block, measure: str, k: int):
             s = measured(q, x, measure)
             s = np.hstack([best_s, s])
             i = np.hstack([best_i, np.broadcast_to(batch.column("word_id").to_numpy(), (len(ids), batch.num_rows))])
-            order = np.lexsort((i, -np.round(s, 9)), axis=1)[:, :k]
-            best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+            best_s, best_i = _best(np.round(s, 9), i, k)
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best_s.shape[1])), pa.array(best_i.ravel()), pa.array(best_s.ravel())], ["query_id", "word_id", "score"])
 
     return run
 
 
+def _best(s: np.ndarray, i: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k greatest scores of each row and their ids; ties go to lesser ids. Only what reaches the k-th score is sorted."""
+    if s.shape[1] > k:
+        row, col = np.nonzero(s >= -np.partition(-s, k - 1, axis=1)[:, k - 1 : k])
+    else:
+        row, col = (a.ravel() for a in np.indices(s.shape))
+    order = np.lexsort((i[row, col], -s[row, col], row))
+    row, col = row[order], col[order]
+    first = np.searchsorted(row, np.arange(len(s)))
+    take = np.arange(len(row)) - first[row] < k
+    shape = (len(s), min(k, s.shape[1]))
+    return s[row[take], col[take]].reshape(shape), i[row[take], col[take]].reshape(shape)
+
+
 def measured(q: np.ndarray, x: np.ndarray, measure: str) -> np.ndarray:
     if measure == "cosine":
         return (q @ x.T) / np.sqrt((q * q).sum(1)[:, None] * (x * x).sum(1)[None])
@@ -120,24 +133,35 @@ def most_similar(v: DataFrame, queries: DataFrame, k: int = 10, measure: str = "
 
 
 def distances(v: DataFrame, queries: DataFrame) -> DataFrame:
-    """``a, b, distance`` (Euclidean) of each query row to every row."""
+    """``a, b, distance`` (Euclidean) of each query row to every row; queries are sent out in blocks of ``QUERY_BLOCK``."""
     spark = v.sparkSession
     ship(spark)
-    rows = queries.select("word_id", "v").orderBy("word_id").limit(QUERY_BLOCK + 1).collect()
-    if len(rows) > QUERY_BLOCK:
-        raise ValueError(f"a distance matrix takes at most {QUERY_BLOCK} target rows")
-    sent = spark.sparkContext.broadcast((np.array([r.word_id for r in rows], np.int64), np.array([r.v for r in rows], np.float64)))
+    held, out = [], None
+
+    def block(rows: list) -> DataFrame:
+        sent = spark.sparkContext.broadcast((np.array([r.word_id for r in rows], np.int64), np.array([r.v for r in rows], np.float64)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, q = sent.value
+            for batch in batches:
+                if batch.num_rows and len(ids):
+                    x = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+                    for i in range(len(ids)):
+                        d = np.sqrt(((x - q[i]) ** 2).sum(1))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(d), ids[i])), batch.column("word_id"), pa.array(np.round(d, 6))], ["a", "b", "distance"])
+
+        return v.select("word_id", "v").mapInArrow(run, "a long, b long, distance double")
+
+    for r in queries.select("word_id", "v").orderBy("word_id").toLocalIterator():
+        held.append(r)
+        if len(held) == QUERY_BLOCK:
+            out, held = block(held) if out is None else out.unionByName(block(held)), []
+    if held or out is None:
+        out = block(held) if out is None else out.unionByName(block(held))
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q = sent.value
-        for batch in batches:
-            if batch.num_rows and len(ids):
-                x = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-                for i in range(len(ids)):
-                    d = np.sqrt(((x - q[i]) ** 2).sum(1))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(d), ids[i])), batch.column("word_id"), pa.array(np.round(d, 6))], ["a", "b", "distance"])
 
-    return v.select("word_id", "v").mapInArrow(run, "a long, b long, distance double")
+TARGET_LIMIT = 4096
 
 
 def smacof(d: np.ndarray, seed: int = 3, rounds: int = 300, eps: float = 1e-3) -> np.ndarray:
@@ -161,6 +185,8 @@ def smacof(d: np.ndarray, seed: int = 3, rounds: int = 300, eps: float = 1e-3) -
 def planar_map(v: DataFrame, targets: DataFrame, seed: int = 3) -> DataFrame:
     """``word_id, x, y``: the target words (a list of bounded size) laid out by their distances."""
     spark, chosen = v.sparkSession, v.join(targets.select("word_id").distinct(), "word_id", "left_semi")
+    if chosen.limit(TARGET_LIMIT + 1).count() > TARGET_LIMIT:
+        raise ValueError(f"a map takes at most {TARGET_LIMIT} target rows")
     rows = distances(chosen, chosen).collect()
     ids = sorted({r.a for r in rows})
     at = {w: i for i, w in enumerate(ids)}

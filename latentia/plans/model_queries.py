@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from latentia.operators import corpus as C, decode as D, em as E, params as P, perceptron as PC, trees
+from latentia.plans import model_sql as S
 from latentia.plans.corpus_queries import _NODES, nodes, toks
 from latentia.plans.rep_queries import TAGS, baseline
 from latentia.session import table
@@ -86,8 +87,8 @@ def hmm_forward(spark, d):
 
 @query(f"{_HMM} select sent_id, round({_lse(f'b0 + e0 + {_l(PI[0])}', f'b1 + e1 + {_l(PI[1])}')}, 6) ll from bwd where pos = 0")
 def hmm_backward(spark, d):
-    """The log-likelihood from the other end: the SQL runs backward, the kernel's passes must agree."""
-    return D.decode(observations(spark, d), fixed(), "posterior").select("sent_id", F.round("score", 6).alias("ll"))
+    """The log-likelihood from the other end: a backward pass of its own, without a forward pass."""
+    return D.backward_scores(observations(spark, d), fixed()).select("sent_id", F.round("score", 6).alias("ll"))
 
 
 def _reps(df: DataFrame) -> DataFrame:
@@ -211,35 +212,128 @@ def tree_up_ll(spark, d):
     return D.decode(real_trees(spark, d), fixed(), "posterior").select("sent_id", F.round("score", 6).alias("ll"))
 
 
+_RNODES = f"""{_NODES}, reach(sent_id, idx, depth) as (select sent_id, idx, 1 from nodes where head = 0 union all select n.sent_id, n.idx, depth + 1 from nodes n join reach r on n.sent_id = r.sent_id and n.head = r.idx where depth < {LEVELS}),
+full_s as (select sent_id from nodes left join reach using (sent_id, idx) group by sent_id having count(*) = max(idx) and count(depth) = count(*)),
+sn as materialized (select n.sent_id, n.idx, n.head, depth, (length(form) % 5)::INT sym, 0 rel from nodes n join full_s using (sent_id) join reach using (sent_id, idx)),
+rn as materialized (select n.sent_id, n.idx, n.head, depth, (length(form) % 5)::INT sym, case n.rel when 'NMOD' then 1 when 'SBJ' then 2 else 0 end rel from nodes n join full_s using (sent_id) join reach using (sent_id, idx))"""
+
+
+def _of(p: P.Params, table: str, maximum: bool = False) -> str:
+    return f"with recursive {_RNODES}, {S.trees(p, table, LEVELS, maximum)}"
+
+
+@query(f"{_of(fixed(), 'sn')} select sent_id, (idx - 1)::BIGINT pos, round(p0, 6) p0, round(p1, 6) p1 from post")
+def branching_posterior(spark, d):
+    """Node posteriors of parsed sentences, upward and downward."""
+    return _reps(D.decode(real_trees(spark, d), fixed(), "posterior_cont"))
+
+
+@query(f"{_of(fixed(), 'sn', True)} select sent_id, (idx - 1)::BIGINT pos, state from best")
+def branching_maxproduct(spark, d):
+    return _states(D.decode(real_trees(spark, d), fixed(), "max_product"))
+
+
+@query(f"{_of(fixed(), 'sn')}, {S.tree_step(fixed(), 'sn')}")
+def branching_em_step(spark, d):
+    """One EM step on parsed sentences."""
+    return _param_rows(spark, E.step(real_trees(spark, d), fixed())[0])
+
+
 def relational() -> P.Params:
     g = np.random.default_rng(5)
     return P.normalized_arrays(g.random((2, 3)) + 0.2, g.random((2, 2, 3)) + 0.2, g.random((2, 3)) + 0.2, g.random((5, 2, 3)) + 0.2)
 
 
-@query()
+@query(f"{_of(relational(), 'rn')} select sent_id, (idx - 1)::BIGINT pos, round(p0, 6) p0, round(p1, 6) p1 from post")
 def reltree_posterior(spark, d):
     return _reps(D.decode(real_trees(spark, d, True), relational(), "posterior_cont"))
 
 
-@query()
+@query(f"{_of(relational(), 'rn', True)} select sent_id, (idx - 1)::BIGINT pos, state from best")
 def reltree_maxproduct(spark, d):
     return _states(D.decode(real_trees(spark, d, True), relational(), "max_product"))
 
 
-@query()
+@query(f"{_of(relational(), 'rn')} select sum(ll) / 1000 ll from tot")
+def reltree_ll(spark, d):
+    """Log-likelihood of all parsed sentences, in thousands."""
+    return D.decode(real_trees(spark, d, True), relational(), "posterior").agg((F.sum("score") / 1000).alias("ll"))
+
+
+@query(f"{_of(relational(), 'rn')}, t as (select sym, post.rel, p0, p1 from post join rn using (sent_id, idx)) select sym::BIGINT word_id, rel, round(avg(p0), 6) p0, round(avg(p1), 6) p1, count(*) n from t group by 1, 2")
 def reltree_types(spark, d):
     """Mean posterior per word and relation."""
     t = D.type_posteriors(real_trees(spark, d, True), relational(), by_rel=True)
     return t.select("word_id", "rel", F.round(F.col("rep")[0], 6).alias("p0"), F.round(F.col("rep")[1], 6).alias("p1"), "n")
 
 
-def sentences(spark, d, least: int = 20) -> tuple[DataFrame, int]:
-    """Corpus lines as word ids; rare words are one type, so the model's size is that of the frequent vocabulary."""
+@query(f"{_of(relational(), 'rn')}, t as (select sym, p0, p1 from post join rn using (sent_id, idx)) select sym::BIGINT word_id, round(avg(p0), 6) p0, round(avg(p1), 6) p1, count(*) n from t group by 1")
+def reltree_types_cumulative(spark, d):
+    """Mean posterior per word over all its relations."""
+    t = D.type_posteriors(real_trees(spark, d, True), relational())
+    return t.select("word_id", F.round(F.col("rep")[0], 6).alias("p0"), F.round(F.col("rep")[1], 6).alias("p1"), "n")
+
+
+@query(f"{_of(relational(), 'rn')}, t as (select sym, post.rel, avg(p0) p0, avg(p1) p1 from post join rn using (sent_id, idx) group by 1, 2) select sent_id, (idx - 1)::BIGINT pos, round(p0, 6) p0, round(p1, 6) p1 from rn join t using (sym, rel)")
+def reltree_type_decode(spark, d):
+    """Each node gets the mean of its word and relation."""
+    data = real_trees(spark, d, True)
+    rows = D.type_decode(data, D.type_posteriors(data, relational(), by_rel=True), by_rel=True)
+    return rows.select("sent_id", F.col("pos").cast("long").alias("pos"), F.round(F.col("rep")[0], 6).alias("p0"), F.round(F.col("rep")[1], 6).alias("p1"))
+
+
+@query(f"{_of(relational(), 'rn')} select post.sent_id, (idx - 1)::BIGINT pos, case when rn.rel <> 1 then (p1 > p0)::INT else -1 end state from post join rn using (sent_id, idx)")
+def reltree_ignore(spark, d):
+    """States by posterior; nodes of one relation get none (here -1)."""
+    return _states(D.decode(real_trees(spark, d, True), relational(), "posterior", ignore_rel=1)).withColumn("state", F.coalesce("state", F.lit(-1)))
+
+
+def sentences(spark, d) -> tuple[DataFrame, int]:
+    """Corpus lines as word ids over the whole vocabulary."""
     t = toks(spark, d)
-    vocab = C.ranked(C.min_frequency(C.frequencies(t), least))
-    m = vocab.count()
-    ids = t.join(vocab.select("word", "id"), "word", "left").select("sent_id", "pos", F.coalesce("id", F.lit(m)).alias("word_id"))
-    return E.as_sequences(ids), m + 1
+    vocab = C.ranked(C.frequencies(t))
+    return E.as_sequences(C.with_ids(t, vocab)), vocab.count()
+
+
+_ARRAYS = ([v / UNIT for v in PI], [[v / UNIT for v in r] for r in TRANS], [v / UNIT for v in FINAL], [[v / UNIT for v in r] for r in EMIT])
+_SYM = f"obs as materialized (select user_id sent_id, row_number() over w - 1 pos, count(*) over (partition by user_id) len, list_position([{', '.join(f"'{s}'" for s in SYMBOLS)}], event_type) - 1 sym from events window w as (partition by user_id order by ts, event_id))"
+_TWO = f"with recursive {_SYM}, {S.parameters(1, *_ARRAYS)}, {S.step(1)}, {S.step(2)}, {S.likelihood(3)}"
+_LLS = " union all ".join(f"select {k - 1} as iteration, round(ll, 3) ll from tot{k}" for k in (1, 2, 3))
+
+
+@query(f"{_TWO} {_LLS}")
+def em_steps(spark, d):
+    """Log-likelihoods before each of three batch steps."""
+    lls = E.em(observations(spark, d), fixed(), 3)[1]
+    return _lls(spark, lls).withColumn("ll", F.round("ll", 3))
+
+
+@query(f"{_TWO} {S.rows_of(3)}")
+def em_two_steps(spark, d):
+    """Parameters after two batch steps."""
+    return _param_rows(spark, E.em(observations(spark, d), fixed(), 2)[0])
+
+
+@query(f"{_TWO} {_LLS}")
+def em_joined_steps(spark, d):
+    """The same log-likelihoods with the emissions as a joined table."""
+    p = fixed()
+    emission = spark.createDataFrame([(w, [float(v) for v in p.E[w, :, 0]]) for w in range(len(EMIT))], "word_id long, v array<double>")
+    return _lls(spark, E.em_joined(observations(spark, d), p, emission, 3)[2]).withColumn("ll", F.round("ll", 3))
+
+
+_BATCH = 64
+_ONLINE = f"""with recursive {_SYM}, obs1 as (select * from obs where sent_id // {_BATCH} = (select min(sent_id // {_BATCH}) from obs)),
+obs2 as (select * from obs where sent_id // {_BATCH} = (select min(sent_id // {_BATCH}) + 1 from obs)),
+{S.parameters(1, *_ARRAYS)}, {S.step(1, 'obs1', P.step_size(0, 4, 0.5))}, {S.likelihood(2, 'obs2')}"""
+
+
+@query(f"{_ONLINE} select 0 as iteration, round(ll, 4) ll from tot1 union all select 1, round(ll, 4) from tot2")
+def online_steps(spark, d):
+    """Log-likelihoods of the first two mini-batches of online training."""
+    data = observations(spark, d).withColumn("sent_id", F.col("sent_id") + 1)  # users count from 0
+    lls = E.online_em(data, fixed(), batch_size=_BATCH)[1]
+    return _lls(spark, lls[:2]).withColumn("ll", F.round("ll", 4))
 
 
 def _lls(spark, lls) -> DataFrame:
@@ -293,7 +387,7 @@ def perceptron_ner(spark, d):
     return got.agg(F.count("*").alias("n_tokens"), F.round(F.avg((F.col("gold") == F.col("pred")).cast("int")), 6).alias("accuracy"), F.round(F.avg(F.when(F.col("gold") != "O", (F.col("gold") == F.col("pred")).cast("int"))), 6).alias("entity_accuracy"))
 
 
-@query()
+@query(f"with recursive {_SYM}, {S.parameters(1, *_ARRAYS)}, {S.step(1, 'obs', P.step_size(0, 4, 0.5))} {S.rows_of(2)}")
 def stream_online_em(spark, d):
     """Online training from a file stream of events."""
     return _param_rows(spark, online.train_stream(spark, d, "events.parquet", fixed())[0])

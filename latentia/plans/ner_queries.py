@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from latentia.operators import corpus as C, introspect as I, ner as N, params as P
+from latentia.operators import corpus as C, em as E, introspect as I, ner as N, params as P, trees
+from latentia.plans import model_queries as MQ, model_sql as S
 from latentia.plans.corpus_queries import _NODES, nodes
-from latentia.plans.rep_queries import _EP, _NER, TAGS, brown, ner
+from latentia.plans.rep_queries import _BROWN, _EP, _NER, TAGS, brown, ner
 from latentia.session import table
 
 QUERIES: dict = {}
@@ -52,27 +54,72 @@ def aligned_predictions(spark, d):
     return N.aligned(g, pred).select("sent_id", "pos", "word", "gold", "pred")
 
 
-def _model(spark, d):
-    vocab = table(spark, d, "vocab").where("word is not null").groupBy("word").agg(F.min("id").alias("id"))
+N_STATES = 2
+
+
+def _vocab(spark, d):
+    return table(spark, d, "vocab").where("word is not null").groupBy("word").agg(F.min("id").alias("id"))
+
+
+def _model(vocab):
+    """Two states; emissions of a word by a rule on its id."""
     m = (vocab.agg(F.max("id")).first()[0] or 0) + 1
-    return vocab, P.random_params(4, m, seed=2) if m * 4 < 16_000_000 else None
+    if m * N_STATES > E.DENSE_LIMIT:
+        raise ValueError(f"{m} words are too many to broadcast their emissions")
+    w = np.arange(m)
+    q = MQ.fixed()
+    emit = np.stack([(w * 7 + 3) % 11 + 1, (w * 5 + 1) % 13 + 1], 1).astype(float)
+    return P.Params(q.pi, q.T, q.f, (emit / emit.sum(0))[..., None])
 
 
-@query()
+_KNOWN = f"""{_NER}, vk as (select word, min(id) id from vocab where word is not null group by word),
+tk as (select n.sent_id, n.pos, n.word, coalesce(a.id, b.id, u.id) sym from ner n left join vk a on n.word = a.word left join vk b on lower(n.word) = b.word left join vk u on u.word = '*unk*'),
+obs as materialized (select sent_id, row_number() over (partition by sent_id order by pos) - 1 pos, count(*) over (partition by sent_id) len, pos place, sym from tk where sym is not null),
+rl as (select w, (w * 7 + 3) % 11 + 1 r0, (w * 5 + 1) % 13 + 1 r1 from (select unnest(range((select max(id) + 1 from vk))) w)), rs as (select sum(r0) s0, sum(r1) s1 from rl)"""
+_SMALL = S.parameters(1, *MQ._ARRAYS).split("\nem1")[0] + "\nem1(sym, e0, e1) as materialized (select w, ln(r0::DOUBLE / s0), ln(r1::DOUBLE / s1) from rl, rs)"
+_REP = f"with recursive {_KNOWN}, {_SMALL}, {S.step(1)}, pr as (select g.sent_id, o.place pos, o.sym, g0 p0, g1 p1 from g1 g join obs o on o.sent_id = g.sent_id and o.pos = g.pos)"
+
+
+@query(f"{_REP} select t.sent_id, t.pos, t.word, coalesce(round(p0, 6), -1) p0 from tk t left join pr using (sent_id, pos)")
 def ner_represented(spark, d):
-    """Tokens with state posteriors of a small model over the vocabulary; unknown words have none."""
-    vocab, p = _model(spark, d)
-    rows = N.represented(ner(spark, d), vocab, p)
-    return rows.select("sent_id", "pos", "word", F.round(F.col("rep")[0], 6).alias("p0"))
+    """Tokens with state posteriors of a model over the vocabulary; unknown words have none (here -1)."""
+    vocab = _vocab(spark, d)
+    rows = N.represented(ner(spark, d), vocab, _model(vocab))
+    return rows.select("sent_id", "pos", "word", F.coalesce(F.round(F.col("rep")[0], 6), F.lit(-1.0)).alias("p0"))
+
+
+@query(f"{_REP}, ty as (select sym, avg(p0) p0 from pr group by sym) select t.sent_id, t.pos, coalesce(round(ty.p0, 6), -1) p0 from tk t left join ty using (sym)")
+def ner_type_represented(spark, d):
+    """Tokens with the mean posterior of their type."""
+    vocab = _vocab(spark, d)
+    rows = N.represented(ner(spark, d), vocab, _model(vocab), "posterior_cont_type")
+    return rows.select("sent_id", "pos", F.coalesce(F.round(F.col("rep")[0], 6), F.lit(-1.0)).alias("p0"))
+
+
+@query(f"{MQ._of(MQ.relational(), 'rn')} select n.sent_id, (n.idx - 1)::BIGINT pos, case when rn.rel = 1 or p0 is null then -1 else round(p0, 6) end p0 from nodes n left join post using (sent_id, idx) left join rn using (sent_id, idx)")
+def ner_tree_represented(spark, d):
+    """Tokens of parsed sentences with posteriors of a relational tree model; one relation is ignored, sentences that are no tree have none (here -1)."""
+    n = nodes(spark, d)
+    toks = n.select("sent_id", (F.col("idx") - 1).alias("pos"), "form")
+    good = trees.acyclic(n).where("acyclic").select("sent_id")
+    words = n.join(good, "sent_id", "left_semi").withColumn("word", (F.length("form") % 5).cast("string"))
+    vocab = spark.createDataFrame([(str(i), i) for i in range(5)], "word string, id long")
+    rows = N.tree_represented(toks, words, vocab, MQ.relational(), relations=["OTHER", "NMOD", "SBJ"], ignore_rel="NMOD")
+    return rows.select("sent_id", F.col("pos").cast("long").alias("pos"), F.coalesce(F.round(F.col("rep")[0], 6), F.lit(-1.0)).alias("p0"))
 
 
 @query()
 def ner_experiment(spark, d):
     """Baseline, cluster and representation features; trained on four fifths of the sentences: chunk scores."""
-    vocab, p = _model(spark, d)
-    toks = N.represented(ner(spark, d), vocab, p)
+    vocab = _vocab(spark, d)
+    toks = N.represented(ner(spark, d), vocab, _model(vocab))
     held_out = F.pmod(F.xxhash64("sent_id"), F.lit(5)) == 0
-    _, scores = N.experiment(toks.where(~held_out), toks.where(held_out), TAGS, shards=4, brown=brown(spark, d), rep="rep")
+    _, scores = N.experiment(toks.where(~held_out), toks.where(held_out), TAGS, brown=brown(spark, d), rep="rep", **N.LANGUAGES["en"])
     return scores
 
 
+@query(f"with {_NER}, {_BROWN}, j as (select sent_id, pos, coalesce(x.cluster, y.cluster) c from ner n left join brown x on n.word = x.word left join brown y on lower(n.word) = y.word), k as (select unnest([-1, 0, 1]) k) select j.sent_id, (j.pos - k)::INT pos, 'brown' || case k when 0 then '' when 1 then '+1' else '-1' end || '_id:' || c as name from j, k join ner n on n.sent_id = j.sent_id and n.pos = j.pos - k where c is not null")
+def brown_window(spark, d):
+    """Clusters of the word and of its neighbours."""
+    f = N.features(ner(spark, d), brown=brown(spark, d), chosen=("id",), brown_window=(-1, 0, 1), prefixes=())
+    return f.where("name like 'brown%'").select("sent_id", "pos", "name")

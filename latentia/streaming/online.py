@@ -7,15 +7,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from latentia.operators import em as E
-from latentia.operators.params import Params, step_size
-from latentia.session import table, work_dir
+from latentia.operators.params import Params, from_table, step_size, to_table
+from latentia.session import ship, work_dir
 
 SYMBOLS = ("click", "error", "purchase", "signup", "view")
 
 
 def events(spark: SparkSession, folder: str, pattern: str, files: int = 1) -> DataFrame:
     """A stream over the files of a folder; the schema is that of the same files read as a batch."""
-    schema = table(spark, folder, pattern.removesuffix(".parquet")).schema
+    ship(spark)
+    schema = spark.read.option("pathGlobFilter", pattern).parquet(folder).schema
     return spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files).parquet(folder)
 
 
@@ -26,25 +27,32 @@ def sequences(df: DataFrame) -> DataFrame:
     return df.where(F.col("event_type").isin(*SYMBOLS)).groupBy(F.col("user_id").alias("sent_id")).agg(F.transform(held, lambda x: x["s"]).alias("x"))
 
 
-def train_stream(spark: SparkSession, folder: str, pattern: str, p: Params, a: float = 4, alpha: float = 0.5) -> tuple[Params, list[float]]:
+def train_stream(spark: SparkSession, folder: str, pattern: str, p: Params, a: float = 4, alpha: float = 0.5, at: str | None = None, files: int = 1) -> tuple[Params, list[float]]:
     """Each micro-batch is one online step over the sequences it completes, in event order per user.
 
-    State is (parameters, step); a batch id that was applied already changes nothing, so a restarted batch is safe.
+    ``at``: a folder that outlives the application, for the stream's checkpoint and for (parameters, log-likelihood) of
+    each batch. A step starts from what the batch before it wrote and a batch that is already written changes nothing,
+    so a stream can be stopped anywhere and started again, also elsewhere; ``p`` only serves the first batch.
     """
-    state = {"p": p, "t": -1}
-    lls: list[float] = []
+    at = at or f"{work_dir(spark)}/stream-{uuid.uuid4().hex}"
+    context = spark.sparkContext
+    fs = context._jvm.org.apache.hadoop.fs.Path(at).getFileSystem(context._jsc.hadoopConfiguration())
+    done = lambda i: fs.exists(context._jvm.org.apache.hadoop.fs.Path(f"{at}/state/{i}/ll/_SUCCESS"))
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        if batch_id <= state["t"]:
+        if done(batch_id):
             return
-        new, ll = E.step(sequences(batch), state["p"])
-        state["p"], state["t"] = E.blended(state["p"], new, step_size(batch_id, a, alpha)), batch_id
-        lls.append(ll)
+        before = from_table(spark.read.parquet(f"{at}/state/{batch_id - 1}/params")) if batch_id else p
+        new, ll = E.step(sequences(batch), before)
+        to_table(spark, E.blended(before, new, step_size(batch_id, a, alpha))).coalesce(1).write.mode("overwrite").parquet(f"{at}/state/{batch_id}/params")
+        spark.createDataFrame([(float(ll),)], "ll double").coalesce(1).write.mode("overwrite").parquet(f"{at}/state/{batch_id}/ll")  # last: the batch is done
 
-    where = f"{work_dir(spark)}/stream-{uuid.uuid4().hex}"
-    run = events(spark, folder, pattern).writeStream.foreachBatch(apply).option("checkpointLocation", where).trigger(availableNow=True).start()
+    run = events(spark, folder, pattern, files).writeStream.foreachBatch(apply).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
     run.awaitTermination()
-    return state["p"], lls
+    lls: list[float] = []
+    while done(len(lls)):
+        lls.append(spark.read.parquet(f"{at}/state/{len(lls)}/ll").first().ll)
+    return (from_table(spark.read.parquet(f"{at}/state/{len(lls) - 1}/params")) if lls else p), lls
 
 
 def hourly_counts(spark: SparkSession, folder: str, pattern: str) -> DataFrame:

@@ -165,3 +165,46 @@ def test_approximation_is_exact_for_few_states():
     assert np.allclose(chain.posteriors(x, p, approx=True)[1], chain.posteriors(x, p)[1])
     q = model(16)
     assert chain.posteriors(x, q, approx=True)[1].shape == (1, 4, 16)
+
+
+def test_stream_is_restartable(spark, tmp_path):
+    """A stream that is stopped goes on from the state its batches wrote, in a new call, and equals one uninterrupted run."""
+    import shutil
+
+    from latentia.plans.model_queries import fixed
+    from latentia.streaming import online
+
+    rows = [(i, i % 7, online.SYMBOLS[(i * i + i // 7) % 5]) for i in range(300)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, event_type string").selectExpr("event_id", "timestamp_seconds(event_id) ts", "user_id", "event_type")
+    for k in range(3):
+        df.where(f"event_id % 3 = {k}").coalesce(1).write.parquet(str(tmp_path / f"part{k}"))
+    src, at = tmp_path / "src", tmp_path / "at"
+    src.mkdir()
+
+    def add(k):
+        for f in (tmp_path / f"part{k}").glob("*.parquet"):
+            shutil.copy(f, src / f"e{k}.parquet")
+
+    add(0)
+    online.train_stream(spark, str(src), "*.parquet", fixed(), at=f"file://{at}")
+    add(1)
+    online.train_stream(spark, str(src), "*.parquet", fixed(), at=f"file://{at}")
+    add(2)
+    p, lls = online.train_stream(spark, str(src), "*.parquet", fixed(), at=f"file://{at}")
+    q, want = fixed(), []
+    for k in range(3):
+        new, ll = em.step(online.sequences(df.where(f"event_id % 3 = {k}")), q)
+        q = em.blended(q, new, (k + 4) ** -0.5)
+        want.append(ll)
+    assert lls == pytest.approx(want) and np.allclose(p.T, q.T) and np.allclose(p.E, q.E)
+
+
+def test_branching_backward_and_ties():
+    from latentia.operators.introspect import _best
+
+    g = np.random.default_rng(1)
+    s, i = np.round(g.random((5, 40)), 1), np.broadcast_to(g.permutation(40), (5, 40))
+    a, b = _best(s, i, 7)
+    for r in range(5):
+        order = np.lexsort((i[r], -s[r]))[:7]
+        assert (a[r] == s[r][order]).all() and (b[r] == i[r][order]).all()
