@@ -5,10 +5,15 @@
 2. A sample of at most ``SAMPLE`` classes gives a neighbour graph, which recursive bisection (smoothed vectors split at
    the median, then swaps across the cut) divides into parts of equal size. A small network learns the part of a
    vector. Sample size is the only bound on training; every row is indexed.
-3. Each class is indexed in its most probable part. A part of more than ``PART_ROWS`` rows gets a graph and a network of
-   its own, so parts stay bounded however the data cluster.
-4. Each class visits parts in order of probability until ``COVER`` of it is reached, at least ``LEAST`` and at most
-   ``probes`` of them; in each it is compared with all rows, and the best k of all parts are its neighbours.
+3. Each class is indexed in its most probable part and visits parts in order of probability until ``COVER`` of it is
+   reached, at least ``LEAST`` and at most ``probes`` of them. Parts of more than ``PART_ROWS`` rows are divided again:
+   one scan samples all of them, each is graphed and trained in a task, and its network meets the rows that are routed
+   there, in shares. Only the first network is broadcast; the others stay a table.
+4. Some groups have nothing to learn, such as near copies that differ by noise: their neighbours lie in parts that the
+   networks cannot foresee. So the index is measured: the true neighbours of ``MEASURED`` classes are found by brute
+   force, and parts whose measured recall is below ``RECALL`` are joined with those that hold what they miss. Joined
+   parts are searched as a whole, all rows against all, in blocks of ``PART_ROWS`` residents.
+5. In each part or block visitors are compared with all residents; the best k of all parts are a row's neighbours.
 
 Defined cases: unusable vectors (null, another length, not finite, all zero) take no part; a vector is not its own
 neighbour but its copies are; fewer than k other vectors give fewer rows; an empty table gives none; ids are unique.
@@ -16,23 +21,29 @@ neighbour but its copies are; fewer than k other vectors give fewer rows; an emp
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from latentia.llm.clusters import shared_out
-from latentia.llm.vectors import matrix, units
+from latentia.llm.vectors import as_list, matrix, units
 from latentia.session import cut
 
 SAMPLE = 16_384
 PART_ROWS = 16_384
 TARGET_ROWS = 2_048
 COVER, LEAST, PROBES = 0.999, 2, 8
-HIDDEN, EPOCHS, DEPTH = 128, 30, 4
+HIDDEN, EPOCHS, LEVELS = 128, 30, 6
+MOST_PARTS = 256  # of one network
 VISITORS = 8
+MEASURED, RECALL = 1024, 0.95
+ROUTED_ROWS = 65_536  # that meet a network in one task
+ROUTES = "id long, v array<float>, part long, p double, resident boolean"
+NETS = "part long, parts int, w array<float>"
 
 
 def graph(x: np.ndarray, k: int) -> np.ndarray:
@@ -89,11 +100,15 @@ def balanced_parts(nbr: np.ndarray, parts: int, seed: int = 0) -> np.ndarray:
 class Network:
     """One hidden layer, softmax over parts."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, parts: int, seed: int = 0):
+    def __init__(self, w: list[np.ndarray]):
+        self.w = w
+
+    @classmethod
+    def trained(cls, x: np.ndarray, y: np.ndarray, parts: int, seed: int = 0) -> Network:
         rng = np.random.default_rng(seed)
         d = x.shape[1]
         w = [rng.standard_normal((d, HIDDEN)) * (2 / d) ** 0.5 * 3, np.zeros(HIDDEN), rng.standard_normal((HIDDEN, parts)) / HIDDEN**0.5, np.zeros(parts)]
-        w = self.w = [a.astype(np.float32) for a in w]
+        w = [a.astype(np.float32) for a in w]
         m, s, t = [np.zeros_like(a) for a in w], [np.zeros_like(a) for a in w], 0
         for epoch in range(EPOCHS):
             order, rate = rng.permutation(len(x)), 3e-3 * (1 - epoch / EPOCHS) + 1e-4
@@ -101,7 +116,7 @@ class Network:
                 rows = order[i : i + 256]
                 xb = x[rows]
                 h = np.maximum(xb @ w[0] + w[1], 0)
-                g = self.soft(h @ w[2] + w[3])
+                g = cls.soft(h @ w[2] + w[3])
                 g[np.arange(len(rows)), y[rows]] -= 1
                 g /= len(rows)
                 gh = (g @ w[2].T) * (h > 0)
@@ -110,6 +125,16 @@ class Network:
                     m[j] = 0.9 * m[j] + 0.1 * grad
                     s[j] = 0.999 * s[j] + 0.001 * grad * grad
                     w[j] -= rate * (m[j] / (1 - 0.9**t)) / (np.sqrt(s[j] / (1 - 0.999**t)) + 1e-8)
+        return cls(w)
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([a.ravel() for a in self.w])
+
+    @classmethod
+    def of(cls, flat: np.ndarray, dim: int, parts: int) -> Network:
+        shapes = ((dim, HIDDEN), (HIDDEN,), (HIDDEN, parts), (parts,))
+        ends = np.cumsum([int(np.prod(n)) for n in shapes])
+        return cls([a.reshape(n) for a, n in zip(np.split(np.asarray(flat, np.float32), ends[:-1]), shapes)])
 
     @staticmethod
     def soft(z: np.ndarray) -> np.ndarray:
@@ -120,51 +145,6 @@ class Network:
         return self.soft(np.maximum(x @ self.w[0] + self.w[1], 0) @ self.w[2] + self.w[3])
 
 
-class Router:
-    """Networks by part; a part with a network of its own is an inner node. Part 0 is the whole space."""
-
-    def __init__(self):
-        self.nets: dict[int, Network] = {}
-        self.first: dict[int, int] = {}
-        self.n = 1
-
-    def split(self, part: int, x: np.ndarray, parts: int) -> None:
-        label = balanced_parts(graph(x, min(10, len(x) - 1)), parts, seed=part)
-        self.nets[part], self.first[part] = Network(x, label, parts, seed=part), self.n
-        self.n += parts
-
-    def home(self, x: np.ndarray) -> np.ndarray:
-        at = np.zeros(len(x), np.int64)
-        for part in sorted(self.nets):  # children have greater numbers
-            rows = np.flatnonzero(at == part)
-            if len(rows):
-                at[rows] = self.first[part] + self.nets[part](x[rows]).argmax(axis=1)
-        return at
-
-    def route(self, x: np.ndarray, probes: int, cover: float) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and the parts they visit."""
-        rows, at, p = np.arange(len(x)), np.zeros(len(x), np.int64), np.ones(len(x))
-        for part in sorted(self.nets):
-            here = at == part
-            if not here.any():
-                continue
-            q = self.nets[part](x[rows[here]]) * p[here][:, None]
-            few = min(probes, q.shape[1])
-            best = np.argpartition(-q, few - 1, axis=1)[:, :few]
-            rows = np.append(rows[~here], np.repeat(rows[here], few))
-            p = np.append(p[~here], np.take_along_axis(q, best, 1).ravel())
-            at = np.append(at[~here], (self.first[part] + best).ravel())
-        order = np.lexsort((at, -p, rows))
-        rows, at, p = rows[order], at[order], p[order]
-        start = np.flatnonzero(np.append(True, rows[1:] != rows[:-1])) if len(rows) else np.zeros(0, np.int64)
-        size = np.diff(np.append(start, len(rows)))
-        rank = np.arange(len(rows)) - np.repeat(start, size)
-        total = np.cumsum(p)
-        before = total - p - np.repeat(total[start] - p[start], size)
-        keep = (rank < probes) & ((rank < LEAST) | (before < cover))
-        return rows[keep], at[keep]
-
-
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         v = batch.column("v")
@@ -195,50 +175,183 @@ def classes_of(rows: DataFrame, k: int) -> DataFrame:
     )
 
 
-def fit(classes: DataFrame, dim: int, target_rows: int = TARGET_ROWS, part_rows: int = PART_ROWS, sample: int = SAMPLE) -> Router:
-    """Networks for the whole and for every part that is too large, from a hash-ordered sample of each."""
-    spark, router = classes.sparkSession, Router()
-    sizes = {0: classes.count()}
-    for _ in range(DEPTH):
-        large = [p for p, n in sizes.items() if p not in router.nets and n > (part_rows if p else 2 * target_rows)]
-        if not large:
+def _hash(row: str = "id") -> Column:
+    return F.pmod(F.xxhash64(row), F.lit(2**62))
+
+
+def _sampled(rows: DataFrame, sample: int) -> DataFrame:
+    """Rows (``id, v, part, n``) of least hash, near ``sample`` of each part; ``n`` is the part's size."""
+    return rows.where(_hash() <= F.least(F.lit(1.0), 1.5 * sample / F.col("n")) * F.lit(float(2**62))).select("part", "n", "id", "v", _hash().alias("h"))
+
+
+def _trained(dim: int, target_rows: int, sample: int):
+    """One network for the sample of a part."""
+
+    def run(table: pa.Table) -> pa.Table:
+        part, n = table.column("part")[0].as_py(), table.column("n")[0].as_py()
+        order = np.lexsort((table.column("id").to_numpy(), table.column("h").to_numpy()))[:sample]
+        x = np.ascontiguousarray(matrix(table.column("v"), dim)[order])
+        parts = min(max(2, n // target_rows), max(2, len(x) // 64), MOST_PARTS)
+        label = balanced_parts(graph(x, min(10, len(x) - 1)), parts, seed=part % 2**31)
+        net = Network.trained(x, label, parts, seed=part % 2**31)
+        return pa.table({"part": pa.array([part], pa.int64()), "parts": pa.array([parts], pa.int32()), "w": as_list(net.flat()[None])})
+
+    return run
+
+
+def _next(net: Network, x: np.ndarray, probes: int, cover: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, the parts they go on to, how probable those are, and whether it is the most probable one."""
+    q = net(x)
+    few = min(probes, q.shape[1])
+    best = np.argpartition(-q, few - 1, axis=1)[:, :few]
+    p = np.take_along_axis(q, best, 1)
+    order = np.lexsort((best, -p), axis=1)
+    best, p = np.take_along_axis(best, order, 1), np.take_along_axis(p, order, 1)
+    keep = (np.arange(few) < LEAST) | (np.cumsum(p, 1) - p < cover)
+    row, rank = np.nonzero(keep)
+    return row, best[row, rank], p[row, rank], rank == 0
+
+
+def _first_routes(net, dim: int, probes: int, cover: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, to, p, first = _next(net.value, matrix(batch.column("v"), dim), probes, cover)
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("v").take(take), pa.array(to + 1), pa.array(p.astype(np.float64)), pa.array(first)], ["id", "v", "part", "p", "resident"])
+
+    return run
+
+
+def _further_routes(dim: int, probes: int, cover: float):
+    """Rows at a part and its network: their routes to the part's parts."""
+
+    def run(rows: pa.Table, nets: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return rows.select(["id", "v", "part", "p", "resident"])
+        net = Network.of(nets.column("w")[0].values.to_numpy(), dim, nets.column("parts")[0].as_py())
+        row, to, p, first = _next(net, matrix(rows.column("v"), dim), probes, cover)
+        take = pa.array(row)
+        part = rows.column("part").to_numpy()[row] * 2 * MOST_PARTS + 1 + to
+        return pa.table({"id": rows.column("id").take(take), "v": rows.column("v").take(take), "part": part, "p": rows.column("p").to_numpy()[row] * p, "resident": rows.column("resident").to_numpy()[row] & first})
+
+    return run
+
+
+def routed(classes: DataFrame, dim: int, probes: int, cover: float, target_rows: int = TARGET_ROWS, part_rows: int = PART_ROWS, sample: int = SAMPLE) -> DataFrame:
+    """``id, v, part, p, resident``: the parts that each class visits, and the one it lives in."""
+    spark, n = classes.sparkSession, classes.count()
+    whole = classes.select("id", "v", F.lit(0).cast("long").alias("part"))
+    if n <= 2 * target_rows:
+        return whole.select("id", "v", "part", F.lit(1.0).alias("p"), F.lit(True).alias("resident"))
+    train = lambda rows: _sampled(rows, sample).groupBy("part").applyInArrow(_trained(dim, target_rows, sample), NETS)
+    first = train(whole.withColumn("n", F.lit(n))).first()
+    sent = spark.sparkContext.broadcast(Network.of(np.array(first.w, np.float32), dim, first.parts))
+    routes = cut(whole.mapInArrow(_first_routes(sent, dim, probes, cover), ROUTES), "routes")
+    for level in range(LEVELS):
+        homes = routes.where("resident").groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") > part_rows)
+        large = cut(routes.join(homes.select("part"), "part", "left_semi").groupBy("part").agg(F.count_if("resident").alias("n"), F.count("*").alias("m")), "large")  # one row per part
+        if large.isEmpty():
             break
-        sent = spark.sparkContext.broadcast(router)
-
-        def located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(sent.value.home(matrix(batch.column("v"), dim)))], ["id", "v", "part"])
-
-        at = classes.select("id", "v").mapInArrow(located, "id long, v array<float>, part long") if router.nets else classes.select("id", "v", F.lit(0).cast("long").alias("part"))
-        for p in large:  # as many passes as parts that are too large, most often one in all
-            # rows of least hash; the bound on the hash keeps what tasks send near the sample's size
-            most = min(1.0, 1.5 * sample / sizes[p]) * 2**62
-            h = F.pmod(F.xxhash64("id"), F.lit(2**62))
-            got = at.where((F.col("part") == p) & (h <= F.lit(int(most)))).orderBy(h, "id").limit(sample).select("v").toArrow()
-            x = matrix(got.column("v"), dim)
-            parts = min(max(2, sizes[p] // target_rows), max(2, len(x) // 64))
-            router.split(p, np.ascontiguousarray(x), parts)
-        sent = spark.sparkContext.broadcast(router)
-        sizes = {r.part: r["count"] for r in classes.select("id", "v").mapInArrow(located, "id long, v array<float>, part long").groupBy("part").count().collect()}
-    return router
-
-
-def _visits(router, dim: int, probes: int, cover: float):
+        rows = routes.join(large, "part")
+        nets = cut(train(rows.where("resident")), "networks")
+        shares = F.ceil(F.col("m") / ROUTED_ROWS).cast("int")
+        left = rows.withColumn("share", F.pmod(F.xxhash64("id"), shares).cast("int")).groupBy("part", "share")
+        right = nets.join(large, "part").withColumn("share", F.explode(F.sequence(F.lit(0), shares - 1))).select("part", "share", "parts", "w").groupBy("part", "share")
+        further = left.cogroup(right).applyInArrow(_further_routes(dim, probes, cover), ROUTES)
+        routes = cut(routes.join(large.select("part"), "part", "left_anti").select("id", "v", "part", "p", "resident").unionByName(further), "routes")
+    else:
+        level += 1
+    if level:  # routes of several levels: the most probable ones of each row
+        w = Window.partitionBy("id").orderBy(F.col("resident").desc(), F.col("p").desc(), "part")
+        routes = routes.withColumn("r", F.row_number().over(w)).where(F.col("r") <= probes).drop("r")
+    return routes
+
+
+def _nearest_of(sent, dim: int, k: int):
+    """The k nearest rows of a task for each measured class."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q = sent.value
+        held_s, held_i = np.full((len(ids), k), -2.0), np.full((len(ids), k), -1)
         for batch in batches:
-            x = matrix(batch.column("v"), dim)
-            rows, at = router.value.route(x, probes, cover)
-            home = router.value.home(x)
-            missing = np.ones(len(x), bool)  # the home part is indexed even if its probability was not among the first
-            missing[rows[at == home[rows]]] = False
-            extra = np.flatnonzero(missing)
-            rows, at = np.append(rows, extra), np.append(at, home[extra])
-            take = pa.array(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(at == home[rows]), batch.column("id").take(take), batch.column("v").take(take)], ["part", "resident", "id", "v"])
+            x, own = matrix(batch.column("v"), dim).astype(np.float64), batch.column("id").to_numpy()
+            x /= np.sqrt((x * x).sum(axis=1))[:, None]
+            for a in range(0, len(x), 4096):
+                s = q @ x[a : a + 4096].T
+                s[ids[:, None] == own[None, a : a + 4096]] = -2
+                row = np.flatnonzero((s > held_s[:, -1:]).any(axis=1))  # later rows seldom are among the nearest
+                few = min(k, s.shape[1])
+                best = np.argpartition(-s[row], few - 1, axis=1)[:, :few]
+                both_s = np.hstack([held_s[row], np.take_along_axis(s[row], best, 1)])
+                both_i = np.hstack([held_i[row], own[a + best]])
+                order = np.argsort(-both_s, axis=1, kind="stable")[:, :k]
+                held_s[row], held_i[row] = np.take_along_axis(both_s, order, 1), np.take_along_axis(both_i, order, 1)
+        row, rank = np.nonzero(held_i >= 0)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(held_i[row, rank]), pa.array(held_s[row, rank])], ["q", "nb", "cosine"])
 
     return run
 
 
+def joined_parts(classes: DataFrame, routes: DataFrame, dim: int, k: int, least: float, measured: int = MEASURED) -> tuple[dict[int, int], float]:
+    """Parts to be searched together (part: the least part of its group), and the recall of the index as routed.
+
+    Measured on ``measured`` classes of least hash, a bounded sample: their neighbours by brute force over all classes,
+    and whether those live in parts they visit.
+    """
+    spark = classes.sparkSession
+    n = classes.count()
+    chosen = classes.where(_hash() <= min(1.0, 3 * measured / max(n, 1)) * 2**62).orderBy(_hash(), "id").limit(measured).select("id", "v").toArrow()
+    ids = chosen.column("id").to_numpy()
+    x = matrix(chosen.column("v"), dim).astype(np.float64)  # near copies differ by less than single precision
+    sent = spark.sparkContext.broadcast((ids, x / np.sqrt((x * x).sum(axis=1))[:, None]))
+    near = classes.select("id", "v").mapInArrow(_nearest_of(sent, dim, k), "q long, nb long, cosine double").where(F.col("cosine") >= least)
+    w = Window.partitionBy("q").orderBy(F.col("cosine").desc(), "nb")
+    near = cut(near.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select("q", "nb"), "measured")  # at most k rows of each measured class
+    lives = routes.where("resident").select("id", F.col("part").alias("at")).join(F.broadcast(near), F.col("id") == F.col("nb")).select("q", "at").collect()
+    visits, home = defaultdict(set), {}
+    for r in routes.select("id", "part", "resident").join(F.broadcast(near.select(F.col("q").alias("id")).distinct()), "id").collect():  # at most ``probes`` rows of each
+        visits[r.id].add(r.part)
+        if r.resident:
+            home[r.id] = r.part
+    total, missed = defaultdict(int), defaultdict(lambda: defaultdict(int))
+    for r in lives:
+        total[home[r.q]] += 1
+        if r.at not in visits[r.q]:
+            missed[home[r.q]][r.at] += 1
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while up.get(x, x) != x:
+            x = up[x]
+        return x
+
+    for part, lost in missed.items():
+        if sum(lost.values()) > (1 - RECALL) * total[part] + 1:
+            for other, times in lost.items():
+                if times > 0.01 * total[part]:
+                    a, b = root(part), root(other)
+                    up[max(a, b)] = min(a, b)
+                    up.setdefault(min(a, b), min(a, b))
+    lost = sum(sum(m.values()) for m in missed.values())
+    return {x: root(x) for x in up}, 1 - lost / max(1, len(lives))
+
+
+def visits_of(routes: DataFrame, groups: dict[int, int], part_rows: int) -> DataFrame:
+    """``place, resident, id, v``: parts as they are, and all blocks of joined parts for every row that visits one of them."""
+    alone = routes.select(F.col("part").alias("place"), "resident", "id", "v")
+    if not groups:
+        return alone
+    spark = routes.sparkSession
+    joined = F.broadcast(spark.createDataFrame([(a, b) for a, b in groups.items()], "part long, whole long"))  # parts with measured classes only
+    rows = routes.join(joined, "part").groupBy("whole", "id").agg(F.bool_or("resident").alias("resident"), F.first("v").alias("v"))
+    rows = cut(rows, "joined")
+    blocks = rows.groupBy("whole").agg(F.ceil(F.count_if("resident") / part_rows).cast("int").alias("blocks"))
+    each = rows.join(F.broadcast(blocks), "whole").withColumn("block", F.explode(F.sequence(F.lit(0), F.greatest("blocks", F.lit(1)) - 1)))
+    here = F.col("resident") & (F.pmod(F.xxhash64("id"), F.greatest("blocks", F.lit(1))) == F.col("block"))
+    each = each.select(F.xxhash64("whole", "block").alias("place"), here.alias("resident"), "id", "v")
+    return alone.join(joined.select(F.col("part").alias("place")), "place", "left_anti").unionByName(each)
+
+
 def _search(dim: int, k: int, least: float):
     def run(table: pa.Table) -> pa.Table:
         x, ids, resident = matrix(table.column("v"), dim), table.column("id").to_numpy(), table.column("resident").to_numpy()
@@ -247,12 +360,16 @@ def _search(dim: int, k: int, least: float):
         held, own = x[: int(resident.sum())], ids[: int(resident.sum())]
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         few = min(k + 4, len(own))
+        # unit vectors are ranked by distance from the part's mean: cosines of near copies differ by less than single precision
+        mean = held.mean(axis=0, dtype=np.float64).astype(np.float32) if len(held) else np.float32(0)
+        y = x - mean
+        away = (y * y).sum(axis=1) / 2
         for i in range(0, len(x) if few else 0, 512):
-            s = x[i : i + 512] @ held.T
-            s[ids[i : i + 512, None] == own[None, :]] = -2
+            s = y[i : i + 512] @ y[: len(held)].T - away[: len(held)]
+            s[ids[i : i + 512, None] == own[None, :]] = -np.inf
             best = np.argpartition(-s, few - 1, axis=1)[:, :few] if few < len(own) else np.broadcast_to(np.arange(few), (len(s), few))
-            near = np.take_along_axis(s, best, 1) >= least - 1e-5
-            q, j = np.nonzero(near & (np.take_along_axis(s, best, 1) > -2))
+            cosine = 1 + np.take_along_axis(s, best, 1) - away[i : i + 512, None]
+            q, j = np.nonzero((cosine >= least - 1e-5) & np.isfinite(cosine))
             r = best[q, j]
             exact = (x[i + q].astype(np.float64) * held[r]).sum(axis=1)
             exact /= np.sqrt((x[i + q].astype(np.float64) ** 2).sum(axis=1) * (held[r].astype(np.float64) ** 2).sum(axis=1))
@@ -278,11 +395,10 @@ def nearest(df: DataFrame, row_id: str, vector: str, k: int = 5, dim: int = 72,
     spark = df.sparkSession
     rows = cut(units(df, row_id, vector, dim).mapInArrow(_keyed, "id long, key binary, v array<float>"), "vectors")
     classes = cut(classes_of(rows, k), "classes")
-    router = fit(classes, dim, target_rows, part_rows)
-    sent = spark.sparkContext.broadcast(router)
-    visits = classes.select("id", "v").mapInArrow(_visits(sent, dim, probes, cover), "part long, resident boolean, id long, v array<float>")
-    visits = shared_out(cut(visits, "visits"), "part", "id", VISITORS * part_rows)
-    found = visits.groupBy("part", "share").applyInArrow(_search(dim, k, least), "q long, r long, cosine double")
+    routes = cut(routed(classes, dim, probes, cover, target_rows, part_rows), "routes")
+    groups = joined_parts(classes, routes, dim, k, least)[0] if not routes.where("part <> 0").isEmpty() else {}
+    visits = shared_out(cut(visits_of(routes, groups, part_rows), "visits"), "place", "id", VISITORS * part_rows)
+    found = visits.groupBy("place", "share").applyInArrow(_search(dim, k, least), "q long, r long, cosine double")
     found = cut(found, "pairs").select("q", F.col("r").alias("nb"), "cosine").distinct()
     copies = classes.where("n > 1").select(F.col("id").alias("c"), "key", "ids")
     found = _first(found, "q", k).drop("rank").join(copies.select("c", "ids"), F.col("nb") == F.col("c"), "left")

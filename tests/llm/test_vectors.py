@@ -104,6 +104,23 @@ def test_routed_recall_and_empty(spark):
     assert neighbours.nearest(df.limit(2), "id", "v", dim=24).count() == 2
 
 
+def test_near_copies_are_searched_whole(spark):
+    """A third of the rows differ by noise only: no network can route them, so the parts they fill are joined."""
+    g = np.random.default_rng(8)
+    c = g.standard_normal((200, 24))
+    x = np.vstack([c[g.integers(0, 200, 2600)] + 0.2 * g.standard_normal((2600, 24)), g.standard_normal(24) + 0.001 * g.standard_normal((1400, 24))]).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "id long, v array<float>").repartition(4)
+    u = x.astype(float)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    want = {(i, int(j)) for i in range(len(u)) for j in np.argsort(-s[i])[:5]}
+    got = {(r.id, r.nb) for r in neighbours.nearest(df, "id", "v", k=5, dim=24, target_rows=200, part_rows=300, probes=4).collect()}
+    for part in (range(2600), range(2600, 4000)):
+        mine = {w for w in want if w[0] in part}
+        assert len(mine & got) / len(mine) > 0.95
+
+
 def test_balanced_parts():
     g = np.random.default_rng(0)
     x = g.standard_normal((1000, 6)).astype(np.float32)
