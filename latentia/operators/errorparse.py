@@ -1,16 +1,19 @@
 """Loading delimited and tagged lines: rows that parse at no cost load, others get the cheapest repair as their reason.
 
-The parse is a dynamic program in three levels, each charging one kind of edit, the earlier level weighing more than
-any number of later edits:
+One minimum-cost parse decides everything. Its edits are to insert or delete a quote, to insert or delete a delimiter,
+and to accept a value that is not of its column's type; costs are compared in this order (one quote weighs more than any
+number of delimiters, one delimiter more than any number of values). ``reason`` is the first kind of edit that the
+cheapest parse needs, ``cost`` the number of its edits, ``fields`` are there if it needs none.
 
-1. ``quoting``: insert or delete quotes until the line is well-formed. States: start of a field, plain field, inside
-   quotes, after a closing quote. The least number of edits is found by a shortest path over the line's quotes,
-   delimiters and runs of other characters.
-2. ``columns``: insert or delete delimiters until the fields fill their slots (``align``: fields against slots).
-3. ``value``: fields whose text is not of their slot's type; the alignment of level 2 prefers the fewest.
+* Delimited lines: a best-first search over (symbol of the line, state of the quotes, column, state of the column's
+  type). States of the quotes: start of a field, plain field, inside quotes, after a closing quote. Delimiters are
+  edited in the columns only: a deleted one still ends what was quoted before it, an inserted one stands outside
+  quotes, so that no such edit can stand for a missing quote. What the quotes still cost from a symbol on is computed
+  backward first and guides the search, so that a line with few faults visits few states.
+* Tagged lines: a dynamic program over the tokens with the state inside or outside quotation marks, whose steps carry
+  the token's own cost in delimiters and values.
 
-``reason`` is the first level with a cost. Lines that a plain predicate proves valid never leave the JVM; only the
-others are parsed in Python, in Arrow batches.
+Lines that a plain predicate proves valid never leave the JVM; only the others are parsed in Python, in Arrow batches.
 
 Defined cases: null lines are no rows; a line that is empty or only spaces and tabs is a valid boundary; repeated
 lines each count; very long lines are parsed whole; other columns of the input, whatever their names, are ignored.
@@ -18,6 +21,7 @@ lines each count; very long lines are parsed whole; other columns of the input,
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Callable, Iterator
 
@@ -29,16 +33,59 @@ from latentia.session import ship
 PARSED = "line_id long, fields array<string>, reason string, cost int, edits array<string>"
 START, PLAIN, QUOTED, CLOSED = range(4)
 _INF = 1 << 60
+_BASE = 1 << 20  # a line has fewer symbols
+REASONS = ("quoting", "columns", "value")
 
-NER_SLOTS = (
-    re.compile(r"O|[BI]-(?:PER|LOC|ORG|MISC)"), re.compile("[0-9]+"), re.compile("[0-9]+"), re.compile("(?s:.+)"), re.compile("(?s:.+)"),
-    re.compile("(?s:.+)"), re.compile("(?s:.*)"), re.compile("(?s:.*)"), re.compile("[0-9]+"),
-)
+
+class Digits:
+    """A type of column as an automaton over pieces of text; the state is None where nothing can help any more."""
+
+    first = ""
+
+    def after(self, state, text: str):
+        return "0" if state is not None and text.isascii() and text.isdigit() else None
+
+    def good(self, state) -> bool:
+        return state == "0"
+
+
+class Some(Digits):
+    """Any text but the empty one."""
+
+    def after(self, state, text: str):
+        return "x"
+
+    def good(self, state) -> bool:
+        return state == "x"
+
+
+class Anything(Some):
+    def good(self, state) -> bool:
+        return True
+
+
+class OneOf(Digits):
+    """One of a closed list of texts."""
+
+    def __init__(self, texts: list[str]):
+        self.texts = frozenset(texts)
+        self.starts = frozenset(t[:k] for t in texts for k in range(len(t) + 1))
+
+    def after(self, state, text: str):
+        return state + text if state is not None and state + text in self.starts else None
+
+    def good(self, state) -> bool:
+        return state in self.texts
+
+
+#: Types of the nine columns of an entity line.
+NER_COLUMNS = (OneOf(["O", *(f"{b}-{t}" for b in "BI" for t in ("PER", "LOC", "ORG", "MISC"))]), Digits(), Digits(), Some(), Some(), Some(), Anything(), Anything(), Digits())
 
 
 def _symbols(line: str, quote: str, delimiter: str) -> list[str]:
-    """Quotes and delimiters singly, other characters in runs."""
-    return re.findall(f"{re.escape(quote)}|{re.escape(delimiter)}|[^{re.escape(quote + delimiter)}]+", line)
+    """Quotes and delimiters singly, other characters in runs that end at blanks (where a delimiter may be missing)."""
+    other = re.escape(quote + delimiter)
+    return re.findall(f"{re.escape(quote)}|{re.escape(delimiter)}|[^{other} ]+| +", line)
 
 
 def strict_fields(line: str, quote: str = '"', delimiter: str = "\t") -> list[str] | None:
@@ -76,152 +123,140 @@ def _step(state: int, s: str, quote: str, delimiter: str) -> int | None:
     return None if state == CLOSED else QUOTED if state == QUOTED else PLAIN
 
 
-def quote_repair(line: str, quote: str = '"', delimiter: str = "\t") -> tuple[int, list[str], str]:
-    """Least number of quotes to insert or delete, the edits, and the line after them."""
+def _quotes_ahead(symbols: list[str], quote: str, delimiter: str) -> list[list[int]]:
+    """Least number of quotes to insert or delete from each symbol on, for each state of the quotes."""
+    n = len(symbols)
+    out = [[_INF] * 4 for _ in range(n + 1)]
+    out[n] = [0, 0, 1, 0]
+    for i in range(n - 1, -1, -1):
+        s, ahead = symbols[i], out[i + 1]
+        here = [ahead[to] if (to := _step(state, s, quote, delimiter)) is not None else _INF for state in range(4)]
+        if s == quote:
+            here = [min(h, ahead[state] + 1) for state, h in enumerate(here)]
+        for _ in range(2):  # at most two inserted in a row: more would only undo one another
+            here = [min(h, here[_step(state, quote, quote, delimiter)] + 1) for state, h in enumerate(here)]
+        out[i] = here
+    return out
+
+
+def cheapest_parse(line: str, columns: tuple = NER_COLUMNS, quote: str = '"', delimiter: str = "\t") -> tuple[tuple[int, int, int], list[str]]:
+    """Least number of edits of quotes, delimiters and values, in this order, and the edits."""
     symbols = _symbols(line, quote, delimiter)
-    cost = [0, _INF, _INF, _INF]
-    trail: list[list[tuple[int, str]]] = []
-
-    def inserts(cost: list[int], step: list) -> None:
-        """At most two quotes in a row: more would only undo one another."""
-        for _ in range(2):
-            for state in range(4):
-                to = _step(state, quote, quote, delimiter)
-                if to != state and cost[state] + 1 < cost[to]:
-                    cost[to], step[to] = cost[state] + 1, (step[state][0], step[state][1] + "+")
-
-    for s in symbols:
-        before = [(i, "") for i in range(4)]
-        inserts(cost, before)
-        new, step = [_INF] * 4, [(0, "")] * 4
-        for state in range(4):
-            if cost[state] >= _INF:
-                continue
-            moves = [(_step(state, s, quote, delimiter), 0, "k")]
-            if s == quote:
-                moves.append((state, 1, "-"))
-            for to, c, op in moves:
-                if to is not None and cost[state] + c < new[to]:
-                    new[to], step[to] = cost[state] + c, (before[state][0], before[state][1] + op)
-        cost = new
-        trail.append(step)
-    last = [(i, "") for i in range(4)]
-    inserts(cost, last)
-    end = min((START, PLAIN, CLOSED), key=lambda i: cost[i])
-    total, (state, ops_at_end) = cost[end], last[end]
-    ops = [ops_at_end]
-    for step in reversed(trail):
-        state, op = step[state]
-        ops.append(op)
-    ops.reverse()
-    edits, text, at = [], [], 0
-    for s, op in zip([*symbols, ""], ops):
-        for _ in range(op.count("+")):
-            edits.append(f"insert {quote} at {at}")
-            text.append(quote)
-        if "-" in op:
-            edits.append(f"delete {quote} at {at}")
-        else:
-            text.append(s)
-        at += len(s)
-    return total, edits, "".join(text)
-
-
-def align(fields: list[str], slots: tuple[re.Pattern, ...]) -> tuple[int, int, list[str]]:
-    """Least number of delimiters to insert or delete so that the fields fill the slots, then the fewest bad values."""
-    n, m = len(fields), len(slots)
-    spare = n - m
-    good = [[bool(p.fullmatch(f)) for p in slots] for f in fields] if n <= 4 * m else None
-
-    def bad(i: int, j: int) -> int:
-        return 0 if (good[i][j] if good else slots[j].fullmatch(fields[i])) else 1
-
-    if spare == 0:
-        wrong = [j for j in range(m) if bad(j, j)]
-        return 0, len(wrong), [f"value of field {j}" for j in wrong]
-    # only deletions, or only insertions, are needed: row[j] = least bad values with j slots filled and i fields used
-    if spare > 0:
-        row, back = [0] + [_INF] * m, []
-        for i in range(n):
-            new, from_ = [_INF] * (m + 1), [0] * (m + 1)
-            for j in range(max(0, m - (n - i - 1)), min(i + 1, m) + 1):
-                fill = row[j - 1] + bad(i, j - 1) if j else _INF
-                new[j], from_[j] = (fill, 1) if fill <= row[j] else (row[j], 0)
-            # a field that fills no slot joins the one before it: its delimiter is deleted
-            row = new
-            back.append(from_)
-        j, edits = m, []
-        for i in range(n - 1, -1, -1):
-            if back[i][j]:
-                j -= 1
-            else:
-                edits.append(f"delete delimiter before field {i}")
-        return spare, row[m], edits[::-1]
-    row, back = [0] + [_INF] * n, []
-    for j in range(m):
-        new, from_ = [_INF] * (n + 1), [0] * (n + 1)
-        for i in range(max(0, n - (m - j - 1)), min(j + 1, n) + 1):
-            fill = row[i - 1] + bad(i - 1, j) if i else _INF
-            new[i], from_[i] = (fill, 1) if fill <= row[i] else (row[i], 0)
-        row = new
-        back.append(from_)
-    i, edits = n, []
-    for j in range(m - 1, -1, -1):
-        if back[j][i]:
-            i -= 1
-        else:
-            edits.append(f"insert delimiter for field {j}")
-    return -spare, row[n], edits[::-1]
-
-
-def parse_delimited(line: str, slots: tuple[re.Pattern, ...] = NER_SLOTS) -> tuple[list[str] | None, str | None, int, list[str]]:
+    n, m = len(symbols), len(columns)
+    ahead = _quotes_ahead(symbols, quote, delimiter)
+    q1, c1 = _BASE * _BASE, _BASE
+    first = (0, START, 0, columns[0].first)
+    best = {first: 0}
+    back: dict[tuple, tuple] = {}
+    heap: list[tuple[int, int, int, tuple]] = [(ahead[0][START] * q1, 0, 0, first)]
+    done = set()
+    while heap:
+        *_, state = heapq.heappop(heap)
+        if state in done:
+            continue
+        done.add(state)
+        i, quotes, j, kind = state
+        cost = best[state]
+        if i > n:
+            break
+
+        def go(to: tuple, more: int, edit: str | None) -> None:
+            new = cost + more
+            if new < best.get(to, _INF * _INF):
+                best[to] = new
+                back[to] = (state, edit)
+                left = ahead[to[0]][to[1]] if to[0] <= n else 0
+                heapq.heappush(heap, (new + left * q1, -to[0], len(back), to))  # of equal cost the one that has come farther
+
+        end = 0 if columns[j].good(kind) else 1
+        wrong = f"value of field {j}" if end else None
+        if quotes != PLAIN and ahead[i][_step(quotes, quote, quote, delimiter)] < _INF:
+            to = _step(quotes, quote, quote, delimiter)
+            go((i, to, j, columns[j].after(kind, quote) if quotes == CLOSED else kind), q1, f"insert {quote} before symbol {i}")
+        if quotes != QUOTED and j + 1 < m:
+            go((i, quotes, j + 1, columns[j + 1].first), c1 + end, f"insert delimiter before symbol {i}" + (f"; {wrong}" if wrong else ""))
+        if i == n:
+            if quotes != QUOTED and j == m - 1:
+                go((n + 1, START, j, None), end, wrong)
+            continue
+        s = symbols[i]
+        to = _step(quotes, s, quote, delimiter)
+        if s == delimiter and quotes != QUOTED:
+            if j + 1 < m:
+                go((i + 1, START, j + 1, columns[j + 1].first), end, wrong)
+            go((i + 1, START, j, kind), c1, f"delete delimiter at symbol {i}")
+        elif to is not None:
+            content = s != quote or quotes in (PLAIN, CLOSED)
+            go((i + 1, to, j, columns[j].after(kind, s) if content else kind), 0, None)
+        if s == quote:
+            go((i + 1, quotes, j, kind), q1, f"delete {quote} at symbol {i}")
+    edits = []
+    total = best[state]
+    while state in back:
+        state, edit = back[state]
+        if edit:
+            edits += reversed(edit.split("; "))
+    return (total // q1, total % q1 // c1, total % c1), edits[::-1]
+
+
+def _reason(cost: tuple[int, int, int]) -> str | None:
+    return next((r for r, c in zip(REASONS, cost) if c), None)
+
+
+def parse_delimited(line: str, columns: tuple = NER_COLUMNS) -> tuple[list[str] | None, str | None, int, list[str]]:
     """Fields if the line is valid, else the reason, the number of edits and the edits."""
-    fields = strict_fields(line)
-    if fields is None:
-        cost, edits, _ = quote_repair(line)
-        return None, "quoting", cost, edits
-    cost, bad, edits = align(fields, slots)
-    if cost:
-        return None, "columns", cost + bad, edits
+    (q, c, v), edits = cheapest_parse(line, columns)
     if not line.isascii():
-        bad, edits = bad + 1, [*edits, "not ASCII"]
-    return (None, "value", bad, edits) if bad else (fields, None, 0, [])
+        v, edits = v + 1, [*edits, "not ASCII"]
+    reason = _reason((q, c, v))
+    return (None, reason, q + c + v, edits) if reason else (strict_fields(line), None, 0, [])
 
 
-def alternation_repair(kinds: list[int]) -> tuple[int, list[tuple[str, int]]]:
-    """Least marks to insert or delete so that opening (0) and closing (1) marks alternate, opening first, closing last."""
-    cost, trail = [0, _INF], []  # outside, inside
-    for kind in kinds:
-        # keep where it fits, delete, or insert the missing partner before it
-        new, step = [_INF, _INF], [("", 0), ("", 0)]
-        for state in (0, 1):
-            for to, c, op in ((1 - state if kind == state else None, 0, "keep"), (state, 1, "delete"), (state if kind != state else None, 1, "insert before")):
-                if to is not None and cost[state] + c < new[to]:
-                    new[to], step[to] = cost[state] + c, (op, state)
-        cost = new
-        trail.append(step)
-    state, edits = (0, []) if cost[0] <= cost[1] + 1 else (1, [("insert at end", len(kinds))])
-    total = min(cost[0], cost[1] + 1)
-    for i in range(len(kinds) - 1, -1, -1):
-        op, state = trail[i][state]
-        if op != "keep":
-            edits.append((op, i))
-    return total, edits[::-1]
+def _token(token: str, tags: frozenset[str]) -> tuple[int, int, str | None]:
+    """Delimiters and values to edit in a token, and what."""
+    word, slash, tag = token.rpartition("/")
+    if slash:
+        bad = not word or tag not in tags
+        return 0, int(bad), "value" if bad else None
+    fits = any(token[k:] in tags for k in range(1, len(token)))
+    return 1, int(not fits), "insert delimiter" if fits else "insert delimiter; value"
 
 
 def parse_tagged(line: str, tags: frozenset[str]) -> tuple[list[str] | None, str | None, int, list[str]]:
-    """Tokens ``word/tag`` of a tagged line if it is valid, else the reason, the number of edits and the edits."""
+    """Tokens ``word/tag`` of a tagged line if it is valid, else the reason, the number of edits and the edits.
+
+    Opening and closing marks alternate, opening first, closing last; a mark may be deleted, or its partner inserted.
+    """
     tokens = [t for t in line.split(" ") if t]
-    pairs = [t.rpartition("/") for t in tokens]
-    marks = [i for i, (w, slash, _) in enumerate(pairs) if slash and w in ("``", "''")]
-    cost, edits = alternation_repair([int(pairs[i][0] == "''") for i in marks])
-    if cost:
-        return None, "quoting", cost, [f"{op} quote of token {marks[i] if i < len(marks) else len(tokens)}" for op, i in edits]
-    missing = [i for i, (_, slash, _) in enumerate(pairs) if not slash]
-    if missing:
-        return None, "columns", len(missing), [f"insert delimiter in token {i}" for i in missing]
-    wrong = [i for i, (w, _, t) in enumerate(pairs) if not w or t not in tags]
-    return (None, "value", len(wrong), [f"value of token {i}" for i in wrong]) if wrong else (tokens, None, 0, [])
+    q1, c1 = _BASE * _BASE, _BASE
+    cost, trail = [0, _INF * _INF], []  # outside, inside
+    for t in tokens:
+        word, slash, _ = t.rpartition("/")
+        mark = ("``", "''").index(word) if slash and word in ("``", "''") else None
+        c, v, _ = _token(t, tags)
+        own = c * c1 + v
+        new, step = [_INF * _INF] * 2, [("", 0)] * 2
+        for state in (0, 1):
+            if mark is None:
+                moves = [(state, own, "keep")]
+            elif mark == state:
+                moves = [(1 - state, own, "keep"), (state, q1, "delete quote")]
+            else:
+                moves = [(state, q1, "delete quote"), (state, q1 + own, "insert quote before")]
+            for to, more, op in moves:
+                if cost[state] + more < new[to]:
+                    new[to], step[to] = cost[state] + more, (op, state)
+        cost = new
+        trail.append(step)
+    state = 0 if cost[0] <= cost[1] + q1 else 1
+    total, edits = min(cost[0], cost[1] + q1), ["insert quote at end"] if state else []
+    for i in range(len(tokens) - 1, -1, -1):
+        op, state = trail[i][state]
+        what = _token(tokens[i], tags)[2] if op != "delete quote" else None
+        edits += [f"{x} of token {i}" for x in reversed([*([op] if op != "keep" else []), *(what.split("; ") if what else [])])]
+    found = (total // q1, total % q1 // c1, total % c1)
+    reason = _reason(found)
+    return (None, reason, sum(found), edits[::-1]) if reason else (tokens, None, 0, [])
 
 
 def _run(parse: Callable):

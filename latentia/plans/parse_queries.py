@@ -29,6 +29,14 @@ def p2_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _both(spark, sf_dir, True).select("table_name", "line_id", "reason", "cost", F.array_join("edits", "; ").alias("edits"))
 
 
+def p2_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that fail by columns or values: how many delimiters, or values, the cheapest parse edits."""
+    failing = _both(spark, sf_dir, True).where("reason <> 'quoting'")
+    delimiters = F.size(F.filter("edits", lambda e: e.contains("delimiter")))
+    n = F.when(F.col("reason") == "columns", delimiters).otherwise(F.size("edits"))
+    return failing.select("table_name", "line_id", "reason", n.cast("long").alias("n"))
+
+
 def p2_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Valid rows, one output row per field."""
     valid = _both(spark, sf_dir, False).where("reason is null")
@@ -67,8 +75,13 @@ tg as (
 )"""
 _ALL = f"with {_NER}, {_TAGGED}, r as (select 'ner2003_raw' table_name, * from ner_r union all select 'bllip_tagged', * from tg_r)"
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_edits, p2_loaded)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_edits, p2_counts, p2_loaded)}
+_BAD = """(not regexp_full_match(f[1], 'O|[BI]-(PER|LOC|ORG|MISC)'))::BIGINT + (not regexp_full_match(f[2], '[0-9]+'))::BIGINT + (not regexp_full_match(f[3], '[0-9]+'))::BIGINT
++ (f[4] = '')::BIGINT + (f[5] = '')::BIGINT + (f[6] = '')::BIGINT + (not regexp_full_match(f[9], '[0-9]+'))::BIGINT + (not regexp_full_match(toks, '(?s)[\\x00-\\x7F]*'))::BIGINT"""
+_BAD_TOKENS = r"len(list_filter(f, lambda x: not (regexp_full_match(x, '(?s).+/[^/]*') and list_contains(tags, regexp_extract(x, '(?s)^.*/([^/]*)$', 1)))))"
 ORACLES = {
+    "p2_counts": f"""with {_NER}, {_TAGGED} select 'ner2003_raw' table_name, line_id, reason, case reason when 'columns' then abs(len(f) - 9) else {_BAD} end n from ner_r join ner using (line_id, f) where reason <> 'quoting'
+union all select 'bllip_tagged', line_id, reason, case reason when 'columns' then len(list_filter(f, lambda x: not contains(x, '/'))) else {_BAD_TOKENS} end from tg_r join tg_q using (line_id, f) where reason <> 'quoting'""",
     "p2_found": f"{_ALL} select table_name, line_id, reason from r where reason is not null",
     "p2_loaded": f"{_ALL} select table_name, line_id, (unnest(range(len(f))))::INT pos, unnest(f) field from r where reason is null",
 }

@@ -1,5 +1,6 @@
 """Readers, writers, the error parse and chunk rules."""
 
+import itertools
 import random
 
 import pytest
@@ -77,20 +78,77 @@ def test_delimited_reasons(line, reason):
     assert got == reason and (cost == 0) == (reason is None) and bool(edits) == bool(cost) and (fields is None) == (reason is not None)
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.text('"\ta', max_size=9))
-def test_quote_repair_is_least(line):
-    cost, edits, fixed = EP.quote_repair(line)
-    assert EP.strict_fields(fixed) is not None and len(edits) == cost
-    assert (cost == 0) == (EP.strict_fields(line) is not None)
-    if cost > 1:  # no single edit would do
-        singles = [line[:i] + '"' + line[i:] for i in range(len(line) + 1)] + [line[:i] + line[i + 1 :] for i, c in enumerate(line) if c == '"']
-        assert all(EP.strict_fields(s) is None for s in singles)
+def raw_fields(line):
+    """Fields of a well-formed line with their quotes."""
+    out, quotes = [""], EP.START
+    for c in EP._symbols(line, '"', "\t"):
+        if c == "\t" and quotes != EP.QUOTED:
+            out.append("")
+        else:
+            out[-1] += c
+        quotes = EP._step(quotes, c, '"', "\t")
+    return out
+
+
+def least_edits(line, columns):
+    """Brute force: all ways to edit as few quotes as possible, then to fill the columns by joining or adding fields."""
+    lines = {line}
+    for q in range(len(line) + 2):
+        well = [f for x in lines if (f := EP.strict_fields(x)) is not None]
+        if well:
+            break
+        lines = {x[:i] + '"' + x[i:] for x in lines for i in range(len(x) + 1)} | {x[:i] + x[i + 1 :] for x in lines for i, c in enumerate(x) if c == '"'}
+    m, best = len(columns), None
+    for f in well:
+        n = len(f)
+        if n >= m:
+            ways = [["".join(f[a:b]) for a, b in zip((0, *at), (*at, n))] for at in itertools.combinations(range(1, n), m - 1)]
+        else:
+            ways = []
+            for x in lines:
+                if EP.strict_fields(x) == f:
+                    atoms = [[t] if raw.startswith('"') else EP._symbols(t, '"', "\t") for t, raw in zip(f, raw_fields(x))]
+                    spots = [(k, i) for k, a in enumerate(atoms) for i in range(len(a) + 1)]
+                    for chosen in itertools.combinations_with_replacement(spots, m - n):
+                        out = []
+                        for k, a in enumerate(atoms):
+                            at = [0, *(i for j, i in chosen if j == k), len(a)]
+                            out += ["".join(a[y:z]) for y, z in zip(at, at[1:])]
+                        ways.append(out)
+        for w in ways:
+            bad = 0
+            for t, c in zip(w, columns):
+                bad += not c.good(c.after(c.first, t) if t else c.first)
+            best = min(filter(None, (best, (abs(n - m), bad))))
+    return (q, *best)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text('"\t1a', max_size=7))
+def test_parse_is_cheapest(line):
+    columns = (EP.Digits(), EP.Some(), EP.OneOf(["a", "aa"]))
+    cost, edits = EP.cheapest_parse(line, columns)
+    assert cost == least_edits(line, columns) and len(edits) == sum(cost)
+
+
+TAGS = frozenset(["NN", "``", "''"])
 
 
-@pytest.mark.parametrize("kinds, cost", [([], 0), ([0, 1], 0), ([1], 1), ([0], 1), ([1, 0], 2), ([0, 0, 1], 1), ([0, 1, 1, 0, 1], 1)])
-def test_alternation(kinds, cost):
-    assert EP.alternation_repair(kinds)[0] == cost
+@pytest.mark.parametrize(
+    "line, reason, cost",
+    [
+        ("a/NN ``/`` b/NN ''/''", None, 0), ("''/''", "quoting", 1), ("``/``", "quoting", 1), ("''/'' ``/``", "quoting", 2), ("``/`` ``/`` ''/''", "quoting", 1),
+        ("``/XX", "quoting", 1), ("``/XX a/NN", "quoting", 1), ("aNN b", "columns", 3), ("a/XX /NN", "value", 2), ("aNN ``/``", "quoting", 2), ("", None, 0),
+    ],
+)
+def test_tagged_reasons(line, reason, cost):
+    fields, got, n, edits = EP.parse_tagged(line, TAGS)
+    assert (got, n, len(edits)) == (reason, cost, cost) and (fields is None) == (reason is not None)
+
+
+def test_long_lines_parse():
+    assert EP.parse_delimited("\t" * 5000)[1:3] == ("columns", 4992 + 7)
+    assert EP.parse_delimited("x" * 100_000)[1] == "columns"
 
 
 def test_parse_tables(spark):
