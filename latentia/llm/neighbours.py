@@ -263,7 +263,7 @@ def routed(classes: DataFrame, dim: int, probes: int, cover: float, target_rows:
         level += 1
     if level:  # routes of several levels: the most probable ones of each row
         w = Window.partitionBy("id").orderBy(F.col("resident").desc(), F.col("p").desc(), "part")
-        routes = routes.withColumn("r", F.row_number().over(w)).where(F.col("r") <= probes).drop("r")
+        routes = cut(routes.withColumn("r", F.row_number().over(w)).where(F.col("r") <= probes).drop("r"), "routes")
     return routes
 
 
@@ -348,7 +348,7 @@ def visits_of(routes: DataFrame, groups: dict[int, int], part_rows: int) -> Data
     blocks = rows.groupBy("whole").agg(F.ceil(F.count_if("resident") / part_rows).cast("int").alias("blocks"))
     each = rows.join(F.broadcast(blocks), "whole").withColumn("block", F.explode(F.sequence(F.lit(0), F.greatest("blocks", F.lit(1)) - 1)))
     here = F.col("resident") & (F.pmod(F.xxhash64("id"), F.greatest("blocks", F.lit(1))) == F.col("block"))
-    each = each.select(F.xxhash64("whole", "block").alias("place"), here.alias("resident"), "id", "v")
+    each = cut(each.select(F.xxhash64("whole", "block").alias("place"), here.alias("resident"), "id", "v"), "blocks")
     return alone.join(joined.select(F.col("part").alias("place")), "place", "left_anti").unionByName(each)
 
 
@@ -395,9 +395,9 @@ def nearest(df: DataFrame, row_id: str, vector: str, k: int = 5, dim: int = 72,
     spark = df.sparkSession
     rows = cut(units(df, row_id, vector, dim).mapInArrow(_keyed, "id long, key binary, v array<float>"), "vectors")
     classes = cut(classes_of(rows, k), "classes")
-    routes = cut(routed(classes, dim, probes, cover, target_rows, part_rows), "routes")
+    routes = routed(classes, dim, probes, cover, target_rows, part_rows)
     groups = joined_parts(classes, routes, dim, k, least)[0] if not routes.where("part <> 0").isEmpty() else {}
-    visits = shared_out(cut(visits_of(routes, groups, part_rows), "visits"), "place", "id", VISITORS * part_rows)
+    visits = shared_out(visits_of(routes, groups, part_rows), "place", "id", VISITORS * part_rows)
     found = visits.groupBy("place", "share").applyInArrow(_search(dim, k, least), "q long, r long, cosine double")
     found = cut(found, "pairs").select("q", F.col("r").alias("nb"), "cosine").distinct()
     copies = classes.where("n > 1").select(F.col("id").alias("c"), "key", "ids")
