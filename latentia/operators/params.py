@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 SCHEMA = "param string, i long, j long, r long, v double"
 SMOOTHING = 1e-8
+DRIVER_LIMIT = 20_000_000
 
 
 @dataclass
@@ -69,7 +70,9 @@ def to_table(spark: SparkSession, p: Params) -> DataFrame:
 
 
 def from_table(table: DataFrame) -> Params:
-    """Arrays of a table small enough for the driver (checked by its caller's model size)."""
+    """Arrays of a table of at most ``DRIVER_LIMIT`` rows; larger emissions stay a table (``em_joined``)."""
+    if table.limit(DRIVER_LIMIT + 1).count() > DRIVER_LIMIT:
+        raise ValueError(f"more than {DRIVER_LIMIT} parameters do not go to the driver")
     pdf = table.toPandas()
     out = {}
     for name, axes in (("init", ("i", "r")), ("trans", ("i", "j", "r")), ("final", ("j", "r")), ("emit", ("i", "j", "r"))):

@@ -31,59 +31,77 @@ def as_sentences(features: DataFrame) -> DataFrame:
 
 
 class Weights:
-    """Emission weights by feature name; initial, transition (by previous tag) and final weights under own names."""
+    """Emission weights as rows of a matrix, by feature name; initial, transition (by previous tag) and final weights under own names."""
 
     def __init__(self, n: int, held: dict[str, np.ndarray] | None = None):
-        self.n, self.held = n, held if held is not None else {}
-
-    def get(self, name: str) -> np.ndarray:
-        w = self.held.get(name)
-        return np.zeros(self.n) if w is None else w
-
-    def add(self, name: str, tag: int, x: float) -> None:
-        w = self.held.get(name)
-        if w is None:
-            w = self.held[name] = np.zeros(self.n)
-        w[tag] += x
-
-    def scores(self, feats: list[list[str]], vals: list[list[float]]):
-        e = np.zeros((len(feats), self.n))
-        for i, (names, xs) in enumerate(zip(feats, vals)):
-            for f, x in zip(names, xs):
-                w = self.held.get(f)
-                if w is not None:
-                    e[i] += x * w
-        T = np.array([self.get(f"\x01prev:{j}") for j in range(self.n)]).T
-        return self.get("\x01init"), T, self.get("\x01final"), e
-
-    def decode(self, feats, vals) -> np.ndarray:
-        pi, T, f, e = self.scores(feats, vals)
-        return best_path(pi, T, f, e[None])[0][0]
-
-    def update(self, feats, vals, gold: list[int], pred: list[int]) -> None:
+        self.n, held = n, held or {}
+        self.row: dict[str, int] = {k: i for i, k in enumerate(held)}
+        for k in ("\x01init", *(f"\x01prev:{j}" for j in range(n)), "\x01final"):
+            self.row.setdefault(k, len(self.row))
+        self.w = np.zeros((max(16, len(self.row)), n))
+        if held:
+            self.w[: len(held)] = np.stack(list(held.values()))
+        self.init, self.final = self.row["\x01init"], self.row["\x01final"]
+        self.prev = np.array([self.row[f"\x01prev:{j}"] for j in range(n)])
+
+    def rows(self, names: pa.Array, grow: bool) -> np.ndarray:
+        """Row of each feature; unseen ones get a row (``grow``) or -1."""
+        coded = names.dictionary_encode() if not isinstance(names, pa.DictionaryArray) else names
+        known = coded.dictionary.to_pylist()
+        if grow:
+            at = np.array([self.row.setdefault(k, len(self.row)) for k in known], np.int64)
+            if len(self.row) > len(self.w):
+                self.w = np.vstack([self.w, np.zeros((max(len(self.w), len(self.row) - len(self.w)), self.n))])
+        else:
+            at = np.array([self.row.get(k, -1) for k in known], np.int64)
+        return at[coded.indices.to_numpy(zero_copy_only=False)] if len(known) else np.zeros(0, np.int64)
+
+    def scores(self, rows: np.ndarray, vals: np.ndarray, token: np.ndarray, n_tokens: int) -> np.ndarray:
+        """Summed weights of each token's features."""
+        seen = rows >= 0
+        e = np.zeros((n_tokens, self.n))
+        np.add.at(e, token[seen], self.w[rows[seen]] * vals[seen, None])
+        return e
+
+    def decode(self, e: np.ndarray) -> np.ndarray:
+        return best_path(self.w[self.init], self.w[self.prev].T, self.w[self.final], e[None])[0][0]
+
+    def update(self, rows: np.ndarray, vals: np.ndarray, token: np.ndarray, gold: np.ndarray, pred: np.ndarray) -> None:
         for y, by in ((gold, 1.0), (pred, -1.0)):
-            self.add("\x01init", y[0], by)
-            self.add("\x01final", y[-1], by)
-            for i in range(len(y)):
-                if i:
-                    self.add(f"\x01prev:{y[i - 1]}", y[i], by)
-                if gold[i] != pred[i]:
-                    for f, x in zip(feats[i], vals[i]):
-                        self.add(f, y[i], by * x)
+            self.w[self.init, y[0]] += by
+            self.w[self.final, y[-1]] += by
+            np.add.at(self.w, (self.prev[y[:-1]], y[1:]), by)
+            wrong = (gold != pred)[token]
+            np.add.at(self.w, (rows[wrong], y[token[wrong]]), by * vals[wrong])
+
+
+def _flat(batch: pa.RecordBatch):
+    """Features of all tokens of a batch: names, values, token of each within its sentence; ends of features and tokens per sentence."""
+    feats, vals = batch.column("feats"), batch.column("vals")
+    per_sentence, per_token = feats.value_lengths().to_numpy(zero_copy_only=False), feats.flatten().value_lengths().to_numpy(zero_copy_only=False)
+    token_end = np.cumsum(per_sentence)
+    feature_end = np.append(0, np.cumsum(per_token))[token_end]
+    place = np.arange(len(per_token)) - np.repeat(token_end - per_sentence, per_sentence)
+    return feats.flatten().flatten(), vals.flatten().flatten().to_numpy(zero_copy_only=False), np.repeat(place, per_token), feature_end, per_sentence
 
 
 def _epoch(sent, tags: list[str]):
     index = {t: i for i, t in enumerate(tags)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = Weights(len(tags), {k: v.copy() for k, v in sent.value.items()})
+        w = Weights(len(tags), sent.value)
         for batch in batches:
-            for feats, vals, y in zip(*(batch.column(c).to_pylist() for c in ("feats", "vals", "tags"))):
-                gold = [index[t] for t in y]
-                pred = w.decode(feats, vals).tolist()
-                if pred != gold:
-                    w.update(feats, vals, gold, pred)
-        yield pa.RecordBatch.from_arrays([pa.array(list(w.held), pa.string()), pa.array(list(w.held.values()), pa.list_(pa.float64()))], ["name", "w"])
+            names, vals, token, ends, sizes = _flat(batch)
+            rows, start = w.rows(names, True), 0
+            for end, n, y in zip(ends.tolist(), sizes.tolist(), batch.column("tags").to_pylist()):
+                gold = np.array([index[t] for t in y], np.int64)
+                part = slice(start, end)
+                pred = w.decode(w.scores(rows[part], vals[part], token[part], n))
+                if (pred != gold).any():
+                    w.update(rows[part], vals[part], token[part], gold, pred)
+                start = end
+        names = list(w.row)
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(list(w.w[: len(names)]), pa.list_(pa.float64()))], ["name", "w"])
 
     return run
 
@@ -118,7 +136,12 @@ def predict(sentences: DataFrame, weights: DataFrame, tags: list[str]) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = Weights(len(tags), sent.value)
         for batch in batches:
-            pred = [[tags[i] for i in w.decode(f, v).tolist()] for f, v in zip(batch.column("feats").to_pylist(), batch.column("vals").to_pylist())]
+            names, vals, token, ends, sizes = _flat(batch)
+            rows, start, pred = w.rows(names, False), 0, []
+            for end, n in zip(ends.tolist(), sizes.tolist()):
+                part = slice(start, end)
+                pred.append([tags[i] for i in w.decode(w.scores(rows[part], vals[part], token[part], n)).tolist()])
+                start = end
             yield pa.RecordBatch.from_arrays([batch.column("sent_id"), batch.column("tags"), pa.array(pred, pa.list_(pa.string()))], ["sent_id", "gold", "pred"])
 
     out = sentences.select(F.col("sent_id").cast("long").alias("sent_id"), "feats", "vals", "tags").mapInArrow(run, "sent_id long, gold array<string>, pred array<string>")

@@ -382,7 +382,7 @@ def perceptron_ner(spark, d):
     f = baseline(spark, d)
     rows = PC.as_sentences(f)
     held_out = F.pmod(F.xxhash64("sent_id"), F.lit(5)) == 0
-    w = PC.train(rows.where(~held_out), TAGS, epochs=2, shards=4)
+    w = PC.train(rows.where(~held_out), TAGS, epochs=2)
     got = PC.predict(rows.where(held_out), w, TAGS)
     return got.agg(F.count("*").alias("n_tokens"), F.round(F.avg((F.col("gold") == F.col("pred")).cast("int")), 6).alias("accuracy"), F.round(F.avg(F.when(F.col("gold") != "O", (F.col("gold") == F.col("pred")).cast("int"))), 6).alias("entity_accuracy"))
 

@@ -64,3 +64,35 @@ def test_query_equals_sql(spark, sf_dir, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_ner_with_parses_and_saved_weights(spark, tmp_path):
+    """Representations from parses of some sentences, weights written and used again, split stages and the log."""
+    run = lambda name, args: {"train": cli.train, "ner": cli.ner, "posteriors": cli.posteriors}[name](spark, cli.parser().parse_args([name, *args]))
+    trees = tmp_path / "trees"
+    trees.mkdir()
+    for k in range(2):
+        (trees / f"{k}.conll").write_text(CONLL * 8)
+    out = tmp_path / "m"
+    run("train", ["--dataset", str(trees), "--output", str(out), "--rel", "--rel_spec", "SBJ", "--start_n_states", "2", "--desired_n_states", "4", "--max_iter", "1", "--log", str(tmp_path / "log"), "--append_string", "_x"])
+    out = tmp_path / "m_x"
+    assert {p.name for p in (out / "params").iterdir() if p.is_dir()} == {"stage=initial", "stage=split1", "stage=final"}
+    assert "log-likelihood" in (tmp_path / "log").read_text()
+    again = run("train", ["--dataset", str(trees), "--output", str(tmp_path / "n"), "--rel", "--rel_spec", "SBJ", "--params_trained", str(out / "params"), "--max_iter", "1"])
+    assert again.n == 4 and again.r == 2
+    nl = tmp_path / "nl"
+    nl.write_text("-DOCSTART- x O\n" + "the D O\ncat N B-PER\nruns V O\n\n" * 6)
+    parsed = tmp_path / "parsed"
+    parsed.write_text(CONLL.replace("The", "the") * 4)
+    files = tmp_path / "files"
+    files.mkdir()
+    for k in (1, 2, 4, 6):  # sentences 3 and 5 could not be parsed
+        (files / f"{k}.tab").write_text("x")
+    args = ["--test", str(nl), "--test_parsed", str(parsed), "--test_parsed_files", str(files), "--lang", "nl", "--rep_path", str(out), "--rel_spec", "SBJ", "--ignore_rel", "SBJ"]
+    run("ner", ["--train", str(nl), "--train_parsed", str(parsed), "--train_parsed_files", str(files), "--output_dir", str(tmp_path / "a"), "--weights_out", str(tmp_path / "w"), *args])
+    run("ner", ["--weights", str(tmp_path / "w"), "--output_dir", str(tmp_path / "b"), *args])
+    read = lambda k: sorted(r.value for r in spark.read.text(str(tmp_path / k / "predictions")).collect())
+    assert read("a") == read("b") and len(read("a")) == 24
+    run("posteriors", ["--rep", str(out), "--infile", str(trees), "--outfile", str(tmp_path / "t"), "--types", "--tree", "--use_lemmas", "--synfunc"])
+    keys = {r.value.split(" ")[0] for r in spark.read.text(str(tmp_path / "t")).collect()}
+    assert keys == {"the+OTHER", "cat+SBJ", "run+OTHER"} or keys == {"the+OTHER", "cat+SBJ", "run+OTHER", "cat+OTHER"}

@@ -2,12 +2,15 @@
 
 import itertools
 import random
+from collections import defaultdict
 
+import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
 from latentia.functions import text as T
 from latentia.operators import corpus as C, errorparse as EP, features as FT, metrics as M, perceptron as PC
+from latentia.operators.chain import best_path
 from latentia.operators.trees import acyclic, reaches_root
 from latentia.sources import readers as R, writers as W
 from pyspark.sql import functions as F
@@ -208,6 +211,38 @@ def test_corpus_helpers(spark):
     assert sorted(r.sent_id for r in C.length_between(sents, 1, 4).collect()) == [2]
 
 
+def sequential(rows, tags, epochs):
+    """The algorithm on plain dictionaries: one pass per epoch in order of sentences, means of the weights after each epoch."""
+    w, kept, order = defaultdict(lambda: np.zeros(len(tags))), [], sorted(rows, key=lambda r: r.sent_id)
+    for _ in range(epochs):
+        for r in order:
+            e = np.array([sum((v * w[f] for f, v in zip(fs, vs)), np.zeros(len(tags))) for fs, vs in zip(r.feats, r.vals)])
+            pred = best_path(w["\x01init"], np.array([w[f"\x01prev:{j}"] for j in range(len(tags))]).T, w["\x01final"], e[None])[0][0]
+            gold = [tags.index(t) for t in r.tags]
+            if list(pred) != gold:
+                for y, by in ((gold, 1), (pred, -1)):
+                    w["\x01init"][y[0]] += by
+                    w["\x01final"][y[-1]] += by
+                    for i in range(len(y)):
+                        if i:
+                            w[f"\x01prev:{y[i - 1]}"][y[i]] += by
+                        if gold[i] != pred[i]:
+                            for f, v in zip(r.feats[i], r.vals[i]):
+                                w[f][y[i]] += by * v
+        kept.append({k: v.copy() for k, v in w.items()})
+    return {k: sum(x.get(k, 0) for x in kept) / epochs for k in w}
+
+
+def test_perceptron_is_the_sequential_one(spark):
+    r = random.Random(2)
+    toks = [(s, p, r.choice(["Bob", "runs", "Rome", "the"]), r.choice(["O", "B-PER"])) for s in range(25) for p in range(r.randint(1, 6))]
+    sent = PC.as_sentences(FT.emission(FT.windowed(spark.createDataFrame(toks, "sent_id long, pos int, word string, tag string"))))
+    tags = ["B-PER", "O"]
+    want = sequential(sent.collect(), tags, 3)
+    got = {x.name: x.w for x in PC.train(sent, tags, 3, 1).collect()}
+    assert all(np.allclose(got[k], want.get(k, 0)) for k in got) and all(k in got or not np.any(v) for k, v in want.items())
+
+
 def test_perceptron(spark):
     r, rows = random.Random(0), []
     for s in range(60):
