@@ -4,7 +4,9 @@ Pass 1 keeps a Misra-Gries summary per partition over *all* terms; their merge n
 ``HEAVY_SLOTS`` of them and none longer than ``HEAVY_BYTES``, so what is broadcast has a fixed bound. Pass 2 counts
 heavy terms exactly in local counter arrays and combines the others per batch; an array leaves its partition once,
 so the exchange carries only the light terms plus one bounded row set per partition, and the union of both is summed.
-Whether a term is found heavy changes only what is shuffled, never a count.
+Whether a term is found heavy changes only what is shuffled, never a count. Where rows are grouped into records, the
+records of heavy terms are found from one set of slots per record and batch, so that a heavy term is not shuffled once
+for each of its records.
 
 Defined cases: null texts and texts without a term are no records; a repeated row counts again; an empty table gives
 no rows; other columns of the input, whatever their names, are ignored; a null record id is one record of its own.
@@ -47,7 +49,7 @@ def _batch(batch: pa.RecordBatch, split: bool) -> tuple[pa.Array, np.ndarray, np
     else:
         here = pc.is_valid(texts)
         flat = pc.cast(texts.filter(here), pa.large_string())
-        weight = batch.column("occ").filter(here).to_numpy(zero_copy_only=False).astype(np.int64)
+        weight = np.ones(len(flat), np.int64)
         rows = np.arange(len(flat))
     if not len(flat):
         return pa.array([], pa.large_string()), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
@@ -97,6 +99,42 @@ def _counts(split: bool, heavy):
     return run
 
 
+def _grouped(heavy):
+    """Rows of records: light terms by record (kind 0), the set of heavy slots of a record (1), totals of heavy terms (2)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = pa.array(heavy.value, pa.large_string())
+        total, kind_of_r = np.zeros(len(names), np.int64), None
+
+        def out(r: pa.Array, kind: int, term, occ, slots) -> pa.RecordBatch:
+            n = len(r)
+            none = lambda t: pa.nulls(n, t)
+            cols = [r, pa.array(np.full(n, kind, np.int32)), none(pa.string()) if term is None else pc.cast(term, pa.string()), pa.array(np.zeros(n, np.int64) if occ is None else occ), none(pa.list_(pa.int32())) if slots is None else slots]
+            return pa.RecordBatch.from_arrays(cols, ["r", "kind", "term", "occ", "slots"])
+
+        for batch in batches:
+            kind_of_r = batch.column("r").type
+            record, coded = batch.column("r").dictionary_encode(null_encoding="encode"), pc.dictionary_encode(pc.cast(batch.column("text"), pa.large_string()))
+            if not batch.num_rows:
+                continue
+            slot = pc.fill_null(pc.index_in(coded.dictionary, value_set=names), -1).to_numpy(zero_copy_only=False)
+            n = len(slot)
+            pair, occ = np.unique(record.indices.to_numpy().astype(np.int64) * n + coded.indices.to_numpy(), return_counts=True)
+            r, t = pair // n, pair % n
+            big = slot[t] >= 0
+            np.add.at(total, slot[t[big]], occ[big])
+            yield out(record.dictionary.take(pa.array(r[~big])), 0, coded.dictionary.take(pa.array(t[~big])), occ[~big].astype(np.int64), None)
+            r, t = r[big], t[big]  # sorted by record
+            first = np.flatnonzero(np.append(True, r[1:] != r[:-1])) if len(r) else np.zeros(0, np.int64)
+            slots = pa.ListArray.from_arrays(pa.array(np.append(first, len(r)).astype(np.int32)), pa.array(slot[t].astype(np.int32)))
+            yield out(record.dictionary.take(pa.array(r[first])), 1, None, None, slots)
+        if kind_of_r is not None:
+            seen = np.flatnonzero(total)
+            yield out(pa.nulls(len(seen), kind_of_r), 2, names.take(pa.array(seen)), total[seen], None)
+
+    return run
+
+
 def term_counts(df: DataFrame, text: str, record: str | None = None) -> DataFrame:
     """``term, occurrences, records, n_records`` of every distinct term of ``df[text]``.
 
@@ -105,26 +143,28 @@ def term_counts(df: DataFrame, text: str, record: str | None = None) -> DataFram
     """
     spark, split = df.sparkSession, record is None
     ship(spark)
-    if split:
-        rows = df.select(F.col(text).alias("text"))
-    else:
-        # one row per record and term, combined on the map side: a record holding a third of the rows is no single task
-        rows = cut(df.where(F.col(text).isNotNull()).groupBy(F.col(record).alias("r"), F.col(text).alias("text")).agg(F.count("*").alias("occ")), "pairs")
-        n_records = rows.groupBy("r").agg(F.lit(1).alias("x")).count()
-        rows = rows.select("text", "occ")
+    rows = df.select(F.col(text).alias("text")) if split else df.where(F.col(text).isNotNull()).select(F.col(record).alias("r"), F.col(text).alias("text"))
     top = (
         rows.mapInArrow(_summaries(split), "term string, c long")
         .groupBy("term").agg(F.sum("c").alias("c"))
         .orderBy(F.col("term").isNull().desc(), F.col("c").desc(), "term").limit(HEAVY_SLOTS + 1).collect()
     )
+    listed = [r.term for r in top if r.term is not None]
+    heavy = spark.sparkContext.broadcast(listed)
     if split:
         n_records = next((r.c for r in top if r.term is None), 0)
-    heavy = spark.sparkContext.broadcast([r.term for r in top if r.term is not None])
-    return (
-        rows.mapInArrow(_counts(split, heavy), "term string, occ long, rec long")
-        .groupBy("term").agg(F.sum("occ").alias("occurrences"), F.sum("rec").alias("records"))
-        .withColumn("n_records", F.lit(n_records).cast("long"))
-    )
+        counted = rows.mapInArrow(_counts(split, heavy), "term string, occ long, rec long").groupBy("term").agg(F.sum("occ").alias("occurrences"), F.sum("rec").alias("records"))
+    else:
+        kind = df.schema[record].dataType.simpleString()
+        parts = cut(rows.mapInArrow(_grouped(heavy), f"r {kind}, kind int, term string, occ long, slots array<int>"), "parts")
+        n_records = parts.where("kind < 2").groupBy("r").agg(F.lit(1).alias("x")).count()
+        light = parts.where("kind = 0").groupBy("r", "term").agg(F.sum("occ").alias("occ")).groupBy("term").agg(F.sum("occ").alias("occurrences"), F.count("*").alias("records"))
+        sets = parts.where("kind = 1").groupBy("r").agg(F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"))
+        names = spark.createDataFrame(list(enumerate(listed)), "slot int, term string")
+        records = sets.select(F.explode("slots").alias("slot")).groupBy("slot").agg(F.count("*").alias("records")).join(F.broadcast(names), "slot")
+        totals = parts.where("kind = 2").groupBy("term").agg(F.sum("occ").alias("occurrences"))
+        counted = light.unionByName(totals.join(F.broadcast(records), "term").select("term", "occurrences", "records"))  # at most HEAVY_SLOTS rows
+    return counted.withColumn("n_records", F.lit(n_records).cast("long"))
 
 
 def mark_terms(counts: DataFrame, min_occurrences: int = 5, min_records: int = 3, common_percent: int = 5) -> DataFrame:

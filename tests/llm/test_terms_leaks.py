@@ -31,6 +31,20 @@ def test_grouped_records_and_marks(spark):
     assert (got["b"].occurrences, got["b"].records, got["b"].mark) == (2, 1, "rare")
 
 
+def test_grouped_records_with_few_slots(spark, monkeypatch):
+    """Records spread over partitions and batches, one holding a third of the rows, heavy and light terms."""
+    monkeypatch.setattr(terms, "HEAVY_SLOTS", 3)
+    monkeypatch.setattr(terms, "SUMMARY_SLOTS", 12)
+    rows = [(0 if i % 3 == 0 else i % 40, f"t{(i * i) % (3 if i % 2 else 23)}") for i in range(900)]
+    df = spark.createDataFrame(rows, "sent_id int, word string").repartition(5)
+    want = {}
+    for r, w in rows:
+        want.setdefault(w, []).append(r)
+    got = {r.term: (r.occurrences, r.records, r.n_records) for r in terms.term_counts(df, "word", record="sent_id").collect()}
+    assert got == {w: (len(r), len(set(r)), len({a for a, _ in rows})) for w, r in want.items()}
+    assert terms.term_counts(df.limit(0), "word", record="sent_id").count() == 0
+
+
 def test_leaks(spark, monkeypatch):
     w = [f"w{i}" for i in range(40)]
     items = [(1, " ".join(w[:12])), (2, " ".join(w[5:15]).upper()), (3, "w1 w2"), (4, None), (5, ""), (6, " ".join(w[:12])), (7, " ".join(w[20:24] + w[30:36]))]
