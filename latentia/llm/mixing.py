@@ -32,11 +32,12 @@ def thresholds(rate: float, cap: int) -> list[float]:
     """P(X < j) for j = 1 to cap: a document is used once for each that lies below its number."""
     if math.isinf(rate):
         return [-1.0] * cap
-    term, total, out = math.exp(-rate), 0.0, []
-    for j in range(cap):
-        total += term
-        out.append(total)
-        term *= rate / (j + 1)
+    if rate <= 0:
+        return [1.0] * cap
+    total, out = 0.0, []
+    for j in range(cap):  # by logarithms: exp(-rate) alone is 0 for large rates
+        total += math.exp(j * math.log(rate) - rate - math.lgamma(j + 1))
+        out.append(min(total, 1.0))
     return out
 
 

@@ -71,6 +71,9 @@ def test_mixture(spark):
 def test_thresholds():
     assert mixing.thresholds(float("inf"), 3) == [-1.0] * 3
     assert mixing.thresholds(1.0, 2) == pytest.approx([0.367879, 0.735759], abs=1e-6)
+    assert mixing.thresholds(0.0, 2) == [1.0, 1.0]
+    many = mixing.thresholds(900.0, 1000)
+    assert many[899] == pytest.approx(0.5, abs=0.02) and many[-1] > 0.99 and many[0] < 1e-300
 
 
 CLEAN = ["niño", "según", "coördinatie", "café", "región", "año", "ningún", "él", "ideeën", "São", "LERÇÃ", "foto’s", "€", "Brošin"]
