@@ -158,10 +158,10 @@ def head_pairs(spark, d):
     return C.head_pairs(nodes(spark, d))
 
 
-@query(f"with {_NODES} select n.form dep_word, h.form head_word, count(*) n from nodes n join nodes h on n.sent_id = h.sent_id and n.head = h.idx where n.sent_id <= 1000000000 group by 1, 2")
+@query(f"with {_NODES} select n.form dep_word, h.form head_word, count(*) n from nodes n join nodes h on n.sent_id = h.sent_id and n.head = h.idx where n.sent_id <= 500000000 group by 1, 2")
 def head_pairs_first_k(spark, d):
     """Over the first sentences, by ordinal."""
-    return C.head_pairs(C.first_sentences(nodes(spark, d), 1_000_000_000))
+    return C.head_pairs(C.first_sentences(nodes(spark, d), 500_000_000))
 
 
 _TRIPLES = f"""with {_NODES}, tr as (

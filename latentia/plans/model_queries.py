@@ -10,6 +10,7 @@ from latentia.plans import model_sql as S
 from latentia.plans.corpus_queries import _NODES, nodes, toks
 from latentia.plans.rep_queries import TAGS, baseline
 from latentia.session import table
+from latentia.sources import examples
 from latentia.streaming import online
 
 QUERIES: dict = {}
@@ -322,6 +323,48 @@ def em_joined_steps(spark, d):
     return _lls(spark, E.em_joined(observations(spark, d), p, emission, 3)[2]).withColumn("ll", F.round("ll", 3))
 
 
+# two equal states in the place of one weigh twice against the end of a sequence: the joint sums grow by the transitions
+_DOUBLE = f"""{S.parameters(1, *_ARRAYS)}, ds as (select *, 2 * (exp(t00) + exp(t10)) + exp(f0) s0, 2 * (exp(t01) + exp(t11)) + exp(f1) s1 from par1),
+par2 as (select pi0, pi1, ln(2 * exp(t00) / s0) t00, ln(2 * exp(t01) / s1) t01, ln(2 * exp(t10) / s0) t10, ln(2 * exp(t11) / s1) t11, ln(exp(f0) / s0) f0, ln(exp(f1) / s1) f1 from ds), em2 as (select * from em1)"""
+
+
+@query(f"with recursive {_SYM}, {_DOUBLE}, {S.likelihood(2)} select round(ll, 4) ll from tot2")
+def split_likelihood(spark, d):
+    """The likelihood after every state was split in two equal ones."""
+    lls = E.em(observations(spark, d), P.split_arrays(fixed(), 0.0), 1)[1]
+    return spark.createDataFrame([(round(float(lls[0]), 4),)], "ll double")
+
+
+@query(f"with {_DOUBLE} {S.rows_of(2)}")
+def split_and_merged(spark, d):
+    """Parameters after all states were split and merged again."""
+    return _param_rows(spark, P.merge_arrays(P.split_arrays(fixed(), 0.0), [(0, 1), (2, 3)]))
+
+
+@query("select unnest([0, 1])::INT pair, 0.0::DOUBLE loss")
+def merge_losses_split(spark, d):
+    """Merging states that are equal loses nothing: one loss for each of two pairs."""
+    losses = E.merge_losses(observations(spark, d), P.split_arrays(fixed(), 0.0))
+    return spark.createDataFrame([(i, abs(round(float(v), 4))) for i, v in enumerate(losses)], "pair int, loss double")
+
+
+_TOY = "obs as (select * from (values (1, 0, 4, 0), (1, 1, 4, 0), (1, 2, 4, 1), (1, 3, 4, 2), (2, 0, 4, 0), (2, 1, 4, 0), (2, 2, 4, 1), (2, 3, 4, 2), (3, 0, 4, 0), (3, 1, 4, 1), (3, 2, 4, 1), (3, 3, 4, 2)) t(sent_id, pos, len, sym))"
+
+
+@query(f"with recursive {_TOY}, {S.parameters(1, *_ARRAYS)}, {S.step(1)} select sent_id::BIGINT sent_id, pos::BIGINT pos, round(g0, 6) p0, round(g1, 6) p1 from g1")
+def toy_sequences(spark, d):
+    """Posteriors of the toy sequences."""
+    toks = examples.sequences(spark).join(examples.vocabulary(spark).withColumnRenamed("id", "word_id"), "word")
+    return _reps(D.decode(E.as_sequences(toks), fixed(), "posterior_cont"))
+
+
+@query(f"with recursive toy as (select * from (values (1, 1, 0, 1, 0, 0), (1, 2, 1, 2, 1, 0), (1, 3, 2, 3, 2, 0), (2, 1, 0, 1, 3, 0), (2, 2, 1, 2, 0, 0), (2, 3, 2, 3, 1, 0)) t(sent_id, idx, head, depth, sym, rel)), {S.trees(fixed(), 'toy', 3)} select sent_id::BIGINT sent_id, (idx - 1)::BIGINT pos, round(p0, 6) p0, round(p1, 6) p1 from post")
+def toy_trees(spark, d):
+    """Posteriors of the toy trees."""
+    words = F.array_position(F.array(*[F.lit(w) for w in ("write", "code", "that", "don't")]), F.col("word")) - 1
+    return _reps(D.decode(E.as_trees(examples.trees(spark).withColumn("word_id", words), "word_id"), fixed(), "posterior_cont"))
+
+
 _BATCH = 64
 _ONLINE = f"""with recursive {_SYM}, obs1 as (select * from obs where sent_id // {_BATCH} = (select min(sent_id // {_BATCH}) from obs)),
 obs2 as (select * from obs where sent_id // {_BATCH} = (select min(sent_id // {_BATCH}) + 1 from obs)),

@@ -171,6 +171,21 @@ def mds(spark, d):
     return I.planar_map(v.drop("label"), targets)
 
 
+@query("select distinct label, true recovered from embeddings")
+def mds_planar(spark, d):
+    """Points that lie in a plane are laid out by their distances: of each, whether all its distances are met to a twentieth of the longest."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("word_id"), F.slice("embedding", 1, 2).alias("v"), "label")
+    targets = v.groupBy("label").agg(F.min("word_id").alias("word_id"))
+    points = v.join(targets.select("word_id"), "word_id")
+    xy = I.planar_map(v.drop("label"), targets)
+    a, b = (xy.select(F.col("word_id").alias(k), F.col("x").alias(f"x{k}"), F.col("y").alias(f"y{k}")) for k in "ab")
+    pairs = I.distances(points, points).join(a, "a").join(b, "b")  # a bounded list of targets
+    off = F.abs(F.sqrt((F.col("xa") - F.col("xb")) ** 2 + (F.col("ya") - F.col("yb")) ** 2) - F.col("distance"))
+    worst = pairs.groupBy(F.col("a").alias("word_id")).agg(F.max(off).alias("off"), F.max("distance").alias("far"))
+    most = worst.agg(F.max("far").alias("most"))
+    return worst.crossJoin(F.broadcast(most)).join(targets, "word_id").select("label", (F.col("off") <= F.col("most") / 20).alias("recovered"))  # one row on the right
+
+
 @query(f"with {_PT}, x as (select word_id, unnest(range(72))::INT state, unnest(rep)::DOUBLE p from pt) select word_id, state, round(avg(p), 6) p from x group by 1, 2")
 def type_mean_rep(spark, d):
     """Mean representation per word type: sums inside one aggregate, exploded only after it."""
