@@ -371,7 +371,7 @@ obs2 as (select * from obs where sent_id // {_BATCH} = (select min(sent_id // {_
 {S.parameters(1, *_ARRAYS)}, {S.step(1, 'obs1', P.step_size(0, 4, 0.5))}, {S.likelihood(2, 'obs2')}"""
 
 
-@query(f"{_ONLINE} select 0 as iteration, round(ll, 4) ll from tot1 union all select 1, round(ll, 4) from tot2")
+@query(f"{_ONLINE} select 0 as iteration, round(ll, 4) ll from tot1 union all select 1, round(ll, 4) from tot2 where ll is not null")
 def online_steps(spark, d):
     """Log-likelihoods of the first two mini-batches of online training."""
     data = observations(spark, d).withColumn("sent_id", F.col("sent_id") + 1)  # users count from 0
