@@ -117,10 +117,10 @@ def p8_met(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of every target source with documents: whether its share is met to within two documents."""
     used = cut(p8_uses(spark, sf_dir), "uses")
     rows = mixing.shares(used, table(spark, sf_dir, "mix_targets")).where("target_share > 0 and tokens > 0 and max_repeats > 0")
-    have = rows.agg(F.sum("target_share").alias("all_shares"), F.sum("mixed_tokens").alias("all_tokens"))
-    longest = used.agg(F.max("n_tokens").alias("longest"))
-    off = F.abs(F.col("mixed_tokens") - F.col("target_share") / F.col("all_shares") * F.col("all_tokens"))
-    return rows.crossJoin(F.broadcast(have)).crossJoin(F.broadcast(longest)).select("source", (off <= 2 * F.col("longest")).alias("met"))  # both right sides have one row
+    all_shares, all_tokens = rows.agg(F.sum("target_share"), F.sum("mixed_tokens")).first()
+    longest = used.agg(F.max("n_tokens")).first()[0] or 0
+    off = F.abs(F.col("mixed_tokens") - F.col("target_share") * ((all_tokens or 0) / (all_shares or 1)))
+    return rows.select("source", (off <= 2 * longest).alias("met"))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
