@@ -205,6 +205,7 @@ def ner(spark: SparkSession, a) -> None:
     sets = [prepared(a.train, a.train_parsed, a.train_parsed_files), prepared(a.test, a.test_parsed, a.test_parsed_files)]
     if vectors is not None or model is not None:
         chosen["rep"] = "rep" if vectors is not None or "cont" in a.decoding else "state"
+        chosen["rep_name"] = "tree" if a.test_parsed and vectors is None else "rep"
     weights = R.weights(spark, a.weights) if a.weights else None
     keep = (lambda w: W.weights(w, a.weights_out)) if a.weights_out else None
     pred, scores = N.experiment(*sets, TAGS, a.n_epochs, weights=weights, keep=keep, **chosen)

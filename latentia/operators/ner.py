@@ -88,9 +88,10 @@ LANGUAGES = {
 
 
 def features(
-    toks: DataFrame, brown: DataFrame | None = None, rep: str | None = None, chosen: tuple[str, ...] = FT.BASELINE, window: tuple[int, ...] = (0,), brown_window: tuple[int, ...] = (0,), prefixes: tuple[int, ...] = FT.PREFIX_LENGTHS
+    toks: DataFrame, brown: DataFrame | None = None, rep: str | None = None, chosen: tuple[str, ...] = FT.BASELINE, window: tuple[int, ...] = (0,), brown_window: tuple[int, ...] = (0,), prefixes: tuple[int, ...] = FT.PREFIX_LENGTHS,
+    rep_name: str = "rep",
 ) -> DataFrame:
-    """Baseline features, clusters with their prefixes and representation features at the given offsets."""
+    """Baseline features, clusters with their prefixes and representation features (named ``rep_name``) at the given offsets."""
     out = FT.emission(FT.windowed(toks), chosen)
     if brown is not None:
         held = FT.with_brown(toks, brown)
@@ -101,7 +102,7 @@ def features(
         for k in window:
             moved = toks.select("sent_id", (F.col("pos") - k).alias("pos"), F.col(rep).alias("r"))
             at = toks.select("sent_id", "pos", "tag").join(moved, ["sent_id", "pos"])
-            out = out.unionByName(FT.representation(at, "r", f"rep{k:+d}" if k else "rep", continuous=rep == "rep"))
+            out = out.unionByName(FT.representation(at, "r", f"{rep_name}{k:+d}" if k else rep_name, continuous=rep == "rep"))
     return out
 
 

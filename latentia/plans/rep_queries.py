@@ -86,6 +86,20 @@ def normalize_params(spark, d):
     return P.normalized(_pos_counts(spark, d)).select("param", "i", "j", "r", F.round("v", 9).alias("v"))
 
 
+@query(f"{_BIGRAMS} select 'out' g, j k, r, sum(v) s from c group by j, r having abs(sum(v) - 1) > 0.01")
+def unbalanced_params(spark, d):
+    """Groups of counts that do not sum to one, as a check of parameters would list them."""
+    return P.unbalanced(_pos_counts(spark, d)).select("g", "k", "r", "s")
+
+
+@query("select 0::BIGINT n_unbalanced, true sane")
+def random_params(spark, d):
+    """Random parameters sum to one, for states and relations."""
+    p = P.random_params(4, 30, 3, seed=7)
+    n = P.unbalanced(P.to_table(spark, p), 1e-9).count()
+    return spark.createDataFrame([(n, p.sane(1e-9))], "n_unbalanced long, sane boolean")
+
+
 _ETA = P.step_size(3, 4, 0.5)
 
 
@@ -182,8 +196,8 @@ def mds_planar(spark, d):
     pairs = I.distances(points, points).join(a, "a").join(b, "b")  # a bounded list of targets
     off = F.abs(F.sqrt((F.col("xa") - F.col("xb")) ** 2 + (F.col("ya") - F.col("yb")) ** 2) - F.col("distance"))
     worst = pairs.groupBy(F.col("a").alias("word_id")).agg(F.max(off).alias("off"), F.max("distance").alias("far"))
-    most = worst.agg(F.max("far").alias("most"))
-    return worst.crossJoin(F.broadcast(most)).join(targets, "word_id").select("label", (F.col("off") <= F.col("most") / 20).alias("recovered"))  # one row on the right
+    most = worst.agg(F.max("far")).first()[0]
+    return worst.join(targets, "word_id").select("label", (F.col("off") <= most / 20).alias("recovered"))
 
 
 @query(f"with {_PT}, x as (select word_id, unnest(range(72))::INT state, unnest(rep)::DOUBLE p from pt) select word_id, state, round(avg(p), 6) p from x group by 1, 2")
