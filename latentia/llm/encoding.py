@@ -241,6 +241,11 @@ class LetterModel:
         new, old = self.logp(a + b, y) + self.logp(b + y, d), self.logp(a + b, c) + self.logp(b + c, d)
         return new - old + (self.logp(y + d, e) - self.logp(c + d, e) if e else 0.0)
 
+    def around(self, word: str) -> float:
+        """Minus the score of all triples that hold a letter beyond ASCII."""
+        s = _EDGE * 2 + folded(word) + _EDGE
+        return -sum(self.logp(s[i : i + 2], s[i + 2]) for i in range(len(s) - 2) if not s[i : i + 3].isascii())
+
     def score(self, word: str) -> float:
         s = _EDGE * 2 + folded(word) + _EDGE
         return sum(self.logp(s[i : i + 2], s[i + 2]) for i in range(len(s) - 2))
@@ -331,15 +336,12 @@ def readings(word: str) -> set[str]:
         for wrong in READ_AS:
             out.update(text for _, text, _ in utf8_lattices(word, wrong))
     if any(c.isascii() and c.isalpha() for c in word):
-        for _, swaps in tables("".join(sorted(set(word) - set(_ASCII)))):
+        for _, swaps in tables("".join(sorted({c for c in word if not c.isascii()}))):
             table = dict(swaps)
             out.add("".join(table.get(c, c) for c in word))
     return {t for t in out if t != word and not has_controls(t)}
 
 
-_ASCII = "".join(map(chr, range(128)))
-
-
 def repairs(word: str, n: int, known: dict[str, int], model: LetterModel) -> Iterator[tuple[str, str, float, bool, bool]]:
     """Accepted readings: text, channel, gain beyond the prior, whether read from UTF-8, whether letters were lost."""
     against = (REPEATED if plain(word) and not _SIGN_INSIDE.search(word) else REPEATED_SIGN) * math.log(n)
@@ -352,20 +354,27 @@ def repairs(word: str, n: int, known: dict[str, int], model: LetterModel) -> Ite
         return
     debris = utf8_debris(word)
     model.without("" if debris or not learnt(word) else word)
-    keep = model.score(word) + against
+    keep = (model.score(word) if debris or len(_ODD.findall(word)) > 1 or len(max(_ODD.findall(word), key=len)) > 1 else 0.0) + against
+    seen = set()
     for wrong in READ_AS if debris else ():
-        found = None
-        for steps, _, edges in utf8_lattices(word, wrong):
-            score, text = viterbi(edges, model, gains)
-            if text and text != word and (found is None or text != found[0]) and not has_controls(text):
-                found = text, steps, score
-        if found and found[2] - keep > UTF8_PRIOR:
-            yield found[0], f"utf-8>{wrong} x{found[1]}", found[2] - keep - UTF8_PRIOR, True, False
+        lattices = list(utf8_lattices(word, wrong))  # the last one holds the spans of all steps
+        read = tuple(text for _, text, _ in lattices)
+        if not lattices or read in seen:
+            continue  # charsets that read these bytes alike are one channel
+        seen.add(read)
+        score, text = viterbi(lattices[-1][2], model, gains)
+        if text and text != word and score - keep > UTF8_PRIOR and not has_controls(text):
+            steps = next((k for k, x in enumerate(read, 1) if x == text), len(read))
+            yield text, f"utf-8>{wrong} x{steps}", score - keep - UTF8_PRIOR, True, False
     if not any(c.isascii() and c.isalpha() for c in word):
         return  # a lone sign
-    for channel, swaps in tables("".join(sorted(set(word) - set(_ASCII)))):
+    # probabilities are at most 1, so a path gains at most what the triples around its changed letters cost now
+    most = model.around(word) + max(gains.values(), default=0.0)
+    if most <= against + PRIOR:
+        return
+    odd = {c for c in word if not c.isascii()}
+    for channel, swaps in tables("".join(sorted(odd))):
         table = dict(swaps)
-        odd = [c for c in set(word) if not c.isascii()]
         if not all((c in table and (table[c] in WRITTEN or table[c] in model.uni)) or c.isalpha() for c in odd):
             continue  # letters the corpus does not write
         at = [i for i, c in enumerate(word) if c in table]
