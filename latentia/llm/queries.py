@@ -192,7 +192,7 @@ ORACLES = {
 x as (select cluster_key, unnest(v) x, unnest(range(72)) i from m), s as (select cluster_key, i, sum(x) s from x group by 1, 2), c as (select cluster_key, list(s order by i) c from s group by 1),
 d as (select cluster_key, id, list_inner_product(v, c) / sqrt(list_inner_product(c, c)) cosine from m join c using (cluster_key)),
 t as (select *, row_number() over (partition by cluster_key order by round(cosine, 4) desc, id) r from d)
-select cluster_key, count(*) n_rows, round(avg(1 - cosine), 4) dispersion, string_agg(coalesce(word, '?'), ' ' order by r) filter (where r <= 3) typical_words from t left join vocab on vocab.id = t.id group by 1""",
+select cluster_key, count(*) n_rows, abs(round(avg(1 - cosine), 4)) dispersion, string_agg(coalesce(word, '?'), ' ' order by r) filter (where r <= 3) typical_words from t left join vocab on vocab.id = t.id group by 1""",
     "p5_found": f"{_P5} select distinct least(id, nb) rep_a, greatest(id, nb) rep_b from f where rank <= 5 and cosine >= 0.9",
     "p5_neighbours": f"{_P5} select id rep_id, nb neighbour_id, round(cosine, 3) cosine, rank::INT rank from f where rank <= 5",
     "p7_cover": "select doc_id, true whole from documents where length(text) > 0",
