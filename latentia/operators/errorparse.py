@@ -173,7 +173,7 @@ def cheapest_parse(line: str, columns: tuple = NER_COLUMNS, quote: str = '"', de
         if quotes != PLAIN and ahead[i][_step(quotes, quote, quote, delimiter)] < _INF:
             to = _step(quotes, quote, quote, delimiter)
             go((i, to, j, columns[j].after(kind, quote) if quotes == CLOSED else kind), q1, f"insert {quote} before symbol {i}")
-        if quotes != QUOTED and j + 1 < m:
+        if (quotes in (START, PLAIN) or (quotes == CLOSED and i == n)) and j + 1 < m:  # a closing quote may yet be half of two
             go((i, quotes, j + 1, columns[j + 1].first), c1 + end, f"insert delimiter before symbol {i}" + (f"; {wrong}" if wrong else ""))
         if i == n:
             if quotes != QUOTED and j == m - 1:

@@ -6,7 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
-from hypothesis import given, settings, strategies as st
+from hypothesis import example, given, settings, strategies as st
 
 from latentia.functions import text as T
 from latentia.operators import corpus as C, errorparse as EP, features as FT, metrics as M, perceptron as PC
@@ -126,8 +126,10 @@ def least_edits(line, columns):
     return (q, *best)
 
 
-@settings(max_examples=400, deadline=None)
+@settings(max_examples=600, deadline=None)
 @given(st.text('"\t1a', max_size=7))
+@example('"1"""')
+@example('"1" "')
 def test_parse_is_cheapest(line):
     columns = (EP.Digits(), EP.Some(), EP.OneOf(["a", "aa"]))
     cost, edits = EP.cheapest_parse(line, columns)
