@@ -28,10 +28,10 @@ def parser() -> argparse.ArgumentParser:
     t.add_argument("--start_n_states", type=int, default=30)
     t.add_argument("--desired_n_states", type=int, default=None, help="split (and merge) until so many")
     t.add_argument("--max_iter", type=int, default=5)
-    t.add_argument("--minibatch_size", type=int, default=None, help="online training; default: batch")
+    t.add_argument("--minibatch_size", type=int, default=1000, help="sequences of a step of online training, the default")
     t.add_argument("--a", type=float, default=4)
     t.add_argument("--alpha", type=float, default=0.5)
-    t.add_argument("--permute", type=int, default=None, help="seed of the mini-batches' order")
+    t.add_argument("--permute", type=int, default=0, help="seed of the mini-batches' order; -1: as the corpus is")
     t.add_argument("--noise_amount", type=float, default=0.01)
     t.add_argument("--sensitivity", type=float, default=0.5)
     t.add_argument("--approx", action="store_true")
@@ -41,7 +41,7 @@ def parser() -> argparse.ArgumentParser:
     t.add_argument("--params_trained", default=None, help="start from written parameters")
     t.add_argument("--howbig", type=int, default=None)
     t.add_argument("--seed", type=int, default=0)
-    t.add_argument("--full_batch", action="store_true", help="batch training even where a mini-batch size is given")
+    t.add_argument("--full_batch", action="store_true", help="batch training")
     t.add_argument("--lemmas", action=argparse.BooleanOptionalAction, default=True, help="trees over lemmas or over forms")
     t.add_argument("--append_string", default="", help="is appended to the output folder's name")
     t.add_argument("--no_writeout", action="store_true", help="write neither parameters nor vocabulary")
@@ -148,11 +148,12 @@ def train(spark: SparkSession, a) -> P.Params:
     log.info("%d states, %d words, %d relations", p.n, m, r)
     keep = (lambda q, stage: None) if a.no_writeout else lambda q, stage: W.params(q, spark, f"{out}/params", stage)
     keep(p, "initial")
+    online = {} if a.full_batch else {"batch_size": a.minibatch_size, "a": a.a, "alpha": a.alpha, "order": None if a.permute < 0 else a.permute}
     if a.desired_n_states:
-        p, steps = E.split_merge_em(data, p, a.desired_n_states, a.max_iter, a.noise_amount, a.sensitivity, seed=a.seed, keep=keep)
+        p, steps = E.split_merge_em(data, p, a.desired_n_states, a.max_iter, a.noise_amount, a.sensitivity, seed=a.seed, keep=keep, **online)
         lls = [ll for _, ll in steps]
-    elif a.minibatch_size and not a.full_batch:
-        p, lls = E.online_em(data, p, a.max_iter, a.minibatch_size, a.a, a.alpha, a.approx, a.permute)
+    elif online:
+        p, lls = E.online_em(data, p, a.max_iter, a.minibatch_size, a.a, a.alpha, a.approx, online["order"])
     else:
         p, lls = E.em(data, p, a.max_iter, a.approx)
     for i, ll in enumerate(lls):

@@ -114,7 +114,8 @@ def parsed_nodes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """
     clean = F.replace(F.col(text), F.lit("\r"), F.lit(""))
     blocks = docs.where(F.col(text).contains("\t")).select(F.col(doc_id).alias("d"), F.posexplode(F.split(clean, r"\n\n+")).alias("b", "block"))
-    blocks = blocks.select((F.col("d") * 1_000_000 + F.col("b")).alias("sent_id"), F.transform(F.filter(F.split("block", r"\n"), lambda x: x != ""), lambda x: F.split(x, "\t", -1)).alias("rows"))
+    number_of = F.when(F.col("b") < 1_000_000, F.col("d") * 1_000_000 + F.col("b")).otherwise(F.raise_error(F.lit("a text of more than a million blocks")).cast("long"))
+    blocks = blocks.select(number_of.alias("sent_id"), F.transform(F.filter(F.split("block", r"\n"), lambda x: x != ""), lambda x: F.split(x, "\t", -1)).alias("rows"))
     number = lambda c: c.rlike("^[0-9]{1,9}$")
     good = blocks.where((F.size("rows") > 0) & F.forall("rows", lambda r: (F.size(r) == 10) & number(r[0]) & number(r[6])))
     r = F.col("r")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from latentia.operators import chain, treebp
-from latentia.operators.em import COUNTS, Counts, _forests, by_length, ragged, summed
+from latentia.operators.em import COUNTS, Counts, _forests, by_length, check_size, ragged, summed
 from latentia.operators.params import Params
 from latentia.session import ship
 
@@ -27,6 +27,7 @@ def decode(data: DataFrame, p: Params, method: str = "viterbi", approx: bool = F
     Sequences have ``x``, trees ``head, x, rel``. The score is the path's log score for viterbi and max_product, else
     the log-likelihood. ``ignore_rel``: nodes of that relation become null in tree output.
     """
+    check_size(p)
     ship(data.sparkSession)
     method, trees = method.replace("-", "_"), "head" in data.columns
     if method not in (TREE if trees else CHAIN):
@@ -82,6 +83,7 @@ def decode(data: DataFrame, p: Params, method: str = "viterbi", approx: bool = F
 
 def backward_scores(data: DataFrame, p: Params) -> DataFrame:
     """``sent_id, score``: log-likelihoods of sequences by a backward pass."""
+    check_size(p)
     ship(data.sparkSession)
     sent = data.sparkSession.sparkContext.broadcast(p)
 
@@ -97,6 +99,7 @@ def backward_scores(data: DataFrame, p: Params) -> DataFrame:
 
 def type_posteriors(data: DataFrame, p: Params, approx: bool = False, by_rel: bool = False) -> DataFrame:
     """``word_id[, rel], rep, n``: mean posterior per word type (and relation), summed in the tasks first."""
+    check_size(p)
     ship(data.sparkSession)
     sent = data.sparkSession.sparkContext.broadcast(p)
     trees = "head" in data.columns

@@ -22,6 +22,12 @@ FLUSH_WORDS = 50_000
 COUNTS = "kind string, key long, vals array<double>"
 
 
+def check_size(p: Params) -> None:
+    """Parameters are broadcast; larger emissions stay a table."""
+    if p.E.size > DENSE_LIMIT:
+        raise ValueError(f"{p.E.size} emission parameters are too many to broadcast: use em_joined")
+
+
 def as_sequences(toks: DataFrame, word: str = "word_id") -> DataFrame:
     """``sent_id, x``: token rows with ``pos`` become one row per sequence."""
     held = F.array_sort(F.collect_list(F.struct("pos", F.col(word).alias("w"))))
@@ -169,6 +175,7 @@ def summed(counts: DataFrame) -> DataFrame:
 
 def expected_counts(data: DataFrame, p: Params, approx: bool = False) -> DataFrame:
     """``kind, key, vals``: init, final [N x R]; trans by state [N x R]; emit by word (x R + relation) [N]; ll."""
+    check_size(p)
     ship(data.sparkSession)
     sent = data.sparkSession.sparkContext.broadcast(p)
     if "head" in data.columns:
@@ -195,13 +202,7 @@ def maximized(rows: list, n: int, m: int, rc: int, re: int, smoothing: float = S
     return Params(pi / pi.sum(0), T / joint, f / joint, E / E.sum(0)), ll
 
 
-def _check(p: Params) -> None:
-    if p.E.size > DENSE_LIMIT:
-        raise ValueError(f"{p.E.size} emission parameters are too many to broadcast: use em_joined")
-
-
 def step(data: DataFrame, p: Params, approx: bool = False) -> tuple[Params, float]:
-    _check(p)
     rows = [(r.kind, r.key, r.vals) for r in expected_counts(data, p, approx).collect()]
     return maximized(rows, p.n, p.E.shape[0], p.T.shape[2], p.E.shape[2])
 
@@ -262,15 +263,15 @@ def merge_losses(data: DataFrame, p: Params) -> np.ndarray:
     return np.array(got[0].vals) if got else np.zeros(p.n // 2)
 
 
-def split_merge_em(data: DataFrame, p: Params, desired: int, max_iter: int = 2, noise: float = 0.01, sensitivity: float = 0.5, merge: bool = True, seed: int = 0, keep=None) -> tuple[Params, list[tuple[int, float]]]:
+def split_merge_em(data: DataFrame, p: Params, desired: int, max_iter: int = 2, noise: float = 0.01, sensitivity: float = 0.5, merge: bool = True, seed: int = 0, keep=None, batch_size: int | None = None, a: float = 4, alpha: float = 0.5, order: int | None = None) -> tuple[Params, list[tuple[int, float]]]:
     """Train; while there are too few states: split all, train, and merge back the share of pairs that lose least.
 
-    ``keep(params, stage)`` is called with the parameters of each stage.
+    ``keep(params, stage)`` is called with the parameters of each stage. With ``batch_size`` each training is online.
     """
     data, log = cut(data, "corpus"), []
 
     def train(q: Params) -> Params:
-        q, lls = em(data, q, max_iter)
+        q, lls = online_em(data, q, max_iter, batch_size, a, alpha, seed=order) if batch_size else em(data, q, max_iter)
         log.extend((q.n, ll) for ll in lls)
         return q
 
