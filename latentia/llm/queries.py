@@ -72,6 +72,12 @@ def p6_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.garbled_words(table(spark, sf_dir, "ner2002"), "word")
 
 
+def p6_lost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens with lost characters, and whether a whole word is guessed for each."""
+    rows = encoding.garbled_rows(table(spark, sf_dir, "ner2002"), "token_id", "word").where(F.col("word").contains(encoding.LOST))
+    return rows.select(F.col("row_id").alias("token_id"), "restored", (F.length("guess") > 0).alias("guessed"))
+
+
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.containers(table(spark, sf_dir, "documents"))
 
@@ -132,7 +138,7 @@ def p9_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_amounts(docs, spans.shared_spans(docs))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p3_found, p3_leaks, p3_short, p4_found, p4_clusters, p5_found, p5_neighbours, p6_found, p6_repairs, p7_containers, p7_fill, p7_cover, p7_limits, p8_uses, p8_mixture, p8_shares, p8_limits, p8_met, p9_found, p9_amounts)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p3_found, p3_leaks, p3_short, p4_found, p4_clusters, p5_found, p5_neighbours, p6_found, p6_repairs, p6_lost, p7_containers, p7_fill, p7_cover, p7_limits, p8_uses, p8_mixture, p8_shares, p8_limits, p8_met, p9_found, p9_amounts)}
 
 _P1 = """
 with t as (
@@ -195,6 +201,7 @@ t as (select *, row_number() over (partition by cluster_key order by round(cosin
 select cluster_key, count(*) n_rows, abs(round(avg(1 - cosine), 4)) dispersion, string_agg(coalesce(word, '?'), ' ' order by r) filter (where r <= 3) typical_words from t left join vocab on vocab.id = t.id group by 1""",
     "p5_found": f"{_P5} select distinct least(id, nb) rep_a, greatest(id, nb) rep_b from f where rank <= 5 and cosine >= 0.9",
     "p5_neighbours": f"{_P5} select id rep_id, nb neighbour_id, round(cosine, 3) cosine, rank::INT rank from f where rank <= 5",
+    "p6_lost": "select token_id, '' restored, true guessed from ner2002 where contains(word, chr(65533))",
     "p7_cover": "select doc_id, true whole from documents where length(text) > 0",
     "p7_limits": "select true within_capacity, true near_least",
     "p8_limits": "select doc_id, true within_cap from documents",
