@@ -97,6 +97,38 @@ def backward_scores(data: DataFrame, p: Params) -> DataFrame:
     return data.select(F.col("sent_id").cast("long").alias("sent_id"), "x").mapInArrow(run, "sent_id long, score double")
 
 
+def additive_decode(data: DataFrame, pi: np.ndarray, T: np.ndarray, f: np.ndarray, E: np.ndarray, method: str = "viterbi") -> DataFrame:
+    """Sequences ``x`` under additive scores of a linear model (initial, transition, final, emission by symbol).
+
+    ``sent_id, score, states`` for ``viterbi``; ``sent_id, score, reps`` (posteriors; the score is the log partition sum)
+    for ``posterior_cont``.
+    """
+    if method not in ("viterbi", "posterior_cont"):
+        raise ValueError(f"unknown method {method}")
+    ship(data.sparkSession)
+    cont = method == "posterior_cont"
+    sent = data.sparkSession.sparkContext.broadcast((pi, T, f, E))
+    kind = pa.list_(pa.list_(pa.float64())) if cont else pa.list_(pa.int32())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b, c, e = sent.value
+        for batch in batches:
+            out: list = [np.zeros((0, len(a))) if cont else np.zeros(0, np.int32)] * batch.num_rows
+            score = np.zeros(batch.num_rows)
+            for rows, x in by_length(*ragged(batch.column("x"))):
+                em = e[x.astype(np.int64)]
+                if cont:
+                    score[rows], got = chain.additive_posteriors(a, b, c, em)
+                else:
+                    got, score[rows] = chain.best_path(a, b, c, em)
+                for i, r in enumerate(rows.tolist()):
+                    out[r] = got[i]
+            yield pa.RecordBatch.from_arrays([batch.column("sent_id"), pa.array(score), _lists(out, kind)], ["sent_id", "score", "reps" if cont else "states"])
+
+    schema = f"sent_id long, score double, {'reps array<array<double>>' if cont else 'states array<int>'}"
+    return data.select(F.col("sent_id").cast("long").alias("sent_id"), "x").mapInArrow(run, schema)
+
+
 def type_posteriors(data: DataFrame, p: Params, approx: bool = False, by_rel: bool = False) -> DataFrame:
     """``word_id[, rel], rep, n``: mean posterior per word type (and relation), summed in the tasks first."""
     check_size(p)

@@ -323,6 +323,30 @@ def em_joined_steps(spark, d):
     return _lls(spark, E.em_joined(observations(spark, d), p, emission, 3)[2]).withColumn("ll", F.round("ll", 3))
 
 
+#: Additive scores of a linear model; no probabilities.
+_LINEAR = ([0.5, -0.25], [[0.75, -0.5], [-1.0, 0.25]], [0.125, -0.375], [[1.5, -0.5], [-0.75, 0.5], [0.25, 0.625], [-0.125, 0.875], [0.375, -1.25]])
+_EXP = [np.exp(np.array(a)).tolist() for a in _LINEAR]
+
+
+@query(f"with recursive {_SYM}, {S.parameters(1, *_EXP)}, {S.step(1)} select sent_id, pos, round(g0, 6) p0, round(g1, 6) p1 from g1")
+def linear_posteriors(spark, d):
+    """Posteriors of a sequence classifier with additive scores."""
+    return _reps(D.additive_decode(observations(spark, d), *map(np.array, _LINEAR), "posterior_cont"))
+
+
+@query(f"with recursive {_SYM}, {S.parameters(1, *_EXP)}, {S.likelihood(1)} select sent_id, round(ll, 6) z from ll1")
+def linear_partition(spark, d):
+    """Log partition sums of the same classifier."""
+    return D.additive_decode(observations(spark, d), *map(np.array, _LINEAR), "posterior_cont").select("sent_id", F.round("score", 6).alias("z"))
+
+
+@query(f"with recursive {_OBS}, {_VIT} select sent_id, pos, state from walk")
+def linear_viterbi(spark, d):
+    """Best paths under additive scores, here the logarithms of the fixed parameters."""
+    logs = [np.log(np.array(a)) for a in _ARRAYS]
+    return _states(D.additive_decode(observations(spark, d), *logs))
+
+
 # two equal states in the place of one weigh twice against the end of a sequence: the joint sums grow by the transitions
 _DOUBLE = f"""{S.parameters(1, *_ARRAYS)}, ds as (select *, 2 * (exp(t00) + exp(t10)) + exp(f0) s0, 2 * (exp(t01) + exp(t11)) + exp(f1) s1 from par1),
 par2 as (select pi0, pi1, ln(2 * exp(t00) / s0) t00, ln(2 * exp(t01) / s1) t01, ln(2 * exp(t10) / s0) t10, ln(2 * exp(t11) / s1) t11, ln(exp(f0) / s0) f0, ln(exp(f1) / s1) f1 from ds), em2 as (select * from em1)"""
