@@ -14,13 +14,14 @@ A word seen n times is garbled where its best path gains more over the word as i
 Where the path spells a word that the corpus has m times, ``frequencies`` is KNOWN if that is far more often
 (m >= FREQUENT x n) and 0 if it is about as often (m >= n / FREQUENT). Else it is -REPEATED x log n (less for
 words with a sign between letters): a word whose restored form the corpus does not have is the likelier genuine the more
-often it occurs, whatever its letters. The prior of UTF-8 is small: a
-multi-byte sequence is seldom valid by chance.
+often it occurs, whatever its letters. The prior of UTF-8 is small: a multi-byte sequence is seldom valid by chance.
 
 The letter model is trained on word types (not tokens) without C1 controls, U+FFFD and UTF-8 debris; a word's own
-contribution is taken out when it and its readings are scored. Counts come from all rows. What is broadcast is the letter model: triples
-of an alphabet in which scripts beyond Latin, Greek and Cyrillic are folded to one sign per 256 code points, checked
-against ``MODEL_LIMIT``. Words, readings and frequencies are joined by shuffles.
+contribution is taken out when it and its readings are scored. The search runs twice: first over the words of which the
+corpus has a reading, then over all, with a letter model that has not learnt from what the first search repaired.
+Counts come from all rows. What is broadcast is the letter model: triples of an alphabet in which scripts beyond Latin,
+Greek and Cyrillic are folded to one sign per 256 code points, checked against ``MODEL_LIMIT``. Words, readings and
+frequencies are joined by shuffles.
 
 Defined cases: null words are skipped; ASCII words are never garbled; empty words are clean; a word with U+FFFD is
 garbled with no certain original (``restored`` is empty, ``guess`` holds the Viterbi path); repeated rows each count.
@@ -47,7 +48,6 @@ ALIKE = {"cp1252", "latin-1", "iso8859-15"}
 CHANNELS = tuple((r, w) for w in READ_AS for r in SINGLE_BYTE if r != w and not {r, w} <= ALIKE)
 MODEL_LIMIT = 5_000_000
 WRITTEN = "’‘“”«»–—…•¿¡€£·ªº°§"  # beside letters
-ROUNDS = 2
 PRIOR = 6.0  # log odds against a word having passed a given single-byte channel
 UTF8_PRIOR = 2.0  # the same where a multi-byte sequence came out valid, which is rare by chance
 KNOWN = 8.0  # log odds against a wrong reading being a frequent word of the corpus
@@ -444,12 +444,12 @@ def garbled_words(df: DataFrame, word: str) -> DataFrame:
     lost = lost.select("word", "n", F.when(F.col("c").isNotNull(), F.create_map("text", "c")).alias("known"))
     searched = cut(read.unionByName(lost), "lattices").repartition(default_parallelism(spark))
     clean, taken = freq.select("word"), None
-    for _ in range(ROUNDS):  # what one round repairs, the next one's letter model does not learn from
+    for last in (False, True):  # the letter model of the second round does not learn from what the corpus' own words explain
         triples = cut(clean.mapInArrow(_trusted, "t string, c long").groupBy("t").agg(F.sum("c").alias("c")), "letters")
         if triples.count() > MODEL_LIMIT:
             raise ValueError("an alphabet of so many letter triples cannot be sent to every task")
         model = spark.sparkContext.broadcast({r.t: r.c for r in triples.toLocalIterator()})
-        taken = cut(searched.mapInArrow(_repairs(model), REPAIRS), "repairs")
+        taken = cut((searched if last else searched.where(F.size("known") > 0)).mapInArrow(_repairs(model), REPAIRS), "repairs")
         clean = freq.select("word").join(taken.select("word").distinct(), "word", "left_anti")
     # how many words a channel explains best is its weight among rivals; there are as many rows as channels
     first = taken.where("not lost").groupBy("word").agg(F.max_by("channel", F.struct("utf8", "total", "cand")).alias("channel"))
