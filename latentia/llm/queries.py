@@ -28,10 +28,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_leaks(spark, sf_dir).select("line_id", "ptb_id")
 
 
-def p3_short(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Held-out items of five to nine words that lie in a line as wholes."""
-    found = leaks.leaked(table(spark, sf_dir, "bllip_file"), "line_id", "line", table(spark, sf_dir, "ptb_file"), "ptb_id", "line", short_items=5)
-    return found.where("width < 10").select("line_id", F.col("item_id").alias("ptb_id"), "width")
+def p3_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out items, short ones too, of whose distinct five-word shingles a line contains 80 % or more."""
+    found = leaks.leaked(table(spark, sf_dir, "bllip_file"), "line_id", "line", table(spark, sf_dir, "ptb_file"), "ptb_id", "line", window=leaks.SHINGLE)
+    kept = found.where(F.col("shared") * 10 >= F.col("item_windows") * 8)
+    return kept.select("line_id", F.col("item_id").alias("ptb_id"), F.round(F.col("shared") / F.col("item_windows"), 6).alias("containment"))
 
 
 def _word_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,7 +139,7 @@ def p9_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_amounts(docs, spans.shared_spans(docs))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p3_found, p3_leaks, p3_short, p4_found, p4_clusters, p5_found, p5_neighbours, p6_found, p6_repairs, p6_lost, p7_containers, p7_fill, p7_cover, p7_limits, p8_uses, p8_mixture, p8_shares, p8_limits, p8_met, p9_found, p9_amounts)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p3_found, p3_leaks, p3_contained, p4_found, p4_clusters, p5_found, p5_neighbours, p6_found, p6_repairs, p6_lost, p7_containers, p7_fill, p7_cover, p7_limits, p8_uses, p8_mixture, p8_shares, p8_limits, p8_met, p9_found, p9_amounts)}
 
 _P1 = """
 with t as (
@@ -182,17 +183,12 @@ k as (select h from s group by h having min(doc_id) <> max(doc_id)),
 m as (select doc_id, p, case when p - lag(p) over (partition by doc_id order by p) <= 200 then 0 else 1 end first from s semi join k using (h)),
 g as (select doc_id, p, sum(first) over (partition by doc_id order by p) g from m),
 f as (select doc_id, min(p)::INT span_start, max(p)::INT + 200 span_end from g group by doc_id, g)"""
-_P3_SHORT = f"""
-with {_P3[_P3.index("w as"):_P3.index(", g as")]}, i as (select id, len(ws) n, array_to_string(ws, ' ') g from w where k = 1 and len(ws) between 5 and 9),
-g as (select distinct id, n, array_to_string(ws[i:i + n - 1], ' ') g from (select id, ws, n, unnest(range(1, len(ws) - n + 2)) i from w, (select unnest([5, 6, 7, 8, 9]) n) where k = 0 and len(ws) >= n))
-select g.id line_id, i.id ptb_id, n::INT width from g join i using (n, g)"""
-
 ORACLES = {
     "p1_terms": _P1,
     "p1_found": f"select field, term, mark from ({_P1}) where mark is not null",
     "p3_leaks": _P3,
     "p3_found": f"select line_id, ptb_id from ({_P3})",
-    "p3_short": _P3_SHORT,
+    "p3_contained": f"select line_id, ptb_id, containment from ({_P3.replace('i:i+9', 'i:i+4').replace('len(ws) - 8', 'len(ws) - 3').replace('len(ws) >= 10', 'len(ws) >= 5').replace('count(*) shared', 'count(*) * 10 >= n * 8 enough')}) where enough",
     "p4_found": f"{_P4} select id word_id, cluster_key from k where cluster_key in (select cluster_key from k group by 1 having count(*) > 1)",
     "p4_clusters": f"""{_P4}, m as (select cluster_key, id, v from k join u using (id)),
 x as (select cluster_key, unnest(v) x, unnest(range(72)) i from m), s as (select cluster_key, i, sum(x) s from x group by 1, 2), c as (select cluster_key, list(s order by i) c from s group by 1),
