@@ -255,10 +255,10 @@ def reltree_maxproduct(spark, d):
     return _states(D.decode(real_trees(spark, d, True), relational(), "max_product"))
 
 
-@query(f"{_of(relational(), 'rn')} select sum(ll) / 1000 ll from tot")
+@query(f"{_of(relational(), 'rn')} select round(sum(ll) / 1000, 6) ll from tot")
 def reltree_ll(spark, d):
     """Log-likelihood of all parsed sentences, in thousands."""
-    return D.decode(real_trees(spark, d, True), relational(), "posterior").agg((F.sum("score") / 1000).alias("ll"))
+    return D.decode(real_trees(spark, d, True), relational(), "posterior").agg(F.round(F.sum("score") / 1000, 6).alias("ll"))
 
 
 @query(f"{_of(relational(), 'rn')}, t as (select sym, post.rel, p0, p1 from post join rn using (sent_id, idx)) select sym::BIGINT word_id, rel, round(avg(p0), 6) p0, round(avg(p1), 6) p1, count(*) n from t group by 1, 2")
