@@ -63,7 +63,7 @@ def minhashes(words: np.ndarray, rows: np.ndarray, width: int) -> tuple[np.ndarr
         shingles = shingles * _MUL + words[j : j + m]
     out = np.zeros(n, np.uint64)
     for p in range(PERMUTATIONS):
-        acc = mix(shingles + _ADD * np.uint64(2 * p + 1))
+        acc = mix(shingles + np.uint64(int(_ADD) * (2 * p + 1) % 2**64))
         least = acc[:n].copy()
         for j in range(1, width - k + 1):
             np.minimum(least, acc[j : j + n], out=least)
