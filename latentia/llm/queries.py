@@ -40,7 +40,7 @@ def _word_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = cut(_word_clusters(spark, sf_dir), "clusters")
+    rows = _word_clusters(spark, sf_dir)
     several = clusters.sizes(rows).where("n_rows > 1").select("cluster_key")
     return rows.join(several, "cluster_key", "left_semi").select(F.col("id").alias("word_id"), "cluster_key")
 

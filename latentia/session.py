@@ -91,6 +91,15 @@ def cut(df: DataFrame, what: str = "step", by: list[str] | None = None) -> DataF
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes a table that ``cut`` returned; nothing that is still to be computed may read it."""
+    files = df.inputFiles()
+    if files:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def default_parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

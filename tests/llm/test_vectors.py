@@ -1,5 +1,7 @@
 """Clusters and neighbours against all pairs."""
 
+import os
+
 import numpy as np
 import pytest
 
@@ -158,3 +160,43 @@ def test_links_between_leaves_are_exact(spark):
     rows = [(i, [*v, 0.0]) for i, v in enumerate(x)]
     got = {r.id: r.cluster_key for r in clusters.assign(frame(spark, rows), "id", "v", dim=D, local_rows=100).collect()}
     assert got == components(*usable(rows))
+
+
+@pytest.mark.parametrize("group", [150, 100_000])
+def test_rounds_of_pieces_and_rows(spark, group):
+    """A third of the rows are near-copies cut into large pieces, more than a round takes; the others are cut at many places."""
+    g = np.random.default_rng(9)
+    c = g.standard_normal(D)
+    x = np.vstack([g.standard_normal((900, 7)) @ np.eye(7, D), c + 0.1 * g.standard_normal((450, D))])
+    rows = list(enumerate(x))
+    got = {r.id: r.cluster_key for r in clusters.assign(frame(spark, rows), "id", "v", dim=D, local_rows=60, group=group).collect()}
+    assert got == components(*usable(rows))
+
+
+def written(spark):
+    """Bytes of shuffles so far."""
+    context = spark._jsc.sc()
+    context.listenerBus().waitUntilEmpty(30_000)
+    executors = context.statusStore().executorList(False)
+    return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+
+def test_vectors_stay_where_they_are(spark, monkeypatch):
+    """Rows unlike one another have to be compared with nearly every leaf: what is shuffled and written must not grow as their number times the leaves."""
+    dim, n = 24, 4000
+    g = np.random.default_rng(5)
+    x = g.standard_normal((n, dim))
+    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "id long, v array<float>").repartition(4)
+    tables = []
+    cut = clusters.cut
+
+    def measured(df, what="step"):
+        made = cut(df, what)
+        tables.append(sum(os.path.getsize(f.removeprefix("file:").replace("///", "/")) for f in made.inputFiles()))
+        return made
+
+    monkeypatch.setattr(clusters, "cut", measured)
+    before = written(spark)
+    got = {r.id: r.cluster_key for r in clusters.assign(df, "id", "v", dim=dim, local_rows=50).collect()}
+    assert got == components(np.arange(n), x / np.linalg.norm(x, axis=1)[:, None])
+    assert written(spark) - before + sum(tables) < 10 * x.astype(np.float32).nbytes
