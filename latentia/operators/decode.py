@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from latentia.operators import chain, treebp
-from latentia.operators.em import COUNTS, Counts, _forests, by_length, check_size, ragged, summed
+from latentia.operators.em import COUNTS, Counts, _forests, by_length, check_size, given_emissions, ragged, summed
 from latentia.operators.params import Params
 from latentia.session import ship
 
@@ -24,7 +24,7 @@ def _lists(parts: list[np.ndarray | None], kind: pa.DataType) -> pa.Array:
 def decode(data: DataFrame, p: Params, method: str = "viterbi", approx: bool = False, ignore_rel: int | None = None) -> DataFrame:
     """``sent_id, score, states`` (or ``reps`` for ``posterior_cont``), in token order.
 
-    Sequences have ``x``, trees ``head, x, rel``. The score is the path's log score for viterbi and max_product, else
+    Sequences have ``x``, trees ``head, x, rel``; sequences with the emission rows ``e`` of their tokens do not use p.E. The score is the path's log score for viterbi and max_product, else
     the log-likelihood. ``ignore_rel``: nodes of that relation become null in tree output.
     """
     check_size(p)
@@ -40,14 +40,15 @@ def decode(data: DataFrame, p: Params, method: str = "viterbi", approx: bool = F
         for batch in batches:
             out: list = [np.zeros(0, np.int32)] * batch.num_rows
             score = np.zeros(batch.num_rows)
+            given = given_emissions(batch, q.n)
             for rows, x in by_length(*ragged(batch.column("x"))):
-                x = x.astype(np.int64)
+                x, e = x.astype(np.int64), given(rows, x.shape[1])
                 if method == "viterbi":
-                    s, score[rows] = chain.viterbi(x, q)
+                    s, score[rows] = chain.viterbi(x, q, e)
                 elif method == "max_emission":
-                    s = q.E[:, :, 0].argmax(1)[x]
+                    s = q.E[:, :, 0].argmax(1)[x] if e is None else e.argmax(2)
                 else:
-                    score[rows], g, _ = chain.posteriors(x, q, approx)
+                    score[rows], g, _ = chain.posteriors(x, q, approx, e)
                     s = g if cont else g.argmax(2)
                 for i, r in enumerate(rows.tolist()):
                     out[r] = s[i]
@@ -77,7 +78,7 @@ def decode(data: DataFrame, p: Params, method: str = "viterbi", approx: bool = F
             yield pa.RecordBatch.from_arrays([batch.column("sent_id"), pa.array(score), pa.array(out, kind)], ["sent_id", "score", "reps" if cont else "states"])
 
     schema = f"sent_id long, score double, {'reps array<array<double>>' if cont else 'states array<int>'}"
-    rows = data.select(F.col("sent_id").cast("long").alias("sent_id"), *[c for c in ("x", "head", "rel") if c in data.columns])
+    rows = data.select(F.col("sent_id").cast("long").alias("sent_id"), *[c for c in ("x", "head", "rel", "e") if c in data.columns])
     return rows.mapInArrow(on_trees if trees else on_chain, schema)
 
 
@@ -130,7 +131,7 @@ def additive_decode(data: DataFrame, pi: np.ndarray, T: np.ndarray, f: np.ndarra
 
 
 def type_posteriors(data: DataFrame, p: Params, approx: bool = False, by_rel: bool = False) -> DataFrame:
-    """``word_id[, rel], rep, n``: mean posterior per word type (and relation), summed in the tasks first."""
+    """``word_id[, rel], rep, n``: mean posterior per word type (and relation), summed in the tasks first; emission rows ``e`` as in ``decode``."""
     check_size(p)
     ship(data.sparkSession)
     sent = data.sparkSession.sparkContext.broadcast(p)
@@ -146,14 +147,15 @@ def type_posteriors(data: DataFrame, p: Params, approx: bool = False, by_rel: bo
                     key = fo.word * 65536 + fo.rel if by_rel else fo.word
                     c.words(key, np.hstack([post, np.ones((len(post), 1))]))
             else:
-                for _, x in by_length(*ragged(batch.column("x"))):
-                    g = chain.posteriors(x.astype(np.int64), q, approx)[1].reshape(-1, q.n)
+                given = given_emissions(batch, q.n)
+                for rows, x in by_length(*ragged(batch.column("x"))):
+                    g = chain.posteriors(x.astype(np.int64), q, approx, given(rows, x.shape[1]))[1].reshape(-1, q.n)
                     c.words(x.ravel().astype(np.int64), np.hstack([g, np.ones((len(g), 1))]))
             if len(c.emit) > 50_000:
                 yield from c.rows(False)
         yield from c.rows(False)
 
-    got = summed(data.select(*[k for k in ("x", "head", "rel") if k in data.columns]).mapInArrow(run, COUNTS))
+    got = summed(data.select(*[k for k in ("x", "head", "rel", "e") if k in data.columns]).mapInArrow(run, COUNTS))
     n = F.element_at("vals", -1)
     key = [F.expr("key div 65536").alias("word_id"), F.pmod("key", F.lit(65536)).cast("int").alias("rel")] if by_rel and trees else [F.col("key").alias("word_id")]
     return got.select(*key, F.transform(F.slice("vals", 1, F.size("vals") - 1), lambda v: v / n).alias("rep"), n.cast("long").alias("n"))

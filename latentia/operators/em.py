@@ -28,10 +28,12 @@ def check_size(p: Params) -> None:
         raise ValueError(f"{p.E.size} emission parameters are too many to broadcast: use em_joined")
 
 
-def as_sequences(toks: DataFrame, word: str = "word_id") -> DataFrame:
-    """``sent_id, x``: token rows with ``pos`` become one row per sequence."""
-    held = F.array_sort(F.collect_list(F.struct("pos", F.col(word).alias("w"))))
-    return toks.groupBy("sent_id").agg(F.transform(held, lambda t: t["w"].cast("long")).alias("x"))
+def as_sequences(toks: DataFrame, word: str = "word_id", emissions: bool = False) -> DataFrame:
+    """``sent_id, x[, e]``: token rows with ``pos`` become one row per sequence, with ``emissions`` also their emission rows ``e``."""
+    more = ["e"] if emissions else []
+    held = F.array_sort(F.collect_list(F.struct("pos", F.col(word).alias("w"), *more)))
+    rows = toks.groupBy("sent_id").agg(held.alias("a"))
+    return rows.select("sent_id", F.transform("a", lambda t: t["w"].cast("long")).alias("x"), *[F.transform("a", lambda t: t[c]).alias(c) for c in more])
 
 
 def as_trees(nodes: DataFrame, word: str = "word_id", rel: str | None = None) -> DataFrame:
@@ -70,6 +72,14 @@ def _sums_by(keys: np.ndarray, vals: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return k[first], np.add.reduceat(vals[order], first, axis=0) if len(first) else vals[:0]
 
 
+def given_emissions(batch: pa.RecordBatch, n: int):
+    """The emission rows ``e`` of a batch's tokens as a function of row numbers and their length; it gives None if the batch has none."""
+    if "e" not in batch.schema.names:
+        return lambda part, size: None
+    rows, offsets = batch.column("e").flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, n), ragged(batch.column("x"))[1]
+    return lambda part, size: rows[offsets[part][:, None] + np.arange(size)[None]]
+
+
 class Counts:
     """Expected counts of a partition; emissions as vectors of the words seen."""
 
@@ -93,17 +103,15 @@ class Counts:
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out]), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.list_(pa.float64()))], ["kind", "key", "vals"])
 
 
-def _chain_counts(sent, approx: bool, joined: bool):
+def _chain_counts(sent, approx: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p: Params = sent.value
         c = Counts(p.n, 1)
         for batch in batches:
             flat, offsets = ragged(batch.column("x"))
-            rows = np.asarray(batch.column("e").flatten().flatten().to_numpy(zero_copy_only=False)).reshape(-1, p.n) if joined and len(flat) else None
-            place = np.arange(len(flat)) if joined else None
+            given = given_emissions(batch, p.n)
             for part, x in by_length(flat.astype(np.int64), offsets):
-                e = rows[place[offsets[part][:, None] + np.arange(x.shape[1])[None]]] if joined else None
-                ll, gamma, xi = chain.posteriors(x, p, approx, e)
+                ll, gamma, xi = chain.posteriors(x, p, approx, given(part, x.shape[1]))
                 c.init[:, 0] += gamma[:, 0].sum(0)
                 c.final[:, 0] += gamma[:, -1].sum(0)
                 c.trans[:, :, 0] += xi
@@ -180,7 +188,7 @@ def expected_counts(data: DataFrame, p: Params, approx: bool = False) -> DataFra
     sent = data.sparkSession.sparkContext.broadcast(p)
     if "head" in data.columns:
         return summed(data.select("head", "x", "rel").mapInArrow(_tree_counts(sent, approx), COUNTS))
-    return summed(data.select("x").mapInArrow(_chain_counts(sent, approx, False), COUNTS))
+    return summed(data.select("x").mapInArrow(_chain_counts(sent, approx), COUNTS))
 
 
 def maximized(rows: list, n: int, m: int, rc: int, re: int, smoothing: float = SMOOTHING) -> tuple[Params, float]:
@@ -306,7 +314,7 @@ def em_joined(data: DataFrame, p: Params, emission: DataFrame, max_iter: int = 1
     m = emission.count()
     for _ in range(max_iter):
         sent = spark.sparkContext.broadcast(Params(p.pi, p.T, p.f, np.zeros((0, n, 1))))
-        got = cut(summed(with_emissions(data, emission).mapInArrow(_chain_counts(sent, approx, True), COUNTS)), "counts")
+        got = cut(summed(with_emissions(data, emission).mapInArrow(_chain_counts(sent, approx), COUNTS)), "counts")
         rows = [(r.kind, r.key, r.vals) for r in got.where("kind <> 'emit'").collect()]
         new, ll = maximized(rows, n, 1, 1, 1, smoothing)
         lls.append(ll)

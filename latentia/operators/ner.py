@@ -10,17 +10,23 @@ from latentia.operators.params import Params
 
 def word_ids(toks: DataFrame, vocab: DataFrame, unk: str = "*unk*") -> DataFrame:
     """Adds ``word_id``: of the word, else of its lower-cased form, else of ``*unk*``; tokens without any are dropped
-    by none: their id is null."""
+    by none: their id is null. Emission rows ``e`` of a vocabulary come along."""
     norm = C.normalized(toks, vocab)
-    ids = vocab.select(F.col("word").alias("norm"), F.col("id").alias("word_id"))
+    ids = vocab.select(F.col("word").alias("norm"), F.col("id").alias("word_id"), *[c for c in ("e",) if c in vocab.columns])
     return norm.join(ids, "norm", "left").drop("norm")
 
 
 def represented(toks: DataFrame, vocab: DataFrame, p: Params, method: str = "posterior_cont", approx: bool = False) -> DataFrame:
-    """Tokens with ``rep`` (a vector) or ``state`` by any chain decoder, or by type averages (``posterior_cont_type``)."""
+    """Tokens with ``rep`` (a vector) or ``state`` by any chain decoder, or by type averages (``posterior_cont_type``).
+
+    A vocabulary too large for its emissions to be broadcast holds them as ``e array<double>``, by state; p.E is not used
+    then, and sentences with a known word without emissions get nothing.
+    """
     known = word_ids(toks, vocab).where("word_id is not null")
-    numbered = known.withColumn("_p", F.col("pos"))
-    data = E.as_sequences(numbered)
+    given = "e" in vocab.columns
+    data = E.as_sequences(known, emissions=given)
+    if given:
+        data = data.where(~F.exists("e", lambda v: v.isNull()))
     # positions of a sentence's known tokens, in order, to put decoded values back
     places = known.groupBy("sent_id").agg(F.array_sort(F.collect_list("pos")).alias("places"))
     method = method.replace("-", "_")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from latentia.operators import corpus as C, em as E, introspect as I, ner as N, params as P, trees
+from latentia.operators import corpus as C, introspect as I, ner as N, params as P, trees
 from latentia.plans import model_queries as MQ, model_sql as S
 from latentia.plans.corpus_queries import _NODES, nodes
 from latentia.plans.rep_queries import _BROWN, _EP, _NER, TAGS, brown, ner
@@ -54,22 +54,20 @@ def aligned_predictions(spark, d):
     return N.aligned(g, pred).select("sent_id", "pos", "word", "gold", "pred")
 
 
-N_STATES = 2
-
-
 def _vocab(spark, d):
     return table(spark, d, "vocab").where("word is not null").groupBy("word").agg(F.min("id").alias("id"))
 
 
 def _model(vocab):
-    """Two states; emissions of a word by a rule on its id."""
-    m = (vocab.agg(F.max("id")).first()[0] or 0) + 1
-    if m * N_STATES > E.DENSE_LIMIT:
-        raise ValueError(f"{m} words are too many to broadcast their emissions")
-    w = np.arange(m)
-    q = MQ.fixed()
-    emit = np.stack([(w * 7 + 3) % 11 + 1, (w * 5 + 1) % 13 + 1], 1).astype(float)
-    return P.Params(q.pi, q.T, q.f, (emit / emit.sum(0))[..., None])
+    """Two states, and the vocabulary with emissions of a word by a rule on its id, normalized over all ids up to the
+    greatest; the rule is periodic, so neither their number nor gaps between them matter."""
+    m = max(vocab.agg(F.max("id")).first()[0] or 0, 0) + 1
+    q, emit = MQ.fixed(), []
+    for a, b, k in ((7, 3, 11), (5, 1, 13)):
+        period = [(w * a + b) % k + 1 for w in range(k)]
+        total = m // k * sum(period) + sum(period[: m % k])
+        emit.append(((F.col("id") % k * a + b) % k + 1).cast("double") / F.lit(float(total)))
+    return P.Params(q.pi, q.T, q.f, np.zeros((0, q.n, 1))), vocab.withColumn("e", F.when(F.col("id") >= 0, F.array(*emit)))
 
 
 _KNOWN = f"""{_NER}, vk as (select word, min(id) id from vocab where word is not null group by word),
@@ -83,16 +81,16 @@ _REP = f"with recursive {_KNOWN}, {_SMALL}, {S.step(1)}, pr as (select g.sent_id
 @query(f"{_REP} select t.sent_id, t.pos, t.word, coalesce(round(p0, 6), -1) p0 from tk t left join pr using (sent_id, pos)")
 def ner_represented(spark, d):
     """Tokens with state posteriors of a model over the vocabulary; unknown words have none (here -1)."""
-    vocab = _vocab(spark, d)
-    rows = N.represented(ner(spark, d), vocab, _model(vocab))
+    p, vocab = _model(_vocab(spark, d))
+    rows = N.represented(ner(spark, d), vocab, p)
     return rows.select("sent_id", "pos", "word", F.coalesce(F.round(F.col("rep")[0], 6), F.lit(-1.0)).alias("p0"))
 
 
 @query(f"{_REP}, ty as (select sym, avg(p0) p0 from pr group by sym) select t.sent_id, t.pos, coalesce(round(ty.p0, 6), -1) p0 from tk t left join ty using (sym)")
 def ner_type_represented(spark, d):
     """Tokens with the mean posterior of their type."""
-    vocab = _vocab(spark, d)
-    rows = N.represented(ner(spark, d), vocab, _model(vocab), "posterior_cont_type")
+    p, vocab = _model(_vocab(spark, d))
+    rows = N.represented(ner(spark, d), vocab, p, "posterior_cont_type")
     return rows.select("sent_id", "pos", F.coalesce(F.round(F.col("rep")[0], 6), F.lit(-1.0)).alias("p0"))
 
 
@@ -111,8 +109,8 @@ def ner_tree_represented(spark, d):
 @query()
 def ner_experiment(spark, d):
     """Baseline, cluster and representation features; trained on four fifths of the sentences: chunk scores."""
-    vocab = _vocab(spark, d)
-    toks = N.represented(ner(spark, d), vocab, _model(vocab))
+    p, vocab = _model(_vocab(spark, d))
+    toks = N.represented(ner(spark, d), vocab, p)
     held_out = F.pmod(F.xxhash64("sent_id"), F.lit(5)) == 0
     _, scores = N.experiment(toks.where(~held_out), toks.where(held_out), TAGS, brown=brown(spark, d), rep="rep", **N.LANGUAGES["en"])
     return scores
