@@ -48,3 +48,7 @@ def test_emissions_of_a_vocabulary(spark):
     lacking = spark.createDataFrame([(w, i, None if w == "d" else e) for w, i, e in held], "word string, id long, e array<double>")
     got = {(r.sent_id, r.pos): r.rep for r in N.represented(toks, lacking, none).collect()}
     assert {s for (s, _), v in got.items() if v is not None} == {0} and len(got) == len(rows)
+
+
+def test_types_with_sparse_ids(spark, sparse):
+    against_sql(spark, sparse, "ner_type_represented")
