@@ -75,14 +75,43 @@ class Weights:
             np.add.at(self.w, (rows[wrong], y[token[wrong]]), by * vals[wrong])
 
 
+def _tokens(sentences: DataFrame) -> DataFrame:
+    """A row per token, successive within a sentence: ``sent_id, pos, feats, vals, tags``.
+
+    A sentence may have a thousand features or more, and readers and Arrow hold thousands of rows at once: rows have to be small.
+    """
+    each = sentences.select(F.col("sent_id").cast("long").alias("sent_id"), F.posexplode(F.arrays_zip("feats", "vals", "tags")).alias("pos", "t"))
+    return each.select("sent_id", "pos", "t.feats", "t.vals", "t.tags")
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same token rows in batches that end with a sentence."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids = batch.column("sent_id").to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(ids[1:] != ids[:-1]) + 1
+        if rest and rest[-1].column("sent_id")[0].as_py() != ids[0]:
+            starts = np.append(0, starts)
+        if not len(starts):
+            rest.append(batch)
+            continue
+        done = [*rest, batch.slice(0, int(starts[-1]))]
+        yield pa.Table.from_batches(done).combine_chunks().to_batches()[0]
+        rest = [batch.slice(int(starts[-1]))]
+    if rest:
+        yield pa.Table.from_batches(rest).combine_chunks().to_batches()[0]
+
+
 def _flat(batch: pa.RecordBatch):
-    """Features of all tokens of a batch: names, values, token of each within its sentence; ends of features and tokens per sentence."""
-    feats, vals = batch.column("feats"), batch.column("vals")
-    per_sentence, per_token = feats.value_lengths().to_numpy(zero_copy_only=False), feats.flatten().value_lengths().to_numpy(zero_copy_only=False)
-    token_end = np.cumsum(per_sentence)
+    """Features of all tokens of whole sentences: names, values, token of each within its sentence; ends of features and tokens per sentence."""
+    feats, ids = batch.column("feats"), batch.column("sent_id").to_numpy(zero_copy_only=False)
+    token_end = np.append(np.flatnonzero(ids[1:] != ids[:-1]) + 1, len(ids))
+    per_sentence, per_token = np.diff(token_end, prepend=0), feats.value_lengths().to_numpy(zero_copy_only=False)
     feature_end = np.append(0, np.cumsum(per_token))[token_end]
     place = np.arange(len(per_token)) - np.repeat(token_end - per_sentence, per_sentence)
-    return feats.flatten().flatten(), vals.flatten().flatten().to_numpy(zero_copy_only=False), np.repeat(place, per_token), feature_end, per_sentence
+    return feats.flatten(), batch.column("vals").flatten().to_numpy(zero_copy_only=False), np.repeat(place, per_token), feature_end, per_sentence
 
 
 def _epoch(sent, tags: list[str]):
@@ -90,16 +119,17 @@ def _epoch(sent, tags: list[str]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = Weights(len(tags), sent.value)
-        for batch in batches:
+        for batch in _whole(batches):
             names, vals, token, ends, sizes = _flat(batch)
-            rows, start = w.rows(names, True), 0
-            for end, n, y in zip(ends.tolist(), sizes.tolist(), batch.column("tags").to_pylist()):
-                gold = np.array([index[t] for t in y], np.int64)
+            rows, start, first = w.rows(names, True), 0, 0
+            every = np.array([index[t] for t in batch.column("tags").to_pylist()], np.int64)
+            for end, n in zip(ends.tolist(), sizes.tolist()):
+                gold = every[first : first + n]
                 part = slice(start, end)
                 pred = w.decode(w.scores(rows[part], vals[part], token[part], n))
                 if (pred != gold).any():
                     w.update(rows[part], vals[part], token[part], gold, pred)
-                start = end
+                start, first = end, first + n
         names = list(w.row)
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(list(w.w[: len(names)]), pa.list_(pa.float64()))], ["name", "w"])
 
@@ -109,15 +139,16 @@ def _epoch(sent, tags: list[str]):
 def train(sentences: DataFrame, tags: list[str], epochs: int = 2, shards: int | None = None) -> DataFrame:
     """``name, w``: a weight per tag for each feature name."""
     spark = sentences.sparkSession
-    shards = shards or max(1, -(-sentences.select("sent_id").distinct().count() // SHARD_SENTENCES))
-    data = cut(sentences.withColumn("shard", F.pmod(F.xxhash64("sent_id"), F.lit(shards)).cast("int")), "sentences")
+    data = cut(_tokens(sentences), "sentences")
+    shards = shards or max(1, -(-data.select("sent_id").distinct().count() // SHARD_SENTENCES))
+    data = data.withColumn("shard", F.pmod(F.xxhash64("sent_id"), F.lit(shards)).cast("int"))
     held: dict[str, np.ndarray] = {}
     total = None
     n = len(tags)
     for _ in range(epochs):
         sent = spark.sparkContext.broadcast(held)
-        ordered = data.repartition(shards, "shard").sortWithinPartitions("shard", "sent_id")
-        rows = ordered.select("feats", "vals", "tags").mapInArrow(_epoch(sent, tags), WEIGHTS)
+        ordered = data.repartition(shards, "shard").sortWithinPartitions("shard", "sent_id", "pos")
+        rows = ordered.select("sent_id", "feats", "vals", "tags").mapInArrow(_epoch(sent, tags), WEIGHTS)
         mean = cut(rows.groupBy("name").agg(F.array(*[F.sum(F.col("w")[i]) / shards for i in range(n)]).alias("w")), "weights")
         if mean.count() * n > WEIGHT_LIMIT:
             raise ValueError("too many weights to send to every task: select features first")
@@ -135,15 +166,13 @@ def predict(sentences: DataFrame, weights: DataFrame, tags: list[str]) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = Weights(len(tags), sent.value)
-        for batch in batches:
+        for batch in _whole(batches):
             names, vals, token, ends, sizes = _flat(batch)
             rows, start, pred = w.rows(names, False), 0, []
             for end, n in zip(ends.tolist(), sizes.tolist()):
                 part = slice(start, end)
-                pred.append([tags[i] for i in w.decode(w.scores(rows[part], vals[part], token[part], n)).tolist()])
+                pred += [tags[i] for i in w.decode(w.scores(rows[part], vals[part], token[part], n)).tolist()]
                 start = end
-            yield pa.RecordBatch.from_arrays([batch.column("sent_id"), batch.column("tags"), pa.array(pred, pa.list_(pa.string()))], ["sent_id", "gold", "pred"])
+            yield pa.RecordBatch.from_arrays([batch.column("sent_id"), batch.column("pos"), batch.column("tags"), pa.array(pred, pa.string())], ["sent_id", "pos", "gold", "pred"])
 
-    out = sentences.select(F.col("sent_id").cast("long").alias("sent_id"), "feats", "vals", "tags").mapInArrow(run, "sent_id long, gold array<string>, pred array<string>")
-    each = out.select("sent_id", F.posexplode(F.arrays_zip("gold", "pred")).alias("pos", "t"))
-    return each.select("sent_id", "pos", F.col("t.gold").alias("gold"), F.col("t.pred").alias("pred"))
+    return _tokens(sentences).mapInArrow(run, "sent_id long, pos int, gold string, pred string")

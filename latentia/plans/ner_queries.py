@@ -9,7 +9,7 @@ from latentia.operators import corpus as C, introspect as I, ner as N, params as
 from latentia.plans import model_queries as MQ, model_sql as S
 from latentia.plans.corpus_queries import _NODES, nodes
 from latentia.plans.rep_queries import _BROWN, _EP, _NER, TAGS, brown, ner
-from latentia.session import table
+from latentia.session import cut, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -110,7 +110,7 @@ def ner_tree_represented(spark, d):
 def ner_experiment(spark, d):
     """Baseline, cluster and representation features; trained on four fifths of the sentences: chunk scores."""
     p, vocab = _model(_vocab(spark, d))
-    toks = N.represented(ner(spark, d), vocab, p)
+    toks = cut(N.represented(ner(spark, d), vocab, p), "tokens")  # each kind of features reads them
     held_out = F.pmod(F.xxhash64("sent_id"), F.lit(5)) == 0
     _, scores = N.experiment(toks.where(~held_out), toks.where(held_out), TAGS, brown=brown(spark, d), rep="rep", **N.LANGUAGES["en"])
     return scores

@@ -1,10 +1,13 @@
 """Entity recognition with models over vocabularies whose emissions are no array."""
 
+import random
+
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from latentia.operators import ner as N, params as P
+from latentia.operators import features as FT, ner as N, params as P, perceptron as PC
 from latentia.plans import ner_queries as Q
 
 WORDS = ["a", "B", "c", "d", "*unk*"]
@@ -52,3 +55,36 @@ def test_emissions_of_a_vocabulary(spark):
 
 def test_types_with_sparse_ids(spark, sparse):
     against_sql(spark, sparse, "ner_type_represented")
+
+
+def test_experiment_with_sparse_ids(spark, sparse):
+    scores = Q.QUERIES["ner_experiment"](spark, sparse).collect()
+    assert any(r.type == "PER" and r.n_gold for r in scores)
+
+
+def test_sentences_across_batches():
+    """Batches may end within a sentence: no token is lost and every batch given on holds whole sentences."""
+    ids = np.repeat([7, 3, 9, 4], [5, 1, 12, 2])
+    table = pa.table({"sent_id": ids, "n": np.arange(len(ids))})
+    for size in (1, 2, 3, 5, 20):
+        got = list(PC._whole(iter(table.to_batches(max_chunksize=size))))
+        assert np.concatenate([b.column("n").to_numpy() for b in got]).tolist() == list(range(len(ids)))
+        seen = [x for b in got for x in dict.fromkeys(b.column("sent_id").to_pylist())]
+        assert seen == [7, 3, 9, 4]
+
+
+def test_training_across_batches(spark):
+    """Weights and predictions do not depend on how many rows a batch holds."""
+    r = random.Random(1)
+    toks = [(s, i, r.choice("abcd"), r.choice(["O", "B-X"])) for s in range(40) for i in range(r.randint(1, 7))]
+    sent = PC.as_sentences(FT.emission(FT.windowed(spark.createDataFrame(toks, "sent_id long, pos int, word string, tag string"))))
+    most, got = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"), []
+    for size in (most, "3"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            w = PC.train(sent, ["B-X", "O"], 2, 2)
+            got.append((sorted((x.name, tuple(x.w)) for x in w.collect()), sorted(PC.predict(sent, w, ["B-X", "O"]).collect())))
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+    assert [n for n, _ in got[0][0]] == [n for n, _ in got[1][0]] and np.allclose([v for _, v in got[0][0]], [v for _, v in got[1][0]])
+    assert got[0][1] == got[1][1] and len(got[0][1]) == len(toks)
